@@ -49,6 +49,11 @@ def text_of(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once, where a lambda would compute it for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def attach(df: DataFrame, small: DataFrame, key: str, spread: Column) -> DataFrame:
     """Left join on a null-safe key. small has one row a key and is read twice, so stage it first.
 
