@@ -80,12 +80,16 @@ class Pieces:
         self.spelled = pa.array(spelled, pa.large_binary())
 
     def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all words, one after another; where each word's start and end; each word's score."""
+        """Ids of all words, each with the sign before it; where each word's start and end; each word's score."""
         a = self.automaton
         data, offsets = buffers(words)
-        n, sizes = len(words), np.diff(offsets)
+        n = len(words)
         if not n:
             return np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0)
+        sign = np.frombuffer(SIGN.encode(), np.uint8)
+        data = np.insert(data, np.repeat(offsets[:-1], len(sign)), np.tile(sign, n))
+        offsets = offsets + np.arange(n + 1) * len(sign)
+        sizes = np.diff(offsets)
         # the length of each unknown character, at its last byte
         heads = np.flatnonzero((data & 0xC0) != 0x80)
         tails = np.r_[heads[1:], len(data)] - 1
@@ -152,11 +156,13 @@ class Pieces:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts, one after another; where each text's start and end; each text's score."""
         texts = texts.cast(pa.large_string())
-        lists = pc.split_pattern(pc.if_else(pc.greater(pc.binary_length(texts), 0), texts, None), " ")
+        lists = pc.split_pattern(texts, " ")
         coded = lists.flatten().dictionary_encode()
-        counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-        ids, at, score = self.words(pc.binary_join_element_wise(pa.scalar(SIGN, pa.large_string()), coded.dictionary, pa.scalar("", pa.large_string())))
+        counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ids, at, score = self.words(coded.dictionary)
         w = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        empty = (pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False) == 0) & (counts > 0)
+        w, counts = np.delete(w, (np.cumsum(counts) - counts)[empty]), np.where(empty, 0, counts)
         lengths = np.diff(at)[w]
         docs = np.r_[0, np.cumsum(counts)].astype(np.int64)
         done = np.r_[0, np.cumsum(lengths)]
