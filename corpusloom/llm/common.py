@@ -49,6 +49,12 @@ def text_of(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
+def set_aside(df: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
+    """df with its columns of these names under others, and the columns that give it back as it was."""
+    other = {c: f"_own_{c}" for c in df.columns if c in names}
+    return df.withColumnsRenamed(other), [F.col(other.get(c, c)).alias(c) for c in df.columns]
+
+
 def let(value: Column, body) -> Column:
     """body of a value that is computed once, where a lambda would compute it for every element."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -21,11 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import buffers, slices
+from corpusloom.llm.common import buffers, set_aside, slices
 
 DIMENSIONS = 1024
 GRAM = 3
 SEED = 20
+GRAMS_AT_ONCE = 16_384
 UNKNOWN = "und"
 #: Code points below LATIN have symbols of their own, those above share BLOCKS of them; 0 is the gap.
 LATIN, BLOCKS = 0x250, 64
@@ -139,15 +140,16 @@ def scores(texts: pa.Array, prototypes: np.ndarray, seed: int = SEED) -> tuple[n
         return out, lettered
     doc, code, n = counted(doc, code)
     grams, place = np.unique(code, return_inverse=True)
-    vectors = gram_vectors(grams, prototypes.shape[1], seed).astype(np.float32)
-    likeness = vectors @ prototypes.T.astype(np.float32)
-    starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-    ends = np.r_[starts[1:], len(doc)]
-    n = n.astype(np.float32)
-    for s, e in zip(starts, ends, strict=True):
-        at, k = place[s:e], n[s:e]
-        length = np.linalg.norm(k @ vectors[at])
-        out[doc[s]] = (k @ likeness[at]) / (length if length > 0 else 1)
+    bundles = np.zeros((len(texts), prototypes.shape[1]), np.float32)
+    for low in range(0, len(grams), GRAMS_AT_ONCE):
+        vectors = gram_vectors(grams[low : low + GRAMS_AT_ONCE], prototypes.shape[1], seed).astype(np.float32)
+        own = (place >= low) & (place < low + GRAMS_AT_ONCE)
+        d, at, k = doc[own], place[own] - low, n[own].astype(np.float32)
+        starts = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+        for s, e in zip(starts, np.r_[starts[1:], len(d)], strict=True):
+            bundles[d[s]] += k[s:e] @ vectors[at[s:e]]
+    length = np.linalg.norm(bundles, axis=1, keepdims=True)
+    out[:] = bundles @ prototypes.T.astype(np.float32) / np.where(length > 0, length, 1)
     return out, lettered
 
 
@@ -172,6 +174,12 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], seed: int = S
     return docs.mapInArrow(predict, T.StructType([*keep, *ADDED]))
 
 
+def known_language(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
+    """docs as they are, without those predicted `und`."""
+    safe, own = set_aside(docs, ("lang_pred", "score"))
+    return identify(safe, model, text=text).where(F.col("lang_pred") != UNKNOWN).select(*own)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for the fourth of the rows that training never sees."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -6,7 +6,7 @@ hash of its id, as a number in [0, 1), lies below the fraction of the rate, wher
 
 Defined cases: a null text has 0 words; a null source is a source of its own, last in order; a source without words
 has rate 0; a null id hashes as the word null; rows that repeat an id share its draw; an empty table gives an empty
-one. Columns named like the added ones are replaced. The source table has one row a source: its rank and running sums
+one. with_copies replaces columns named like the added ones, mix_sources keeps them. The source table has one row a source: its rank and running sums
 are one small window over it, and attach() broadcasts it only up to its stated number of rows.
 """
 
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import attach, staged, text_of
+from corpusloom.llm.common import attach, set_aside, staged, text_of
 
 #: Words are runs of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -67,7 +67,8 @@ def with_copies(docs: DataFrame, weights=WEIGHTS, epochs: float = EPOCHS, most:
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
     """The mixture: docs' columns, each row as often as it is taken."""
-    return with_copies(docs, **options).where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    docs, own = set_aside(docs, ("source_size", "target", "rate", "copies"))
+    return with_copies(docs, **options).where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*own)
 
 
 def op8_source_mix(spark, sf_dir: str) -> DataFrame:
