@@ -13,7 +13,7 @@ from corpusloom.llm.common import staged
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter go; the model learns from the labelled rows outside the held-out fourth."""
     model = langid.train(docs.where(~langid.held_out()))
-    return langid.identify(docs, model).where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    return langid.known_language(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
