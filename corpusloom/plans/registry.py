@@ -1,4 +1,6 @@
 """Named queries over the given tables, each with its DuckDB counterpart where SQL can express it."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from corpusloom.plans import quality, search
+
+QUERIES: dict = search.QUERIES | quality.QUERIES
+ORACLE_SQL: dict[str, str] = search.ORACLE_SQL | quality.ORACLE_SQL
