@@ -103,14 +103,15 @@ def windows(fused: DataFrame, corpus: DataFrame, options: Options = Options()) -
     return made.withColumn("chunk_ids", F.col("_c.chunk_id")).withColumn("matched", _joined(F.col("_c.content"))).drop("_c")
 
 
-#: Order of windows within a query.
-ORDER = [F.desc("rrf"), "doc_id", "ord_start"]
+def _order() -> list:
+    """Order of windows within a query."""
+    return [F.desc("rrf"), "doc_id", "ord_start"]
 
 
 def dedupe(found: DataFrame) -> DataFrame:
     """WIN3: of a query's windows with equal text the one of greatest rrf; pos: place among the rest."""
-    best = Window.partitionBy("query_id", "_hash").orderBy(*ORDER)
-    return found.withColumn("_hash", F.xxhash64("matched")).withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n", "_hash").withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(*ORDER)))
+    best = Window.partitionBy("query_id", "_hash").orderBy(*_order())
+    return found.withColumn("_hash", F.xxhash64("matched")).withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n", "_hash").withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(*_order())))
 
 
 def relevance(vec_available: bool) -> Column:
@@ -144,6 +145,7 @@ def mmr(hits: DataFrame, limit: int, lam: float, vectors: DataFrame | None = Non
         return hits.withColumn("pick", F.row_number().over(place)).where(F.col("pick") <= limit)
     rows = hits.join(vectors.select(F.col("chunk_id").alias("best_chunk"), "vector"), "best_chunk", "left")
     schema = ", ".join(f"`{n}` {t}" for n, t in hits.dtypes) + ", pick int"
+    columns = [*hits.columns, "pick"]
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:  # at most the pool's rows
         pdf = pdf.sort_values("place", kind="stable").reset_index(drop=True)
@@ -155,7 +157,7 @@ def mmr(hits: DataFrame, limit: int, lam: float, vectors: DataFrame | None = Non
             i = left.pop(int(np.argmax(score)))
             picked.append(i)
             near = np.maximum(near, v @ v[i])
-        return pdf.iloc[picked].assign(pick=range(1, len(picked) + 1))[[*hits.columns, "pick"]]
+        return pdf.iloc[picked].assign(pick=range(1, len(picked) + 1))[columns]
 
     return rows.groupBy("query_id").applyInPandas(choose, schema)
 
@@ -163,8 +165,8 @@ def mmr(hits: DataFrame, limit: int, lam: float, vectors: DataFrame | None = Non
 def expand(hits: DataFrame, corpus: DataFrame, options: Options = Options()) -> DataFrame:
     """CTX1: each hit with its neighbours of `radius` chunks, given up from the left, then from the right, while too long."""
     r, most = options.window_radius, options.max_window_chars
-    near = corpus.select("doc_id", "ord", F.col("chunk_id").alias("_id"), F.col("content").alias("_text"), utf16_length("content").alias("_chars"))
-    pairs = hits.join(near, (hits.doc_id == near.doc_id) & near.ord.between(hits.ord_start - r, hits.ord_end + r)).drop(near.doc_id)
+    near = corpus.select(F.col("doc_id").alias("_doc"), "ord", F.col("chunk_id").alias("_id"), F.col("content").alias("_text"), utf16_length("content").alias("_chars"))
+    pairs = hits.join(near, (F.col("doc_id") == F.col("_doc")) & F.col("ord").between(F.col("ord_start") - r, F.col("ord_end") + r)).drop("_doc")
     one = F.struct("ord", "_id", "_text", "_chars")
     got = pairs.groupBy(*hits.columns).agg(F.sort_array(F.collect_list(one)).alias("_w"))
     total = lambda w: F.aggregate(w, F.lit(0), lambda s, x: s + x["_chars"])

@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.functions.hashing import fnv1a32
 
@@ -41,7 +42,7 @@ REDACTED = "[redacted]"
 REFERENCE_LINES = ("文档原文", "文档内容", "原文", "引用", "参考", "context", "chunk", "片段", "检索结果", "evidence", "source", "document", "documents")
 CHUNK_MARK = r"(?i)#chunk-?[0-9]+|chunk\[[0-9]+\]|片段[#\[][0-9]+|chunk-[0-9]+"
 SECRET_KEYS = ("token", "secret", "password", "passwd", "api_key", "apikey", "authorization")
-FINDINGS = "array<struct<category:string,weight:int,excerpt:string,start:int,end:int>>"
+FINDINGS = T.ArrayType(T.StructType([T.StructField("category", T.StringType()), T.StructField("weight", T.IntegerType()), T.StructField("excerpt", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
 @F.pandas_udf(FINDINGS)
@@ -118,7 +119,7 @@ def scrub(c: Column, most: int = 2000) -> Column:
     return F.regexp_replace(F.regexp_replace(c, "\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
-@F.pandas_udf("preview string, canonical string")
+@F.pandas_udf(T.StructType([T.StructField("preview", T.StringType()), T.StructField("canonical", T.StringType())]))
 def _audited(args: pd.Series) -> pd.DataFrame:
     def clean(value, key=""):
         if any(s in key.lower() for s in SECRET_KEYS):

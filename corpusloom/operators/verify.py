@@ -65,7 +65,7 @@ def unknown_numbers(s: Column, context: Column) -> Column:
     """VER5: facts of a sentence, marks apart, that are no fact of the context and whose core isn't in it between digit boundaries."""
     facts = F.array_except(numbers(F.regexp_replace(s, MARK, "")), numbers(context))
     padded = F.concat(F.lit(" "), context, F.lit(" "))
-    return F.filter(facts, lambda n: ~padded.rlike(F.concat(F.lit("[^0-9]"), F.regexp_replace(core(n), r"\.", r"[.]"), F.lit("[^0-9]"))))
+    return F.filter(facts, lambda n: ~F.rlike(padded, F.concat(F.lit("[^0-9]"), F.regexp_replace(core(n), r"\.", "[.]"), F.lit("[^0-9]"))))
 
 
 def coverage(sentence_tokens: Column, context_tokens: Column) -> Column:

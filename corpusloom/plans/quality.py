@@ -473,7 +473,7 @@ def stream_stage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR4: the events read as a stream, to the end."""
     from corpusloom.streaming import jobs, runs
 
-    e = runs.read_stream(spark, sf_dir, "events").select("ts", F.col("event_type").alias("stage"), F.col("value").alias("duration"))
+    e = runs.read_stream(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("stage"), F.col("value").alias("duration"))
     out = runs.to_table(jobs.live_stage_stats(e), "complete")
     return out.select(F.col("window.start").alias("day"), "stage", "count", F.round("total", 4).alias("total"), "min", "max")
 
@@ -483,5 +483,5 @@ def stream_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR5: runs that exceed a limit, found by keyed state."""
     from corpusloom.streaming import jobs, runs
 
-    e = runs.read_stream(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.get_json_object("props", "$.k").cast("long").alias("prompt_tokens")).withColumn("completion_tokens", F.col("prompt_tokens") % 7)
+    e = runs.read_stream(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.get_json_object("props", "$.k").cast("long").alias("prompt_tokens")).withColumn("completion_tokens", F.col("prompt_tokens") % 7)
     return runs.to_table(jobs.budget_stops(e, LIMITS), "append")

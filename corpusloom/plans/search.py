@@ -447,10 +447,10 @@ def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.markdown_blocks(d).select("doc_id", F.posexplode("blocks").alias("n", "b")).select("doc_id", "n", "b.*")
 
 
-@query("SELECT item_id AS query_id, 1 AS variant_no, trim(substr(text, 1, 30)) AS text FROM benchmark WHERE length(trim(substr(text, 1, 30))) > 0")
+@query("SELECT item_id AS query_id, 1 AS variant_no, trim(substr(replace(text, chr(10), ' '), 1, 30)) AS text FROM benchmark WHERE length(trim(substr(text, 1, 30))) > 0")
 def rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EXP1: two equal lines with marks, of which one rewrite is left."""
-    head = F.trim(F.substring("text", 1, 30))
+    head = F.trim(F.substring(F.regexp_replace("text", "\n", " "), 1, 30))
     raw = demo.queries(spark, sf_dir).select("query_id", F.col("text").alias("question"), F.concat(F.lit("1. "), head, F.lit("\n- "), head, F.lit("\n")).alias("raw"))
     return evidence.parse_rewrites(raw)
 

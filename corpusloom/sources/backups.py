@@ -16,7 +16,7 @@ _MESSAGE = "struct<id:string,role:string,content:string,cloudContent:string,stat
 BACKUP = f"struct<version:string,conversations:array<struct<id:string,title:string,docName:string,messages:array<{_MESSAGE}>,historySummary:string,summaryUpToId:string>>,vectorIndexes:array<struct<convId:string,chunks:array<{_CHUNK}>>>>"
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def decode_vector(texts: pd.Series) -> pd.Series:
     """SRC7: little-endian 32-bit floats from base64; null where it is empty, broken or of a wrong length."""
 
@@ -30,7 +30,7 @@ def decode_vector(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def encode_vector(vectors: pd.Series) -> pd.Series:
     return vectors.map(lambda v: "" if v is None else base64.b64encode(np.asarray(v, "<f4").tobytes()).decode())
 

@@ -19,9 +19,11 @@ def folder(spark: SparkSession, name: str) -> str:
 
 
 def read_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table's Parquet files as a stream; a file source takes a folder, so a single file is named by pattern."""
-    path = f"{sf_dir}/{table}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "*.parquet").parquet(path)
+    """A table's Parquet files as a stream; a file source takes a folder, so a single file is picked from its folder by name."""
+    name = f"{table}.parquet"
+    whole = spark.read.parquet(f"{sf_dir}/{name}")
+    single = whole.inputFiles()[0].endswith(f"/{name}")
+    return spark.readStream.schema(whole.schema).option("pathGlobFilter", name if single else "*.parquet").parquet(sf_dir if single else f"{sf_dir}/{name}")
 
 
 def to_table(stream: DataFrame, mode: str) -> DataFrame:
