@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -17,7 +18,8 @@ BROADCAST_ROWS = 100_000
 #: Salt values dealt to each row of a table that is too large to broadcast.
 SALTS = 32
 #: Bytes of text that a Python worker handles at once.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 1 << 20
+BATCH_BYTES = 8 << 20
 NULL_ID = -(1 << 63)
 
 
@@ -104,8 +106,23 @@ def range_number(bounds: list[tuple[int, int, int]], key: Column) -> Column:
     return number(F.coalesce(key, F.lit(NULL_ID)))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have this session send at most BATCH_BYTES to Python at once. Each batch is held by the JVM and by the worker, in every task."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers stay for later tasks, and what they keep adds up."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batches, column: int, most: int = SLICE_BYTES):
-    """The batches in slices of about `most` bytes of a string column; a longer value comes alone."""
+    """The batches in slices of about `most` bytes of a string column; a longer value comes alone. Freed memory is given back after each batch."""
     for b in batches:
         if not b.num_rows:
             continue
@@ -116,6 +133,7 @@ def slices(batches, column: int, most: int = SLICE_BYTES):
             to = max(at + 1, int(np.searchsorted(size, done + most, side="right")))
             yield b.slice(at, to - at)
             at = to
+        give_back()
 
 
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -143,14 +161,24 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 BASE = 0x9E3779B97F4A7C15
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Powers are kept up to so many; those for a longer text are made anew.
+POWERS = 2 << 20
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE ** i and its inverse modulo 2 ** 64, i below n: with them a hash of any run comes from one running sum."""
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
-            step = np.full(n, base, np.uint64)
+
+    def made(size: int) -> tuple[np.ndarray, np.ndarray]:
+        out = []
+        for base in (BASE, pow(BASE, -1, 1 << 64)):
+            step = np.full(size, base, np.uint64)
             step[0] = 1
-            _POWERS[k] = np.cumprod(step)
-    return _POWERS[0][:n], _POWERS[1][:n]
+            out.append(np.cumprod(step))
+        return out[0], out[1]
+
+    if n > POWERS:
+        return made(n)
+    if not _POWERS:
+        _POWERS.append(made(POWERS))
+    return _POWERS[0][0][:n], _POWERS[0][1][:n]

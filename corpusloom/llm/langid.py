@@ -21,12 +21,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import buffers, set_aside, slices
+from corpusloom.llm.common import buffers, set_aside, slices, small_batches
 
 DIMENSIONS = 1024
 GRAM = 3
 SEED = 20
 GRAMS_AT_ONCE = 16_384
+#: Bytes of text handled at once; arrays of some hundred bytes for each of them are made.
+SLICE = 1 << 20
 UNKNOWN = "und"
 #: Code points below LATIN have symbols of their own, those above share BLOCKS of them; 0 is the gap.
 LATIN, BLOCKS = 0x250, 64
@@ -102,9 +104,11 @@ def counted(doc: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def gram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """lang, gram, n over the rows with a language."""
 
+    small_batches(docs.sparkSession)
+
     def count(batches):
         total: dict[str, dict[int, int]] = {}
-        for b in slices(batches, 0):
+        for b in slices(batches, 0, SLICE):
             doc, code, _ = grams_of(b.column(0))
             names = np.array(b.column(1).to_pylist(), object)
             for name in set(names):
@@ -113,7 +117,7 @@ def gram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
                 for g, k in zip(grams.tolist(), n.tolist(), strict=True):
                     own[g] = own.get(g, 0) + k
         for name, own in total.items():
-            yield pa.RecordBatch.from_pydict({"lang": [name] * len(own), "gram": list(own), "n": list(own.values())})
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(own), pa.string()), "gram": pa.array(list(own), pa.int64()), "n": pa.array(list(own.values()), pa.int64())})
 
     return docs.where(F.col(lang).isNotNull()).select(text, lang).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -163,7 +167,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], seed: int = S
     keep = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
 
     def predict(batches):
-        for b in slices(batches, at, 2 << 20):
+        for b in slices(batches, at, SLICE):
             cosine, lettered = scores(b.column(at), prototypes, seed)
             lettered &= bool(names)
             best = cosine.argmax(axis=1) if names else np.zeros(len(lettered), int)

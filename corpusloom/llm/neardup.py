@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import BROADCAST_ROWS, NULL_ID, attach, buffers, mix64, partitions, powers, slices, staged
+from corpusloom.llm.common import BROADCAST_ROWS, NULL_ID, attach, buffers, give_back, mix64, partitions, powers, slices, small_batches, staged
 
 SHINGLE = 2
 LEAST = 80  # percent
@@ -294,6 +294,7 @@ def by_rounds(buckets: DataFrame, sets: DataFrame, least: int = LEAST) -> DataFr
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, least: int = LEAST, cluster_bytes: int = CLUSTER_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept. docs: doc_id, text."""
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     made = staged(sketch_documents(docs, k), "sketches")
     full = made.where(F.col("set_key").isNotNull())
@@ -327,6 +328,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, least: int = LEAST, clust
         bands = bands.chunk(0) if isinstance(bands, pa.ChunkedArray) else bands
         got = resolve(node, sets, bands.flatten().to_numpy().reshape(len(node), -1), least)
         other = got != node
+        give_back()
         return pa.table({"node": node[other], "component": got[other]})
 
     found = sets.join(light, "node").groupBy("block").applyInArrow(work, "node long, component long")

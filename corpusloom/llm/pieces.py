@@ -24,10 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import buffers, ragged, slices
+from corpusloom.llm.common import buffers, give_back, ragged, slices, small_batches
 
 SIGN = "▁"
 UNKNOWN_COST = 10.0
+#: Bytes of text whose words are encoded together.
+WORD_BYTES = 1 << 20
 
 
 class Automaton:
@@ -40,7 +42,7 @@ class Automaton:
         children: list[list[tuple[int, int]]] = [[] for _ in range(n)]
         for p in prefixes[1:]:
             children[number[p[:-1]]].append((p[-1], number[p]))
-        self.move = np.zeros((n, 256), np.int32)
+        self.move = np.zeros((n, 256), np.uint16 if n <= 1 << 16 else np.int32)
         self.piece, self.score, self.length = np.full(n, -1, np.int32), np.zeros(n), np.zeros(n, np.int64)
         self.emit, self.link = np.zeros(n, np.int32), np.zeros(n, np.int32)
         fail = np.zeros(n, np.int32)
@@ -191,16 +193,18 @@ def pieces(path: str) -> Pieces:
     """This worker's automaton, built once."""
     if path not in _LOADED:
         _LOADED[path] = Pieces(path)
+        give_back()
     return _LOADED[path]
 
 
 def encode_pieces(df: DataFrame, model: str, text: str = "text") -> DataFrame:
     """df with ids (array of int) and piece_score."""
+    small_batches(df.sparkSession)
     at = df.columns.index(text)
     keep = [f for f in df.schema.fields if f.name not in ("ids", "piece_score")]
 
     def run(batches):
-        for b in slices(batches, at):
+        for b in slices(batches, at, WORD_BYTES):
             p = pieces(model)
             ids, ends, score = p.encode(b.column(at))
             null = pc.is_null(b.column(at)).to_numpy(zero_copy_only=False)

@@ -113,7 +113,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataF
         enc = encoder(tokenizer)
         kind = np.dtype("<u2" if enc.vocabulary <= 1 << 16 else "<u4")
         chunks, offsets, doc_ids, total, part = [], [np.zeros(1, np.int64)], [], 0, None
-        for b in slices(batches, 2):
+        for b in slices(batches, 2, 6 << 20):
             part = b.column(0)[0].as_py()
             ids, at = enc.encode(b.column(2), end_id)
             chunks.append(ids.astype(kind))
