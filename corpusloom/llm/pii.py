@@ -4,21 +4,25 @@ Base spans are leftmost matches of four patterns, one kind at a time; a match th
 The possessive patterns below match what the plain ones do in time linear in the text: a run that fails from its first
 character fails from every later one, so a match starts where the run does or where the last match ended.
 
-The method then looks at the words of at least four letters within REACH code points of a span, up to the next span.
-Over all documents it counts how many hold entity e, hold term t, and hold t near e. The information of e is
-IC(e) = log2(N / df(e)), what t tells of it is PMI(t, e) = log2(N df(t, e) / (df(t) df(e))). A term seen near e in
-SUPPORT different texts or more is generalised where PMI >= DISCLOSED * IC, removed where PMI >= IC, that is, where e
-is near it in every document that holds it.
+The method then looks at the words of at least four letters of the whole text, spans apart. Over all documents it counts
+how many hold entity e, hold term t, and hold both. The information of e is IC(e) = log2(N / df(e)), what t tells of it
+is PMI(t, e) = log2(N df(t, e) / (df(t) df(e))). A term with PMI >= DISCLOSED * IC is generalised, one with PMI >= IC
+removed, that is, where e is in every document that holds it. So that chance does not count, the two must be held
+together by SUPPORT different texts, or their log-likelihood ratio must reach SURE, which one document can do: such a
+term is replaced in all of a document that spells the entity. In the documents that don't, it is replaced where the ratio
+also reaches the level CHANCE shared among all words tried: of thousands of words some stand beside an entity by chance.
 
 Defined cases: a null text counts as empty (sanitise leaves it null); an empty table gives an empty one; rows that
 repeat are handled each for itself; overlapping base spans stay as they are in the list, and in sanitise give one
 placeholder, of the first kind; sanitise masks again, PASSES times, what a placeholder beside it turns into a match;
-columns named like the added ones are replaced, all others pass through. Time grows
-with text length times the number of spans in the same text.
+columns named like the added ones are replaced, all others pass through. Entities that the same texts hold are
+counted as one class, so a text with many entities of its own meets its words once.
 """
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,13 +38,17 @@ PATTERNS = {
 }
 IP = r"^{0}\.{0}\.{0}\.{0}$".format(r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?)?")
 WORD = r"\p{L}{4,}"
-REACH = 48
 SUPPORT = 3
+#: Least log-likelihood ratio of a pair: chi square with one degree of freedom at 0.0005.
+SURE = 12.12
+CHANCE = 0.05
+#: Terms too frequent to disclose anything that are dropped before words meet entities.
+FREQUENT = 10_000
 DISCLOSED = 0.75
 PASSES = 3
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 BLOCK = "array<struct<start:int,end:int,kind:int,entities:array<string>>>"
-NEAR = "array<struct<start:int,end:int,word:string>>"
+TERMS = "array<struct<start:int,end:int,removed:boolean>>"
 
 
 def matches(text: Column, pattern: str, kind: int, offset: Column | None = None) -> Column:
@@ -108,62 +116,101 @@ def blocks(spans: Column) -> Column:
     return F.aggregate(spans, first, step, closed)
 
 
-def near_words(text: Column, found: Column, reach: int = REACH) -> Column:
-    """Array of (entities, word, start, end): the whole words within reach of each block, between its neighbours."""
+def blanked(text: Column, found: Column) -> Column:
+    """The text with blanks in place of the blocks: no word reaches into one, and places stay."""
+    return F.when(F.size(found) == 0, text).otherwise(rebuilt(text, F.transform(found, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), F.repeat(F.lit(" "), b["end"] - b["start"]).alias("put")))))
+
+
+def words_of(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
 
-    def around(b: Column, i: Column) -> Column:
-        low = F.when(i == 0, F.lit(0)).otherwise(F.element_at(found, F.greatest(i, F.lit(1)))["end"])
-        high = F.when(i + 1 >= F.size(found), F.length(text)).otherwise(F.element_at(found, F.least(i + 2, F.size(found)))["start"])
-        left = F.greatest(low, b["start"] - reach)
-        right = F.least(high, b["end"] + reach)
-        before = F.filter(matches(F.substring(text, left + 1, b["start"] - left), WORD, TERM, left), lambda w: (w["start"] > left) | (left == low))
-        after = F.filter(matches(F.substring(text, b["end"] + 1, right - b["end"]), WORD, TERM, b["end"]), lambda w: (w["end"] < right) | (right == high))
-        return F.transform(F.concat(before, after), lambda w: F.struct(b["entities"].alias("entities"), F.lower(w["value"]).alias("word"), w["start"].alias("start"), w["end"].alias("end")))
 
-    return F.flatten(F.transform(found, around))
+def marked_words(text: Column, risky: Column) -> Column:
+    """TERMS array of the words that are keys of the map, with its value, by start."""
+    pairs = F.zip_with(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.split(text, WORD, -1), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g")))
+    first = F.struct(F.lit(0).alias("at"), F.array().cast(TERMS).alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["g"]
+        end = start + F.coalesce(F.length(x["m"]), F.lit(0))
+        removed = F.try_element_at(risky, F.lower(x["m"]))
+        out = let(removed, lambda r: F.when(r.isNull(), acc["out"]).otherwise(F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), r.alias("removed")))))
+        return F.struct(end.alias("at"), out.alias("out"))
+
+    return F.aggregate(pairs, first, step, lambda acc: acc["out"])
 
 
 def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with _spans, _blocks, _near and, where there are spans, _key: a digest of the text."""
+    """docs with _spans, _blocks, _plain (the text without its spans) and _key: a digest of the text."""
     t = text_of(text)
-    some = F.size("_spans") > 0
     return (
         docs.withColumn("_spans", base_spans(t))
-        .withColumn("_blocks", F.when(some, blocks(F.col("_spans"))).otherwise(F.array().cast(BLOCK)))
-        .withColumn("_near", F.when(some, near_words(t, F.col("_blocks"))))
-        .withColumn("_key", F.when(some, F.sha2(t, 256)))
+        .withColumn("_blocks", F.when(F.size("_spans") > 0, blocks(F.col("_spans"))).otherwise(F.array().cast(BLOCK)))
+        .withColumn("_plain", blanked(t, F.col("_blocks")))
+        .withColumn("_key", F.sha2(t, 256))
     )
 
 
+def likelihood_ratio(n: Column, a: Column, b: Column, both: Column) -> Column:
+    """Dunning's ratio of two events in n documents that a, b and both of them hold."""
+
+    def f(x: Column) -> Column:
+        x = x.cast("double")
+        return F.when(x > 0, x * F.log(x)).otherwise(0.0)
+
+    cells = f(both) + f(a - both) + f(b - both) + f(n - a - b + both)
+    return 2 * (cells - f(a) - f(n - a) - f(b) - f(n - b) + f(n))
+
+
+def shared_level(tried: int) -> float:
+    """Least ratio that all of so many words together exceed by chance with probability CHANCE, SURE at least."""
+    return max(SURE, NormalDist().inv_cdf(CHANCE / 2 / max(tried, 1)) ** 2)
+
+
 def disclosing_terms(docs: DataFrame, found: DataFrame, text: str = "text", support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
-    """One row a text with spans that has risky terms near them: _key, _risky (map of entity and term to whether it is removed)."""
-    spanned = found.where(F.col("_key").isNotNull())
-    pairs = F.flatten(F.transform("_near", lambda w: F.transform(w["entities"], lambda e: F.struct(e.alias("entity"), w["word"].alias("term")))))
-    held = staged(spanned.select("_key", F.explode(F.array_distinct(pairs)).alias("p")).groupBy("_key", "p.entity", "p.term").agg(F.count("*").alias("docs")), "pii-near")
-    entities = spanned.select(F.explode(F.array_distinct(F.transform("_spans", entity))).alias("entity")).groupBy("entity").agg(F.count("*").alias("df_e"))
-    both = staged(held.groupBy("entity", "term").agg(F.sum("docs").alias("df_te"), F.count("*").alias("texts")).where(F.col("texts") >= support), "pii-pairs")
-    # words are counted before they meet the pairs: as many rows move as there are words
-    df_t = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_of(text)), F.lit(WORD), F.lit(0)))).alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
+    """One row a text that holds risky terms: _key, _risky (map of term to whether it is removed)."""
     n = docs.count()
-    ic = F.log2(F.lit(float(n)) / F.col("df_e"))
-    pmi = F.log2(F.lit(float(n)) * F.col("df_te") / (F.col("df_t") * F.col("df_e")))
-    risky = both.join(entities, "entity").join(df_t, "term").where((ic > 0) & (pmi >= F.lit(disclosed) * ic - 1e-9)).select("entity", "term", (pmi >= ic - 1e-9).alias("removed"))
-    risky = staged(risky, "pii-risky")
-    few = risky.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    one = F.struct(F.concat_ws("\u0001", "entity", "term").alias("key"), "removed")
-    return held.join(F.broadcast(risky) if few else risky, ["entity", "term"]).groupBy("_key").agg(F.map_from_entries(F.collect_set(one)).alias("_risky"))
+    own = staged(found.where(F.size("_spans") > 0).select("_key", F.array_distinct(F.transform("_spans", entity)).alias("entities"), words_of(F.col("_plain")).alias("words")), "pii-own")
+    held = staged(own.select("_key", F.explode("entities").alias("entity")).groupBy("_key", "entity").agg(F.count("*").alias("docs")), "pii-held")
+    # entities of the same texts have the same counts with every term
+    same = F.struct(F.sum("docs").alias("df_e"), F.count("*").alias("texts"), F.bit_xor(F.xxhash64("_key")).alias("x"), F.bit_xor(F.xxhash64("_key", F.lit(1))).alias("y"))
+    classes = held.groupBy("entity").agg(same.alias("class"))
+    texts = staged(held.join(classes, "entity").select("_key", "class", "docs").distinct(), "pii-classes")
+    most = texts.agg(F.max("class.df_e")).first()[0] or 0
+    df_t = staged(found.select(F.explode(words_of(F.col("_plain"))).alias("term")).groupBy("term").agg(F.count("*").alias("df_t")), "pii-words")
+    # of a term in more documents no entity has a PMI of disclosed * IC
+    frequent = df_t.where(F.col("df_t") > (n or 1) ** (1 - disclosed) * most**disclosed * (1 + 1e-9)).orderBy(F.desc("df_t"), "term").limit(FREQUENT).select("term")
+    words = own.select("_key", F.explode("words").alias("term")).join(F.broadcast(frequent), "term", "left_anti").distinct()
+    pairs = staged(texts.join(words, "_key"), "pii-pairs")
+    both = pairs.groupBy("class", "term").agg(F.sum("docs").alias("df_te"), F.count("*").alias("texts"))
+    all_docs, df_e = F.lit(float(n)), F.col("class.df_e")
+    ic = F.log2(all_docs / df_e)
+    pmi = F.log2(all_docs * F.col("df_te") / (F.col("df_t") * df_e))
+    wide_from = shared_level(own.agg(F.sum(F.size("words"))).first()[0] or 0)
+    judged = both.join(df_t, "term").withColumn("ratio", likelihood_ratio(all_docs, df_e, F.col("df_t"), F.col("df_te")))
+    risky = judged.where((ic > 0) & (pmi >= F.lit(disclosed) * ic - 1e-9) & ((F.col("ratio") >= SURE) | (F.col("texts") >= support)))
+    risky = staged(risky.select("class", "term", (pmi >= ic - 1e-9).alias("removed"), ((F.col("ratio") >= wide_from) & (F.col("df_t") > F.col("df_te"))).alias("elsewhere")), "pii-risky")
+
+    def bounded(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+    here = pairs.join(bounded(risky.select("class", "term", "removed")), ["class", "term"]).select("_key", "term", "removed")
+    wide = staged(risky.where("elsewhere").select("term").distinct(), "pii-wide")
+    if wide.limit(1).count():
+        there = found.select("_key", F.explode(words_of(F.col("_plain"))).alias("term")).join(bounded(wide), "term").select("_key", "term", F.lit(False).alias("removed"))
+        here = here.unionByName(there)
+    # of a term that discloses several entities the strictest decision holds
+    return here.groupBy("_key", "term").agg(F.max("removed").alias("removed")).groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "removed"))).alias("_risky"))
 
 
 def with_spans(docs: DataFrame, text: str = "text", support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
     """docs with _spans (base), _blocks and _terms (start, end, removed; by start)."""
-    docs = docs.drop("_spans", "_blocks", "_near", "_key", "_risky", "_terms")
+    docs = docs.drop("_spans", "_blocks", "_plain", "_key", "_risky", "_terms")
     found = with_base(docs, text)
     risky = staged(disclosing_terms(docs, found, text, support, disclosed), "pii-risky-texts")
     joined = attach(found, risky, "_key", F.col("_key"))
-    named = F.flatten(F.transform("_near", lambda w: F.transform(w["entities"], lambda e: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.try_element_at(F.col("_risky"), F.concat_ws("\u0001", e, w["word"])).alias("removed")))))
-    hit = F.filter(named, lambda w: w["removed"].isNotNull())
-    terms = F.when(F.col("_risky").isNotNull(), F.array_sort(F.array_distinct(hit))).otherwise(F.array().cast("array<struct<start:int,end:int,removed:boolean>>"))
-    return joined.withColumn("_terms", terms).drop("_near", "_key", "_risky")
+    terms = F.when(F.col("_risky").isNotNull(), marked_words(F.col("_plain"), F.col("_risky"))).otherwise(F.array().cast(TERMS))
+    return joined.withColumn("_terms", terms).drop("_plain", "_key", "_risky")
 
 
 def listed(spans: Column) -> Column:
@@ -219,11 +266,9 @@ def masked(text: Column, passes: int = PASSES) -> Column:
 def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every base span replaced by its kind in brackets and every disclosing term generalised to [TERM] or removed."""
     made = with_spans(docs, text)
-    # of a term that discloses several entities the strictest decision holds
-    worst = F.filter("_terms", lambda w: w["removed"] | ~F.exists("_terms", lambda x: (x["start"] == w["start"]) & x["removed"]))
-    terms = F.transform(worst, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.when(w["removed"], F.lit("")).otherwise(F.lit("[TERM]")).alias("put")))
+    terms = F.transform("_terms", lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.when(w["removed"], F.lit("")).otherwise(F.lit("[TERM]")).alias("put")))
     made = made.withColumn("_cuts", F.array_sort(F.concat(placeholders(F.col("_blocks")), terms)))
-    clean = F.when(F.size("_blocks") > 0, masked(rebuilt(text_of(text), F.col("_cuts")))).otherwise(F.col(text))
+    clean = F.when(F.size("_cuts") > 0, masked(rebuilt(text_of(text), F.col("_cuts")))).otherwise(F.col(text))
     return made.withColumn(text, clean).select(*docs.columns)
 
 

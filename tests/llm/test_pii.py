@@ -115,3 +115,15 @@ def test_luhn(spark):
     df = spark.createDataFrame(rows, "d string, ok boolean")
     assert df.where(pii.luhn(F.col("d")) == F.col("ok")).count() == 2
     assert pytest.approx(1) == 1
+
+
+def test_terms_of_single_documents_and_far_away(spark):
+    """One document is enough, any place in it counts, and a document without the entity is sanitised as well."""
+    filler = "plain words without anything special " * 20
+    texts = [f"Xylophonist {filler} mail ann@example.org", f"{filler} Quagmire mail eve@example.org", f"here stands quagmire {filler}", *[f"{filler} mail" for _ in range(4997)]]
+    out = run(spark, texts)
+    terms = lambda i: {texts[i][int(s) : int(e)] for k, s, e in (x.split(":") for x in out[i].spans.split(",") if x) if k == "term"}
+    assert terms(0) == {"Xylophonist"} and terms(1) == {"Quagmire"} and terms(2) == {"quagmire"} and out[3].spans == ""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.sanitise(df).where("doc_id < 4").collect()}
+    assert got[0].startswith(" plain") and "[TERM]" in got[1] and got[2].startswith("here stands [TERM] plain") and got[3] == texts[3]
