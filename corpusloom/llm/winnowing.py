@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 
 from corpusloom.llm.common import NULL_ID, mix64, partitions, powers, range_number, ranges, slices
 
-GRAM = 16
-WINDOW = 64
+GRAM = 8
+WINDOW = 8
 
 
 def rolling(points: np.ndarray, k: int = GRAM) -> np.ndarray:

@@ -63,3 +63,14 @@ def test_lone_repeated_null_and_empty(spark):
     assert len(one) == 1 and one[0].near_next == one[0].near_edited == 1.0
     many = make([(5, "a" * 100), (5, "a" * 100), (None, "b"), (3, "c" * 50)])
     assert len(many) == 4 and many[0].fingerprint == many[1].fingerprint or len({r.fingerprint for r in many if r.doc_id == 5}) == 1
+
+
+def test_short_texts_keep_their_first_half():
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    for n in range(30, 160):
+        for _ in range(5):
+            own = text(n)
+            edited = w.edited_text(own, text(200))
+            a, b = (set(x["hash"].tolist()) for x in w.fingerprints([own, edited]))
+            assert 0 < w.likeness(a, b) < 1, n
