@@ -11,12 +11,15 @@ removed, that is, where e is in every document that holds it. So that chance doe
 together by SUPPORT different texts, or their log-likelihood ratio must reach SURE, which one document can do: such a
 term is replaced in all of a document that spells the entity. In the documents that don't, it is replaced where the ratio
 also reaches the level CHANCE shared among all words tried: of thousands of words some stand beside an entity by chance.
+Copies are no independent witnesses: of an entity's D documents with U different words and S words in all, D * U / S
+count, in whole numbers, and the ratio there is lowered by that share.
 
 Defined cases: a null text counts as empty (sanitise leaves it null); an empty table gives an empty one; rows that
 repeat are handled each for itself; overlapping base spans stay as they are in the list, and in sanitise give one
-placeholder, of the first kind; sanitise masks again, PASSES times, what a placeholder beside it turns into a match;
-columns named like the added ones are replaced, all others pass through. Entities that the same texts hold are
-counted as one class, so a text with many entities of its own meets its words once.
+placeholder, of the first kind; sanitise masks again until nothing is left what a placeholder beside it turns into a
+match; columns named like the added ones are replaced, all others pass through. Entities that the same texts hold are
+counted as one class, so a text with many entities of its own meets its words once. Places in a text come from running
+sums in parts of PART elements, so a text of any number of spans takes time near its length.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import BROADCAST_ROWS, attach, let, staged, text_of
+from corpusloom.llm.common import BROADCAST_ROWS, let, staged, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = len(KINDS)
@@ -45,24 +48,47 @@ CHANCE = 0.05
 #: Terms too frequent to disclose anything that are dropped before words meet entities.
 FREQUENT = 10_000
 DISCLOSED = 0.75
-PASSES = 3
+#: Elements that a running sum or a text's rebuilding takes at once.
+PART = 64
+#: Parts of a text's map of terms.
+DRAWERS = 64
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
-BLOCK = "array<struct<start:int,end:int,kind:int,entities:array<string>>>"
+CUTS = "array<struct<start:int,end:int,put:string>>"
 TERMS = "array<struct<start:int,end:int,removed:boolean>>"
 
 
-def matches(text: Column, pattern: str, kind: int, offset: Column | None = None) -> Column:
-    """SPAN array of a pattern's leftmost non-overlapping matches: the pieces between them give the places."""
-    pairs = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.transform(F.split(text, pattern, -1), lambda g: F.length(g)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    first = F.struct((F.lit(0) if offset is None else offset).cast("int").alias("at"), F.array().cast(SPAN).alias("out"))
+def parts(values: Column) -> Column:
+    """The array in arrays of PART elements."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / PART).cast("int") - 1, F.lit(0))), lambda i: F.slice(values, i * PART + 1, PART))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["g"]
-        end = start + F.coalesce(F.length(x["m"]), F.lit(0))
-        one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["m"].alias("value"))
-        return F.struct(end.alias("at"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], one)).alias("out"))
 
-    return F.aggregate(pairs, first, step, lambda acc: acc["out"])
+def running(values: Column, step, first: int) -> Column:
+    """What step makes of all elements before each one. Appending within parts keeps copies of the result short."""
+
+    def plain(xs: Column, start: Column) -> Column:
+        zero = F.struct(start.alias("now"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(xs, zero, lambda acc, x: F.struct(step(acc["now"], x).alias("now"), F.array_append(acc["out"], acc["now"]).alias("out")), lambda acc: acc["out"])
+
+    def in_parts(xs: Column) -> Column:
+        return let(parts(xs), lambda ps: F.flatten(F.zip_with(ps, plain(F.transform(ps, lambda p: F.aggregate(p, F.lit(first), step)), F.lit(first)), plain)))
+
+    return let(values, lambda xs: F.when(F.size(xs) <= PART, plain(xs, F.lit(first))).otherwise(in_parts(xs)))
+
+
+def places(text: Column, pattern: str) -> Column:
+    """Array of start and m for a pattern's leftmost non-overlapping matches: the pieces between them give the places."""
+    pairs = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g")))
+
+    def placed(x: Column) -> Column:
+        before = running(F.transform(x, lambda e: e["g"] + F.coalesce(F.length(e["m"]), F.lit(0))), lambda a, n: a + n, 0)
+        return F.filter(F.zip_with(x, before, lambda e, at: F.struct((at + e["g"]).alias("start"), e["m"].alias("m"))), lambda e: e["m"].isNotNull())
+
+    return let(pairs, placed)
+
+
+def matches(text: Column, pattern: str, kind: int) -> Column:
+    """SPAN array of a pattern's matches."""
+    return F.transform(places(text, pattern), lambda e: F.struct(e["start"].alias("start"), F.lit(kind).alias("kind"), (e["start"] + F.length(e["m"])).alias("end"), e["m"].alias("value")))
 
 
 def digits(value: Column) -> Column:
@@ -95,30 +121,19 @@ def entity(span: Column) -> Column:
     return F.concat_ws(":", kind, F.when(span["kind"].isin(2, 3), digits(span["value"])).otherwise(F.lower(span["value"])))
 
 
-def blocks(spans: Column) -> Column:
-    """BLOCK array: overlapping spans joined, with the entities of each."""
-    first = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.lit(-1).alias("kind"), F.array().cast("array<string>").alias("entities"), F.array().cast(BLOCK).alias("out"))
+def cuts_of(spans: Column, put) -> Column:
+    """CUTS array of the places that the spans (by start) cover, each once: a span that reaches on from one before it gives its rest and puts nothing there. put: what stands in place of a span's n code points."""
 
-    def closed(acc: Column) -> Column:
-        one = F.struct(acc["start"].alias("start"), acc["end"].alias("end"), acc["kind"].alias("kind"), acc["entities"].alias("entities"))
-        return F.when(acc["start"] < 0, acc["out"]).otherwise(F.array_append(acc["out"], one))
+    def cut(s: Column, reached: Column) -> Column:
+        start = F.greatest(s["start"], reached)
+        return F.struct(start.alias("start"), s["end"].alias("end"), put(s, s["end"] - start, s["start"] >= reached).alias("put"))
 
-    def step(acc: Column, s: Column) -> Column:
-        same = s["start"] < acc["end"]
-        return F.struct(
-            F.when(same, acc["start"]).otherwise(s["start"]).alias("start"),
-            F.greatest(acc["end"], s["end"]).alias("end"),
-            F.when(same, acc["kind"]).otherwise(s["kind"]).alias("kind"),
-            F.when(same, F.array_append(acc["entities"], entity(s))).otherwise(F.array(entity(s))).alias("entities"),
-            F.when(same, acc["out"]).otherwise(closed(acc)).alias("out"),
-        )
+    return let(spans, lambda x: F.filter(F.zip_with(x, running(F.transform(x, lambda s: s["end"]), lambda a, b: F.greatest(a, b), 0), cut), lambda c: c["start"] < c["end"]))
 
-    return F.aggregate(spans, first, step, closed)
 
-
-def blanked(text: Column, found: Column) -> Column:
-    """The text with blanks in place of the blocks: no word reaches into one, and places stay."""
-    return F.when(F.size(found) == 0, text).otherwise(rebuilt(text, F.transform(found, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), F.repeat(F.lit(" "), b["end"] - b["start"]).alias("put")))))
+def blanked(text: Column, spans: Column) -> Column:
+    """The text with blanks in place of the spans: no word reaches into one, and places stay."""
+    return F.when(F.size(spans) == 0, text).otherwise(rebuilt(text, cuts_of(spans, lambda s, n, first: F.repeat(F.lit(" "), n))))
 
 
 def words_of(text: Column) -> Column:
@@ -126,29 +141,27 @@ def words_of(text: Column) -> Column:
 
 
 def marked_words(text: Column, risky: Column) -> Column:
-    """TERMS array of the words that are keys of the map, with its value, by start."""
-    pairs = F.zip_with(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.split(text, WORD, -1), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g")))
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(TERMS).alias("out"))
+    """TERMS array of the words that are keys of the map (in drawers), with its value, by start."""
+
+    def found(e: Column) -> Column:
+        removed = let(F.lower(e["m"]), lambda w: F.try_element_at(F.try_element_at(risky, drawer(w)), w))
+        return F.struct(e["start"].alias("start"), (e["start"] + F.length(e["m"])).alias("end"), removed.alias("removed"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["g"]
-        end = start + F.coalesce(F.length(x["m"]), F.lit(0))
-        removed = F.try_element_at(risky, F.lower(x["m"]))
-        out = let(removed, lambda r: F.when(r.isNull(), acc["out"]).otherwise(F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), r.alias("removed")))))
-        return F.struct(end.alias("at"), out.alias("out"))
+    return F.filter(F.transform(places(text, WORD), found), lambda w: w["removed"].isNotNull())
 
-    return F.aggregate(pairs, first, step, lambda acc: acc["out"])
+
+def drawer(term: Column) -> Column:
+    return F.pmod(F.hash(term), F.lit(DRAWERS))
 
 
 def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with _spans, _blocks, _plain (the text without its spans) and _key: a digest of the text."""
+    """docs with _spans, _plain (the text without its spans) and _key: a digest of the text."""
     t = text_of(text)
-    return (
-        docs.withColumn("_spans", base_spans(t))
-        .withColumn("_blocks", F.when(F.size("_spans") > 0, blocks(F.col("_spans"))).otherwise(F.array().cast(BLOCK)))
-        .withColumn("_plain", blanked(t, F.col("_blocks")))
-        .withColumn("_key", F.sha2(t, 256))
-    )
+    return docs.withColumn("_spans", base_spans(t)).withColumn("_plain", blanked(t, F.col("_spans"))).withColumn("_key", key_of(text))
+
+
+def key_of(text: str = "text") -> Column:
+    return F.unhex(F.md5(text_of(text)))
 
 
 def likelihood_ratio(n: Column, a: Column, b: Column, both: Column) -> Column:
@@ -182,35 +195,43 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text: str = "text", supp
     frequent = df_t.where(F.col("df_t") > (n or 1) ** (1 - disclosed) * most**disclosed * (1 + 1e-9)).orderBy(F.desc("df_t"), "term").limit(FREQUENT).select("term")
     words = own.select("_key", F.explode("words").alias("term")).join(F.broadcast(frequent), "term", "left_anti").distinct()
     pairs = staged(texts.join(words, "_key"), "pii-pairs")
-    both = pairs.groupBy("class", "term").agg(F.sum("docs").alias("df_te"), F.count("*").alias("texts"))
+    both = staged(pairs.groupBy("class", "term").agg(F.sum("docs").alias("df_te"), F.count("*").alias("texts")), "pii-both")
     all_docs, df_e = F.lit(float(n)), F.col("class.df_e")
     ic = F.log2(all_docs / df_e)
     pmi = F.log2(all_docs * F.col("df_te") / (F.col("df_t") * df_e))
     wide_from = shared_level(own.agg(F.sum(F.size("words"))).first()[0] or 0)
     judged = both.join(df_t, "term").withColumn("ratio", likelihood_ratio(all_docs, df_e, F.col("df_t"), F.col("df_te")))
     risky = judged.where((ic > 0) & (pmi >= F.lit(disclosed) * ic - 1e-9) & ((F.col("ratio") >= SURE) | (F.col("texts") >= support)))
-    risky = staged(risky.select("class", "term", (pmi >= ic - 1e-9).alias("removed"), ((F.col("ratio") >= wide_from) & (F.col("df_t") > F.col("df_te"))).alias("elsewhere")), "pii-risky")
+    risky = staged(risky.select("class", "term", "ratio", (pmi >= ic - 1e-9).alias("removed"), ((F.col("ratio") >= wide_from) & (F.col("df_t") > F.col("df_te"))).alias("elsewhere")), "pii-risky")
+    # copies are one witness: D * U / S of an entity's D documents count
+    witnesses = both.groupBy("class").agg(F.greatest(F.lit(1), F.floor(F.first("class.df_e") * F.count("*") / F.sum("df_te"))).alias("witnesses"))
+    spread = risky.where("elsewhere").join(witnesses, "class").where(F.col("ratio") * F.col("witnesses") / df_e >= wide_from)
 
     def bounded(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
     here = pairs.join(bounded(risky.select("class", "term", "removed")), ["class", "term"]).select("_key", "term", "removed")
-    wide = staged(risky.where("elsewhere").select("term").distinct(), "pii-wide")
+    wide = staged(spread.select("term").distinct(), "pii-wide")
     if wide.limit(1).count():
         there = found.select("_key", F.explode(words_of(F.col("_plain"))).alias("term")).join(bounded(wide), "term").select("_key", "term", F.lit(False).alias("removed"))
         here = here.unionByName(there)
     # of a term that discloses several entities the strictest decision holds
-    return here.groupBy("_key", "term").agg(F.max("removed").alias("removed")).groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "removed"))).alias("_risky"))
+    terms = here.groupBy("_key", "term").agg(F.max("removed").alias("removed"))
+    drawers = terms.groupBy("_key", drawer(F.col("term")).alias("drawer")).agg(F.map_from_entries(F.collect_list(F.struct("term", "removed"))).alias("terms"))
+    return drawers.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("drawer", "terms"))).alias("_risky"))
 
 
 def with_spans(docs: DataFrame, text: str = "text", support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
-    """docs with _spans (base), _blocks and _terms (start, end, removed; by start)."""
-    docs = docs.drop("_spans", "_blocks", "_plain", "_key", "_risky", "_terms")
-    found = with_base(docs, text)
-    risky = staged(disclosing_terms(docs, found, text, support, disclosed), "pii-risky-texts")
-    joined = attach(found, risky, "_key", F.col("_key"))
-    terms = F.when(F.col("_risky").isNotNull(), marked_words(F.col("_plain"), F.col("_risky"))).otherwise(F.array().cast(TERMS))
-    return joined.withColumn("_terms", terms).drop("_plain", "_key", "_risky")
+    """docs with _spans (base) and _terms (start, end, removed; by start).
+
+    Texts meet their terms by a join on the digest: Spark splits the part of a text with very many copies.
+    """
+    docs = docs.drop("_spans", "_plain", "_key", "_risky", "_terms")
+    risky = staged(disclosing_terms(docs, with_base(docs, text), text, support, disclosed), "pii-risky-texts")
+    joined = docs.withColumn("_key", key_of(text)).join(risky, "_key", "left")
+    t = text_of(text)
+    terms = F.when(F.col("_risky").isNotNull(), marked_words(blanked(t, F.col("_spans")), F.col("_risky"))).otherwise(F.array().cast(TERMS))
+    return joined.withColumn("_spans", base_spans(t)).withColumn("_terms", terms).drop("_key", "_risky")
 
 
 def listed(spans: Column) -> Column:
@@ -223,10 +244,10 @@ def term_spans() -> Column:
     return F.array_distinct(F.transform("_terms", lambda w: F.struct(w["start"].alias("start"), F.lit(TERM).alias("kind"), w["end"].alias("end"))))
 
 
-def find_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
+def find_personal_data(docs: DataFrame, text: str = "text", support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
     """docs with n_email, n_ip, n_card, n_phone, base_sha256, spans."""
     docs = docs.drop("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
-    made = with_spans(docs, text)
+    made = with_spans(docs, text, support, disclosed)
 
     def of_kind(i: int) -> Column:
         return F.size(F.filter("_spans", lambda s: s["kind"] == i)).cast("long")
@@ -234,40 +255,50 @@ def find_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
     for i, kind in enumerate(KINDS):
         made = made.withColumn(f"n_{kind}", of_kind(i))
     bare = F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    return made.withColumn("base_sha256", F.sha2(listed(bare), 256)).withColumn("spans", listed(F.array_sort(F.concat(bare, term_spans())))).drop("_spans", "_blocks", "_terms")
+    return made.withColumn("base_sha256", F.sha2(listed(bare), 256)).withColumn("spans", listed(F.array_sort(F.concat(bare, term_spans())))).drop("_spans", "_terms")
 
 
 def rebuilt(text: Column, cuts: Column) -> Column:
-    """The text with each cut (start, end, put; by start, apart) replaced."""
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    parts = F.aggregate(
-        cuts,
-        first,
-        lambda acc, c: F.struct(c["end"].alias("at"), F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, c["start"] - acc["at"]), c["put"])).alias("out")),
-        lambda acc: F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, F.length(text)))),
-    )
-    return F.array_join(parts, "")
-
-
-def placeholders(found: Column) -> Column:
+    """The text with each cut (start, end, put; by start, apart) replaced. Each part of the cuts takes its own piece of the text."""
+
+    def piece(own: Column, start: Column) -> Column:
+        local = F.substring(text, start + 1, F.element_at(own, -1)["end"] - start)
+        first = F.struct(start.alias("at"), F.array().cast("array<string>").alias("out"))
+        made = let(local, lambda x: F.aggregate(own, first, lambda acc, c: F.struct(c["end"].alias("at"), F.concat(acc["out"], F.array(F.substring(x, acc["at"] - start + 1, c["start"] - acc["at"]), c["put"])).alias("out")), lambda acc: acc["out"]))
+        return F.array_join(made, "")
+
+    def joined(ps: Column) -> Column:
+        ends = F.transform(ps, lambda p: F.element_at(p, -1)["end"])
+        starts = F.slice(F.concat(F.array(F.lit(0)), ends), 1, F.size(ps))
+        return F.concat(F.array_join(F.zip_with(ps, starts, piece), ""), F.substring(text, F.element_at(ends, -1) + 1, F.length(text)))
+
+    return F.when(F.size(cuts) == 0, text).otherwise(let(parts(cuts), joined))
+
+
+def placeholders(spans: Column) -> Column:
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    return F.transform(found, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), F.element_at(names, b["kind"] + 1).alias("put")))
+    return cuts_of(spans, lambda s, n, first: F.when(first, F.element_at(names, s["kind"] + 1)).otherwise(F.lit("")))
+
 
+def masked(text: Column) -> Column:
+    """The text with base spans replaced, again while the replacements leave a new match: a run that failed its test for what stood beside it.
 
-def masked(text: Column, passes: int = PASSES) -> Column:
-    """The text with base spans replaced, again where the first replacements leave a new match: a run that failed its test for what stood beside it."""
+    A pass that changes the text takes at least the five code points of a shortest span, so a text needs no more passes
+    than a fifth of its length; those after the last change do nothing.
+    """
+    state = F.struct(text.alias("text"), F.lit(True).alias("open"))
 
     def once(t: Column) -> Column:
-        return let(blocks(base_spans(t)), lambda b: F.when(F.size(b) == 0, t).otherwise(rebuilt(t, placeholders(b))))
+        return let(base_spans(t), lambda s: F.struct(F.when(F.size(s) == 0, t).otherwise(rebuilt(t, placeholders(s))).alias("text"), (F.size(s) > 0).alias("open")))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(passes)), text, lambda t, _: once(t))
+    return F.aggregate(F.sequence(F.lit(0), F.floor(F.length(text) / 5).cast("int")), state, lambda acc, _: F.when(acc["open"], once(acc["text"])).otherwise(acc), lambda acc: acc["text"])
 
 
-def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
+def sanitise(docs: DataFrame, text: str = "text", support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
     """docs with every base span replaced by its kind in brackets and every disclosing term generalised to [TERM] or removed."""
-    made = with_spans(docs, text)
+    made = with_spans(docs, text, support, disclosed)
     terms = F.transform("_terms", lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.when(w["removed"], F.lit("")).otherwise(F.lit("[TERM]")).alias("put")))
-    made = made.withColumn("_cuts", F.array_sort(F.concat(placeholders(F.col("_blocks")), terms)))
+    made = made.withColumn("_cuts", F.array_sort(F.concat(placeholders(F.col("_spans")), terms)))
     clean = F.when(F.size("_cuts") > 0, masked(rebuilt(text_of(text), F.col("_cuts")))).otherwise(F.col(text))
     return made.withColumn(text, clean).select(*docs.columns)
 

@@ -57,9 +57,9 @@ def test_base_spans(spark):
 @settings(max_examples=6, deadline=None)
 @given(st.lists(st.text(alphabet="a1@.+- (4", max_size=60), min_size=40, max_size=40))
 def test_base_spans_random(spark, texts):
-    out = run(spark, texts)
-    for i, t in enumerate(texts):
-        assert out[i].base_sha256 == hashlib.sha256(listed(base(t)).encode()).hexdigest(), t
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", pii.listed(pii.base_spans(F.col("t"))).alias("spans")).collect():
+        assert r.spans == listed(base(r.t)), r.t
 
 
 def corpus():
@@ -127,3 +127,41 @@ def test_terms_of_single_documents_and_far_away(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in pii.sanitise(df).where("doc_id < 4").collect()}
     assert got[0].startswith(" plain") and "[TERM]" in got[1] and got[2].startswith("here stands [TERM] plain") and got[3] == texts[3]
+
+
+def test_copies_are_one_witness(spark):
+    """What near-copies share stays in a document of others, though three of them stand together with the entity."""
+    words = [f"rare{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}word" for i in range(3200)]
+    copies = [f"{' '.join(words[:3000])} mail ann@example.org {words[3000 + i]}" for i in range(3)]
+    texts = [*copies, f"here stands {words[0]} alone", *[f"filler {words[3100 + i % 100]} mail" for i in range(4000)]]
+    out = run(spark, texts)
+    assert "term" in out[0].spans and out[3].spans == ""
+
+
+def test_many_spans_in_one_text(spark):
+    import time
+
+    texts = [" ".join(f"user{i}@example{i}.org from 10.0.{i % 256}.{i // 256} word{i}" for i in range(8000)), "short a@b.co"]
+    began = time.perf_counter()
+    out = run(spark, texts)
+    got = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert out[0].base_sha256 == hashlib.sha256(listed(base(texts[0])).encode()).hexdigest() and out[0].n_email == out[0].n_ip == 8000
+    assert not base(got[0]) and got[0].count("[EMAIL]") == 8000 and time.perf_counter() - began < 120
+
+
+def test_masking_ends_only_when_nothing_is_left(spark):
+    """Runs that failed for what stood beside them come to light one after another."""
+    text = "4111 1111 1111 1111 1@b.co 9"
+    for _ in range(5):
+        text = f"{text} 4111 1111 1111 1111 22@c.de"
+    rows = [(text,), ("a1@b.co" * 30,), ("1.2.3.4" * 9,), ("",), ("nothing",)]
+    got = [r.m for r in spark.createDataFrame(rows, "t string").select(pii.masked(F.col("t")).alias("m")).collect()]
+    assert all(not base(t) for t in got) and got[3:] == ["", "nothing"]
+
+
+def test_overlapping_spans(spark):
+    """Spans of two kinds that overlap give one placeholder; places of the terms stay."""
+    text = "call +1.2.3.4 or 12345678@1.2.3.4 end"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = df.select(pii.blanked(F.col("text"), pii.base_spans(F.col("text"))).alias("b"), pii.masked(F.col("text")).alias("m")).first()
+    assert len(row.b) == len(text) and row.b.split() == ["call", *(["+"] if "+" in row.b else []), "or", "end"] and not base(row.m)
