@@ -11,9 +11,8 @@ from corpusloom.llm.common import staged
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter go; the model learns from the labelled rows outside the held-out fourth."""
-    model = langid.train(docs.where(~langid.held_out()))
-    return langid.known_language(docs, model)
+    """Documents in none of the learned languages go, others without a lang get the predicted one; the model learns from the labelled rows outside the held-out fourth."""
+    return langid.keep_known(docs, langid.train(docs.where(~langid.held_out())))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
