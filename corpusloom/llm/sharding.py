@@ -1,8 +1,10 @@
 """Sharding by longest-processing-time scheduling: groups of equal texts stay together, sizes come out near equal.
 
-Groups are sorted by size and each goes to the least-loaded shard, through a heap. So that the heap's input is bounded
-at any scale, a group of less than 1/ITEMS of the whole is first joined with others by its text's hash into one of
-ITEMS bundles, which then count as groups. At most 2 * ITEMS of them exist, whatever the input; no group is split.
+Groups are sorted by size and each goes to the least-loaded shard, through a heap. Groups of one size are
+interchangeable, so the heap needs only how many groups each size has: the sizes of all groups sum up to the table's
+bytes B, so that there are at most sqrt(2 B) different ones (14 million at 100 TB), and those go to the driver. A size
+with many groups is dealt in one step, to the loads that the heap would reach, and each of its groups gets its shard by
+its rank within the size. The schedule is the one of all groups, at any scale.
 
 Defined cases: a null text counts as empty, of size 1; rows that repeat an id are rows of their own; an empty table
 gives an empty one; extra columns pass through the assignment unseen. Two different texts with one hash share a group,
@@ -12,6 +14,7 @@ which is harmless. A group larger than a shard's share makes that shard the larg
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,32 +22,63 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import partitions, staged, text_of
 
 SHARDS = 8
-ITEMS = 4096
+#: A group with at least one row in so many is joined to its rows by broadcast: there are at most HOT such groups.
+HOT = 1000
+#: Groups of one size that are ranked in one task.
+RANKED = 50_000
 
 
-def longest_first(sizes: list[tuple[int, int, int]], shards: int) -> dict[tuple[int, int], int]:
-    """sizes: (size, kind, item). The shard of each (kind, item)."""
-    heap = [(0, s) for s in range(shards)]
-    placed = {}
-    for size, kind, item in sorted(sizes, key=lambda x: (-x[0], x[1], x[2])):
-        load, shard = heapq.heappop(heap)
-        placed[kind, item] = shard
-        heapq.heappush(heap, (load + size, shard))
-    return placed
+def longest_first(sizes: list[tuple[int, int]], shards: int) -> dict[int, list[int]]:
+    """sizes: (size, number of groups). How many groups of each size every shard takes.
 
+    A shard's groups of one size would be popped at loads a step of the size apart. So all shards take what lies below
+    a common load, which leaves less than one group a shard, and the heap deals the rest.
+    """
+    loads = [0] * shards
+    taken = {}
+    for size, n in sorted(sizes, reverse=True):
 
-def assign_shards(rows: DataFrame, key: str, size: str, shards: int = SHARDS, items: int = ITEMS) -> DataFrame:
+        def below(level: int) -> list[int]:
+            return [max(0, -(-(level - x) // size)) for x in loads]
+
+        low = min(loads)
+        level = low + bisect_left(range(size * n + max(loads) - low + 2), True, key=lambda t: sum(below(low + t)) > n) - 1
+        got = below(level)
+        heap = [(x + k * size, s) for s, (x, k) in enumerate(zip(loads, got, strict=True))]
+        heapq.heapify(heap)
+        for _ in range(n - sum(got)):
+            load, s = heapq.heappop(heap)
+            got[s] += 1
+            heapq.heappush(heap, (load + size, s))
+        loads = [x + k * size for x, k in zip(loads, got, strict=True)]
+        taken[size] = got
+    return taken
+
+
+def group_shards(groups: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """groups (key, a long; size; rows) with an int column shard. groups: a staged table with one row a key."""
+    spark = groups.sparkSession
+    counts = groups.groupBy("size").agg(F.count("*").alias("n"))
+    taken = longest_first([(r["size"], r.n) for r in counts.collect()], shards)  # one row a size
+    # ranks below these belong to shard 0, 1, ...; a size of many groups is ranked in buckets of its own
+    quotas = spark.createDataFrame([(size, [sum(got[: s + 1]) for s in range(shards)], -(-sum(got) // RANKED)) for size, got in taken.items()], "size long, ends array<long>, buckets int")
+    dealt = groups.join(quotas, "size").withColumn("_bucket", F.pmod(F.xxhash64("key"), F.col("buckets")).cast("int"))
+    before = dealt.groupBy("size", "_bucket").count().withColumn("_base", F.sum("count").over(Window.partitionBy("size").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)))
+    place = F.row_number().over(Window.partitionBy("size", "_bucket").orderBy("key")) - 1
+    ranked = dealt.withColumn("_place", place).join(before.drop("count"), ["size", "_bucket"]).withColumn("_rank", F.col("_place") + F.coalesce("_base", F.lit(0)))
+    shard = F.size(F.filter("ends", lambda e: e <= F.col("_rank")))
+    return ranked.select("key", "rows", shard.cast("int").alias("shard"))
+
+
+def assign_shards(rows: DataFrame, key: str, size: str, shards: int = SHARDS) -> DataFrame:
     """rows with an int column shard. rows: a staged table with a long group key and a size."""
-    spark = rows.sparkSession
-    groups = rows.groupBy(key).agg(F.sum(size).alias("_n"))
-    total = rows.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    large = F.col("_n") * items >= total
-    sizes = groups.select(large.cast("int").alias("kind"), F.when(large, F.col(key)).otherwise(F.pmod(F.col(key), F.lit(items))).alias("item"), "_n").groupBy("kind", "item").agg(F.sum("_n").alias("n"))
-    placed = longest_first([(r.n, r.kind, r.item) for r in sizes.collect()], shards)  # at most 2 * items rows
-    alone = spark.createDataFrame([(k, s) for (kind, k), s in placed.items() if kind], "_key long, _alone int")
-    bundle = F.array(*[F.lit(placed.get((0, i), 0)) for i in range(items)])
-    shard = F.coalesce("_alone", F.element_at(bundle, (F.pmod(F.col(key), F.lit(items)) + 1).cast("int")))
-    return rows.join(F.broadcast(alone), rows[key] == alone["_key"], "left").withColumn("shard", shard.cast("int")).drop("_key", "_alone")
+    groups = staged(rows.groupBy(F.col(key).alias("key")).agg(F.sum(size).alias("size"), F.count("*").alias("rows")), "shard-groups")
+    placed = staged(group_shards(groups, shards), "group-shards").withColumnsRenamed({"key": "_key", "shard": "_shard"})
+    total = rows.count()
+    hot = placed.where(F.col("rows") * HOT >= total).select("_key", F.col("_shard").alias("_hot"))
+    few = rows.join(F.broadcast(hot), rows[key] == hot["_key"], "left").drop("_key")
+    rest = few.where("_hot IS NULL").join(placed.where(F.col("rows") * HOT < total).drop("rows"), few[key] == placed["_key"]).drop("_key", "_hot")
+    return few.where("_hot IS NOT NULL").withColumnRenamed("_hot", "_shard").unionByName(rest).withColumnRenamed("_shard", "shard")
 
 
 def with_slots(rows: DataFrame, order: list[str]) -> DataFrame:

@@ -2,9 +2,11 @@ import hashlib
 import heapq
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from corpusloom.llm import common, mixing, sharding
 
@@ -69,31 +71,39 @@ def test_native(spark, sf_dir):
     assert not re.search("Python|Arrow|Pandas", mixing.op8_source_mix(spark, sf_dir)._jdf.queryExecution().toString())
 
 
-def test_longest_first():
-    sizes = [(7, 1, i) for i in range(3)] + [(3, 1, 9), (2, 0, 1)]
-    heap, want = [(0, s) for s in range(2)], {}
-    for n, k, i in sorted(sizes, key=lambda x: (-x[0], x[1], x[2])):
+def heap_loads(sizes, shards):
+    heap = [(0, s) for s in range(shards)]
+    for n in sorted(sizes, reverse=True):
         load, s = heapq.heappop(heap)
-        want[k, i] = s
         heapq.heappush(heap, (load + n, s))
-    assert sharding.longest_first(sizes, 2) == want
+    return {s: load for load, s in heap}
 
 
-@pytest.mark.parametrize("items", [4, 64, 4096])
-def test_shards(spark, tmp_path, items, monkeypatch):
-    monkeypatch.setattr(sharding, "ITEMS", items)
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=80), st.integers(1, 9))
+def test_longest_first_is_the_heap_over_all_groups(sizes, shards):
+    taken = sharding.longest_first(list(Counter(sizes).items()), shards)
+    assert {n: sum(got) for n, got in taken.items()} == Counter(sizes)
+    assert {s: sum(n * got[s] for n, got in taken.items()) for s in range(shards)} == heap_loads(sizes, shards)
+
+
+@pytest.mark.parametrize(("ranked", "hot"), [(1, 1000), (50_000, 2), (7, 10)])
+def test_shards(spark, tmp_path, ranked, hot, monkeypatch):
+    monkeypatch.setattr(sharding, "RANKED", ranked)
+    monkeypatch.setattr(sharding, "HOT", hot)
     rows = [(i, None if i % 50 == 3 else "hot" * 40 if i % 3 == 0 else f"text {i % 97} " * (i % 23)) for i in range(600)] + [(5, "again")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     out = sharding.op10_lpt_shards(spark, str(tmp_path)).collect()
     assert len(out) == len(rows)
-    group, slots, load = {}, defaultdict(list), defaultdict(int)
+    group, slots, load, size = {}, defaultdict(list), defaultdict(int), defaultdict(int)
     for r in out:
         slots[r.shard].append(r.slot)
         load[r.shard] += r.size
+        size[r.text_crc32] += r.size
         assert group.setdefault(r.text_crc32, r.shard) == r.shard and r.grown_shard is None
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and all(0 <= s < 8 for s in slots)
     assert sorted((r.doc_id, r.size, r.text_crc32) for r in out) == sorted((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in rows)
-    assert sum(load.values()) == sum(r.size for r in out)
+    assert {s: load.get(s, 0) for s in range(8)} == heap_loads(size.values(), 8)
 
 
 def test_near_equal(spark, sf_dir):
