@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 #: Salt values dealt to each row of a table that is too large to broadcast.
 SALTS = 32
+#: A key with at least one in so many rows counts as hot.
+HOT = 1000
 #: Bytes of text that a Python worker handles at once.
 SLICE_BYTES = 1 << 20
 BATCH_BYTES = 8 << 20
@@ -76,6 +78,24 @@ def attach(df: DataFrame, small: DataFrame, key: str, spread: Column) -> DataFra
     return left.join(salted, left[key].eqNullSafe(salted["_key"]) & (left["_at"] == salted["_salt"]), "left").drop("_key", "_salt", "_at")
 
 
+def attach_counted(df: DataFrame, table: DataFrame, key: str, rows: str) -> DataFrame:
+    """Left join of a large table with one row a key, whose column `rows` tells how many rows of df have that key.
+
+    Keys with at least one of HOT rows are broadcast, HOT of them at most; all others meet by a shuffle. A null key
+    matches nothing and is not shuffled. df and table are read several times, so stage them first.
+    """
+    total = df.count()
+    other = table.drop(rows).columns
+    named = table.withColumnsRenamed({c: f"_t_{c}" for c in other})
+    heavy = F.col(rows) * HOT >= total
+    hot = named.where(heavy).drop(rows).withColumn("_hot", F.lit(True))
+    few = df.join(F.broadcast(hot), df[key] == F.col(f"_t_{key}"), "left")
+    done = few.where(F.col("_hot") | F.col(key).isNull()).drop("_hot")
+    rest = few.where(F.col("_hot").isNull() & F.col(key).isNotNull()).select(*df.columns)
+    both = done.unionByName(rest.join(named.where(~heavy).drop(rows), rest[key] == F.col(f"_t_{key}"), "left"))
+    return both.drop(f"_t_{key}").withColumnsRenamed({f"_t_{c}": c for c in other if c != key})
+
+
 def ranges(df: DataFrame, key: Column, parts: int) -> list[tuple[int, int, int]]:
     """(least, greatest, rows) of at most `parts` ascending ranges of a long key, near equal in rows.
 

@@ -16,8 +16,9 @@ probability (1 - 0.8 ** 4) ** 25 < 2e-6.
    from class sets dealt by hash: best hub of each class, hub of each bucket, all pairs across components.
 
 Defined cases: a null text has no words; a document without words has the empty set, is linked with nothing and stays;
-with fewer words than a shingle, the whole sequence is its one shingle; rows that repeat a doc_id are one node; a null
-doc_id is a node of its own, below all others; an empty table gives an empty one; extra columns are ignored. Shingles
+with fewer words than a shingle, the whole sequence is its one shingle; rows that repeat a doc_id are one node, which
+links the classes of all its rows (an empty one among them shares their component); a null doc_id is a node of its own,
+below all others; an empty table gives an empty one; extra columns are ignored. Shingles
 are compared by 64-bit hashes.
 """
 
@@ -29,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import BROADCAST_ROWS, NULL_ID, attach, buffers, give_back, mix64, partitions, powers, slices, small_batches, staged
+from corpusloom.llm.common import BROADCAST_ROWS, NULL_ID, attach_counted, buffers, give_back, mix64, partitions, powers, set_aside, slices, small_batches, staged
 
 SHINGLE = 2
 LEAST = 80  # percent
@@ -245,7 +246,8 @@ def resolve(node: np.ndarray, sets: list[np.ndarray], bands: np.ndarray, least:
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     """The pairs a, b whose sets are alike. A block's task holds its share of the sets; the partner's set comes once a block."""
-    n = partitions(pairs.sparkSession)
+    total = sets.agg(F.coalesce(F.sum(F.octet_length("set")), F.lit(0))).first()[0]
+    n = max(partitions(pairs.sparkSession), -(-total // BLOCK_BYTES))
     block = F.pmod(F.xxhash64("b"), F.lit(n)).cast("int")
     asked = pairs.groupBy(block.alias("block"), "a").agg(F.collect_list("b").alias("b")).join(sets.select(F.col("node").alias("a"), F.col("set").alias("a_set")), "a").select("block", "a", "a_set", "b")
     held = sets.select(F.pmod(F.xxhash64("node"), F.lit(n)).cast("int").alias("block"), "node", "set")
@@ -335,19 +337,34 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, least: int = LEAST, clust
     if heavy.limit(1).count():
         heavy_nodes = staged(own.join(heavy, "cluster").select("node"), "heavy-nodes")
         found = found.unionByName(by_rounds(mates.join(heavy_nodes, "node", "left_semi").select("band", "value", "node"), staged(sets.join(heavy_nodes, "node", "left_semi").select("node", "set"), "heavy-sets"), least))
-    # one row a node: of the rows of one doc_id the least component counts
     found = staged(found.groupBy("node").agg(F.min("component").alias("component")), "found")
-    copied = staged(classes.where("n > 1").select("set_key", "rep"), "copied")
-    named = attach(made.select("node", "n_shingles", "set_key"), copied, "set_key", F.col("node")).withColumn("rep", F.coalesce("rep", "node"))
-    done = attach(named, found.withColumnRenamed("node", "rep"), "rep", F.col("node")).withColumn("component", F.coalesce("component", "rep"))
+    # rows that repeat a doc_id join the classes of their sets
+    again = staged(made.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"), "again")
+    if again.limit(1).count():
+        of_class = _rest(made.select("node", "set_key"), again, "node").join(classes.select("set_key", "rep"), "set_key", "left")
+        found = components(of_class.select(F.col("node").alias("a"), F.coalesce("rep", "node").alias("b")).unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    labelled = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", "n", F.coalesce("component", "rep").alias("component"))
+    alone = found.select("node", F.col("component").alias("own"))  # of a repeated id's empty rows
+    named = attach_counted(made.select("node", "n_shingles", "set_key"), staged(labelled, "labelled"), "set_key", "n")
+    done = named.where("set_key IS NOT NULL").unionByName(named.where("set_key IS NULL").drop("component").join(alone, "node", "left").withColumnRenamed("own", "component")).withColumn("component", F.coalesce("component", "node"))
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return done.select(real("node").alias("doc_id"), "n_shingles", real("component").alias("component_id"), (F.col("node") == F.col("component")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, least: int = LEAST) -> DataFrame:
-    """docs without the near-duplicates of a document of lesser doc_id; of rows that repeat an id all stay or none."""
-    gone = near_duplicates(docs, k, least).where(~F.col("kept")).select("doc_id").distinct()
-    return _rest(docs, staged(gone, "gone"), "doc_id", "left_anti")
+    """docs with one row of each class of near-duplicates, that of the least doc_id (null last). Texts without words stay.
+
+    Where ids are missing or repeat, rows get numbers of their own first, so that each row is judged by its own text;
+    of rows that repeat an id with like texts one stays, whichever.
+    """
+    if not docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count():
+        gone = near_duplicates(docs, k, least).where(~F.col("kept")).select("doc_id")
+        return _rest(docs, staged(gone, "gone"), "doc_id", "left_anti")
+    safe, own = set_aside(docs, ("_row",))
+    rows = staged(safe.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), k, least).select(F.col("doc_id").alias("_row"), "component_id")
+    first = rows.select("_row", "doc_id").join(found, "_row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first"))
+    return rows.join(staged(first.select(F.col("first._row").alias("_row")), "stay"), "_row", "left_semi").select(*own)
 
 
 def op7_minhash_dedup(spark, sf_dir: str) -> DataFrame:

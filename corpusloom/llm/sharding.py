@@ -19,11 +19,9 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import partitions, staged, text_of
+from corpusloom.llm.common import attach_counted, partitions, staged, text_of
 
 SHARDS = 8
-#: A group with at least one row in so many is joined to its rows by broadcast: there are at most HOT such groups.
-HOT = 1000
 #: Groups of one size that are ranked in one task.
 RANKED = 50_000
 
@@ -73,12 +71,8 @@ def group_shards(groups: DataFrame, shards: int = SHARDS) -> DataFrame:
 def assign_shards(rows: DataFrame, key: str, size: str, shards: int = SHARDS) -> DataFrame:
     """rows with an int column shard. rows: a staged table with a long group key and a size."""
     groups = staged(rows.groupBy(F.col(key).alias("key")).agg(F.sum(size).alias("size"), F.count("*").alias("rows")), "shard-groups")
-    placed = staged(group_shards(groups, shards), "group-shards").withColumnsRenamed({"key": "_key", "shard": "_shard"})
-    total = rows.count()
-    hot = placed.where(F.col("rows") * HOT >= total).select("_key", F.col("_shard").alias("_hot"))
-    few = rows.join(F.broadcast(hot), rows[key] == hot["_key"], "left").drop("_key")
-    rest = few.where("_hot IS NULL").join(placed.where(F.col("rows") * HOT < total).drop("rows"), few[key] == placed["_key"]).drop("_key", "_hot")
-    return few.where("_hot IS NOT NULL").withColumnRenamed("_hot", "_shard").unionByName(rest).withColumnRenamed("_shard", "shard")
+    placed = staged(group_shards(groups, shards), "group-shards").withColumnRenamed("key", key)
+    return attach_counted(rows, placed, key, "rows")
 
 
 def with_slots(rows: DataFrame, order: list[str]) -> DataFrame:

@@ -45,3 +45,13 @@ def test_set_aside(spark):
     df = spark.createDataFrame([(1, 2)], "a int, score int")
     safe, own = common.set_aside(df, ("score",))
     assert safe.withColumn("score", F.lit(9)).select(*own).first().asDict() == {"a": 1, "score": 2}
+
+
+@pytest.mark.parametrize("hot", [1, 3, 1000])
+def test_attach_counted(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT", hot)
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else f"k{i % 4}") for i in range(60)], "id int, k string")
+    table = df.where("k IS NOT NULL AND k <> 'k2'").groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("v"))
+    got = {(r.id, r.k, r.v) for r in common.attach_counted(df, table, "k", "n").select("id", "k", "v").collect()}
+    least = {f"k{i % 4}": i for i in range(59, -1, -1) if i % 3}
+    assert got == {(i, None if i % 3 == 0 else f"k{i % 4}", None if i % 3 == 0 or i % 4 == 2 else least[f"k{i % 4}"]) for i in range(60)}

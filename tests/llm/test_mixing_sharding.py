@@ -90,7 +90,7 @@ def test_longest_first_is_the_heap_over_all_groups(sizes, shards):
 @pytest.mark.parametrize(("ranked", "hot"), [(1, 1000), (50_000, 2), (7, 10)])
 def test_shards(spark, tmp_path, ranked, hot, monkeypatch):
     monkeypatch.setattr(sharding, "RANKED", ranked)
-    monkeypatch.setattr(sharding, "HOT", hot)
+    monkeypatch.setattr(common, "HOT", hot)
     rows = [(i, None if i % 50 == 3 else "hot" * 40 if i % 3 == 0 else f"text {i % 97} " * (i % 23)) for i in range(600)] + [(5, "again")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     out = sharding.op10_lpt_shards(spark, str(tmp_path)).collect()

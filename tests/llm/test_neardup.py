@@ -122,3 +122,17 @@ def test_keep_one(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want, _ = brute(rows, 5)
     assert {r.doc_id for r in neardup.keep_one(df).collect()} == {d for d, c in want.items() if d == c}
+
+
+def test_an_id_of_several_texts_links_their_classes(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = [(1, a), (2, b), (3, a), (3, b), (3, None), (7, "alone in the world"), (8, None), (9, None), (9, "")]
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in out) == [(1, 1, True), (2, 1, False), *[(3, 1, False)] * 3, (7, 7, True), (8, 8, True), (9, 9, True), (9, 9, True)]
+
+
+def test_keep_one_judges_rows_of_one_id_by_their_own_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a, 5), (3, a, 6), (3, b, 7), (None, b, 8), (None, c, 9), (None, c, 9), (4, None, 1), (4, None, 1)]
+    out = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, _row long")).collect()
+    assert sorted(str((r.doc_id, r.text, r["_row"])) for r in out) == sorted(map(str, [(1, a, 5), (3, b, 7), (None, c, 9), (4, None, 1), (4, None, 1)]))
