@@ -7,7 +7,9 @@ time from the page's granule position.
 
 Defined cases: a null text counts as empty, an empty text gives one packet of padding; equal texts give equal bytes
 (serial numbers come from the content); a null media value gives null features; a page whose checksum fails is
-dropped and counted in bad_pages, and the packets that it held are lost. Other columns pass through.
+dropped and counted in bad_pages, and the packets that it held are lost. Packet length and number of streams are read
+from any intact header packet; where all are lost, n_bytes and seconds are null, and a packet that isn't the last of its
+page has no time and is left out of the payload. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ PACKET = 576
 RATE = 8000
 STREAMS = 2
 MAGIC = b"\x01loompcm"
-HEADER = struct.Struct("<8sIBBQ")
+HEADER = struct.Struct("<8sIBBIQ")  # magic, samples a second, stream, streams, samples a packet, bytes of content
 PAGE = struct.Struct("<4sBBqIII")
 _REVERSED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 
@@ -78,7 +80,7 @@ def stream_pages(serial: int, packets: list[tuple[bytes, int]]) -> list[tuple[in
 def write_ogg(payload: bytes, n_bytes: int) -> bytes:
     """payload: a positive multiple of PACKET bytes, of which n_bytes are the content."""
     base = zlib.crc32(payload)
-    streams: list[list[tuple[bytes, int]]] = [[(HEADER.pack(MAGIC, RATE, s, STREAMS, n_bytes), 0)] for s in range(STREAMS)]
+    streams: list[list[tuple[bytes, int]]] = [[(HEADER.pack(MAGIC, RATE, s, STREAMS, PACKET, n_bytes), 0)] for s in range(STREAMS)]
     for k in range(len(payload) // PACKET):
         streams[k % STREAMS].append((payload[k * PACKET : (k + 1) * PACKET], (k + 1) * PACKET))
     made = [stream_pages((base + s * 0x9E3779B9) & 0xFFFFFFFF, packets) for s, packets in enumerate(streams)]
@@ -106,12 +108,20 @@ def read_pages(media: bytes):
         at = end
 
 
-def demultiplex(media: bytes) -> tuple[dict[int, list[tuple[bytes, int]]], int, int]:
+def header_of(packet: bytes) -> tuple[int, int, int] | None:
+    """Samples a second, samples between two packets of one stream, bytes of content; None for a packet of samples."""
+    if len(packet) != HEADER.size or not packet.startswith(MAGIC):
+        return None
+    _, rate, _, streams, length, n_bytes = HEADER.unpack(packet)
+    return rate, streams * length, n_bytes
+
+
+def demultiplex(media: bytes) -> tuple[dict[int, list[tuple[bytes, int | None]]], int, int]:
     """Packets with the granule at their end by serial number, number of pages, number of damaged pages.
 
-    A page tells the granule of the last packet that ends on it; those before it lie STREAMS packets' samples apart.
+    A page tells the granule of the last packet that ends on it; those before it lie apart by what the header says.
     """
-    found: dict[int, list[tuple[bytes, int]]] = {}
+    found: dict[int, list[tuple[bytes, int, int]]] = {}
     open_: dict[int, bytes | None] = {}
     due: dict[int, int] = {}
     pages = bad = 0
@@ -134,23 +144,25 @@ def demultiplex(media: bytes) -> tuple[dict[int, list[tuple[bytes, int]]], int,
                     ended.append(part + body[pos : pos + run])
                 part, skip, pos, run = b"", False, pos + run, 0
         open_[serial] = None if skip else part + body[pos : pos + run]
-        out += [(p, granule - (len(ended) - 1 - i) * PACKET * STREAMS) for i, p in enumerate(ended)]
-    return found, pages, bad
+        out += [(p, granule, len(ended) - 1 - i) for i, p in enumerate(ended)]
+    step = next((h[1] for packets in found.values() for p, _, _ in packets if (h := header_of(p))), None)
+    at = lambda granule, after: granule if not after else None if step is None else granule - after * step
+    return {serial: [(p, at(granule, after)) for p, granule, after in packets] for serial, packets in found.items()}, pages, bad
 
 
 def read_ogg(media: bytes) -> dict:
     """payload (samples in the order of their times), n_bytes, packets, pages, bad_pages, seconds."""
     found, pages, bad = demultiplex(media)
-    timed, n_bytes, rate = [], 0, RATE
+    timed, n_bytes, rate = [], None, None
     for packets in found.values():
         for data, granule in packets:
-            if len(data) == HEADER.size and data.startswith(MAGIC):
-                _, rate, _, _, n_bytes = HEADER.unpack(data)
-            else:
+            if header := header_of(data):
+                rate, _, n_bytes = header
+            elif granule is not None:
                 timed.append((granule, data))
     # the last packet of a stream that holds fewer ends later on its page's granule only if it is the last in time
     timed.sort(key=lambda x: x[0])
-    return {"payload": b"".join(d for _, d in timed), "n_bytes": n_bytes, "packets": len(timed), "pages": pages, "bad_pages": bad, "streams": len(found), "seconds": timed[-1][0] / rate if timed else 0.0}
+    return {"payload": b"".join(d for _, d in timed), "n_bytes": n_bytes, "packets": len(timed), "pages": pages, "bad_pages": bad, "streams": len(found), "seconds": None if rate is None else timed[-1][0] / rate if timed else 0.0}
 
 
 def encode_ogg(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
