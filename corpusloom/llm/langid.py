@@ -28,9 +28,9 @@ from corpusloom.llm.common import buffers, mix64, set_aside, slices, small_batch
 DIMENSIONS = 1024
 GRAM = 3
 SEED = 20
-GRAMS_AT_ONCE = 16_384
+GRAMS_AT_ONCE = 4096
 #: Bytes of text handled at once; arrays of some hundred bytes for each of them are made.
-SLICE = 1 << 20
+SLICE = 512 << 10
 UNKNOWN = "und"
 #: Bits of a letter in the code of an n-gram; 0 is the gap.
 BITS = 21
@@ -131,7 +131,7 @@ def language_sums(docs: DataFrame, dimensions: int = DIMENSIONS, seed: int = SEE
 
     def add(batches):
         total: dict[str, np.ndarray] = {}
-        for b in slices(batches, 0, 4 * SLICE):
+        for b in slices(batches, 0, SLICE):
             doc, code, _ = grams_of(b.column(0))
             names, number = np.unique(np.array(b.column(1).to_pylist(), object), return_inverse=True)
             # sums below 2 ** 24 are whole numbers in 32-bit floats, all others here in 64-bit ones
