@@ -130,7 +130,7 @@ def without_overlap(a: Column, b: Column) -> Column:
 def bigram_set(c: Column | str) -> Column:
     """Distinct two-character pieces of a text without white space."""
     t = F.regexp_replace(col(c), f"[{BLANKS}]+", "")
-    return F.element_at(F.transform(F.array(t), lambda x: F.when(F.length(x) > 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 1, F.lit(1))), lambda i: F.substring(x, i, F.lit(2))))).otherwise(F.array().cast("array<string>"))), 1)
+    return F.array_distinct(F.regexp_extract_all(t, F.lit("(?s)(?=(..))"), F.lit(1)))  # one pass, where substring() would start anew for every pair
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -28,7 +28,7 @@ def views(documents: DataFrame, identities: DataFrame) -> tuple[DataFrame, DataF
     """
     named = identities.withColumn("departments", F.array_sort(F.array_distinct("departments"))).withColumn("view_id", F.sha1(F.concat_ws("\u0001", "tenant", F.array_join("departments", "\u0002"), F.col("clearance").cast("string"))))
     rights = named.select("view_id", "tenant", "departments", "clearance").dropDuplicates(["view_id"])
-    seen = documents.join(F.broadcast(rights), may_see(F.col("tenant"), F.col("departments"), F.col("clearance"))).select("view_id", "doc_id")
+    seen = documents.join(rights, (F.col("tenant_id") == F.col("tenant")) & may_see(F.col("tenant"), F.col("departments"), F.col("clearance"))).select("view_id", "doc_id")
     return seen, named.select("identity_id", "view_id")
 
 

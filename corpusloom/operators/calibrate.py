@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.fusion import Options, fuse, with_overrides
-from corpusloom.operators.verify import Thresholds
+from corpusloom.functions.text import tokens
+from corpusloom.operators.verify import Thresholds, coverage, unknown_numbers
 
 
 def sample_score(sem_weight: Column, weak: Column, sure: float = Thresholds.sure_semantic) -> Column:
@@ -18,6 +19,19 @@ def sample_score(sem_weight: Column, weak: Column, sure: float = Thresholds.sure
     return F.when(F.col("fabricated") & (F.col("semantic").isNull() | (F.col("semantic") < sure)), F.least(base, weak - 0.01)).otherwise(base)
 
 
+def build_samples(labels: DataFrame, contexts: DataFrame, semantic: DataFrame | None = None) -> DataFrame:
+    """CAL4: labelled sentences with the scores that verification gives them against their document's joined chunks.
+
+    labels: id, doc_id, sentence, supported, fabricated (may be null); contexts: doc_id, context; semantic: id, semantic
+    (missing ones are null). A number that the context lacks makes a sentence fabricated, whatever its label says.
+    """
+    known = contexts.select("doc_id", "context", F.array_distinct(tokens("context")).alias("_ct"))
+    rows = labels.join(known, "doc_id")
+    rows = rows.join(semantic.select("id", "semantic"), "id", "left") if semantic is not None else rows.withColumn("semantic", F.lit(None).cast("double"))
+    auto = F.size(unknown_numbers(F.col("sentence"), F.col("context"))) > 0
+    return rows.select("id", "supported", "semantic", coverage(tokens("sentence"), F.col("_ct")).alias("lexical"), (F.coalesce("fabricated", F.lit(False)) | auto).alias("fabricated"))
+
+
 def measures(predicted: Column, actual: Column) -> list[Column]:
     tp, fp, fn = F.count_if(predicted & actual), F.count_if(predicted & ~actual), F.count_if(~predicted & actual)
     precision, recall = F.when(tp + fp == 0, 0.0).otherwise(tp / (tp + fp)), F.when(tp + fn == 0, 0.0).otherwise(tp / (tp + fn))
@@ -61,7 +75,7 @@ def signal_sweep(values: DataFrame, steps: int = 401) -> DataFrame:
     """SGN1: for each signal, `steps` thresholds from its least to its greatest value; below one, a query is refused. values: signal, query_id, negative, value."""
     span = values.groupBy("signal").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     points = span.select("signal", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step"), "lo", "hi").withColumn("threshold", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("step") / (steps - 1)).drop("lo", "hi")
-    return values.join(F.broadcast(points), "signal").groupBy("signal", "step", "threshold").agg(*measures(F.col("value") < F.col("threshold"), F.col("negative")))
+    return values.join(points, "signal").groupBy("signal", "step", "threshold").agg(*measures(F.col("value") < F.col("threshold"), F.col("negative")))
 
 
 def best_signals(swept: DataFrame) -> DataFrame:
@@ -74,12 +88,18 @@ def best_signals(swept: DataFrame) -> DataFrame:
 def signal_fusion(values: DataFrame) -> DataFrame:
     """SGN2: a query is refused where any signal lies below the least value of a positive."""
     least = values.where(~F.col("negative")).groupBy("signal").agg(F.min("value").alias("cut"))
-    judged = values.join(F.broadcast(least), "signal").groupBy("query_id", "negative").agg(F.bool_or(F.col("value") < F.col("cut")).alias("refused"))
+    judged = values.join(least, "signal").groupBy("query_id", "negative").agg(F.bool_or(F.col("value") < F.col("cut")).alias("refused"))
     return judged.agg(F.count_if(F.col("negative") & F.col("refused")).alias("refusals"), F.count_if(~F.col("negative") & F.col("refused")).alias("false_refusals"), F.count_if("negative").alias("negatives")).withColumn("usable", (F.col("false_refusals") == 0) & (F.col("refusals") > 0))
 
 
+#: Options that fusion_sweep reads.
+SWEPT = {"vec_weight", "bm25_weight", "rrf_k"}
+
+
 def option_grid(base: Options, **choices: list) -> list[tuple[str, Options]]:
-    """SWP1: named options, one for each combination."""
+    """SWP1: named options, one for each combination. Only what fusion_sweep reads may vary; others are refused."""
+    if other := set(choices) - SWEPT:
+        raise ValueError(f"a fusion sweep does not read {', '.join(sorted(other))}")
     out = [("", base)]
     for name, values in choices.items():
         out = [(f"{label}{',' if label else ''}{name}={v}", with_overrides(o, **{name: v})) for label, o in out for v in values]

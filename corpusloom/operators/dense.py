@@ -26,7 +26,7 @@ def normalise(v: Column) -> Column:
 
 def cosine_scores(chunks: DataFrame, queries: DataFrame, digits: int | None = None) -> DataFrame:
     """VEC1: query_id, chunk_id, cosine of every pair. Both sides: an id and vector; the queries are the small side."""
-    pairs = chunks.select("chunk_id", F.col("vector").alias("_c")).crossJoin(F.broadcast(queries.select("query_id", F.col("vector").alias("_q"))))
+    pairs = chunks.select("chunk_id", F.col("vector").alias("_c")).crossJoin(queries.select("query_id", F.col("vector").alias("_q")))
     d = dot(F.col("_c"), F.col("_q"))
     return pairs.select("query_id", "chunk_id", (F.round(d, digits) if digits is not None else d).alias("cosine"))
 

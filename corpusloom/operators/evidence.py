@@ -69,7 +69,7 @@ def prompt_context(passages: DataFrame) -> DataFrame:
     return passages.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(one)), lambda x: x["t"]), "\n\n").alias("context"))
 
 
-def prompt(questions: DataFrame, context: DataFrame, history: DataFrame | None = None) -> DataFrame:
+def prompt(questions: DataFrame, context: DataFrame, history: DataFrame | None = None, summaries: DataFrame | None = None) -> DataFrame:
     """EVI4: query_id, prompt; the parts in order: system text, context, summary, history turns, question."""
     rows = questions.join(context, "query_id", "left")
     if history is not None:
@@ -77,7 +77,9 @@ def prompt(questions: DataFrame, context: DataFrame, history: DataFrame | None =
         rows = rows.join(history.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(turn)), lambda x: x["t"]), "\n").alias("_h")), "query_id", "left")
     else:
         rows = rows.withColumn("_h", F.lit(None).cast("string"))
-    text = F.concat(F.lit("<|im_start|>system\n"), F.coalesce("context", F.lit(NO_EVIDENCE)), F.lit("\n<|im_end|>\n"), F.coalesce(F.concat("_h", F.lit("\n")), F.lit("")), F.lit("<|im_start|>user\n"), F.col("question"), F.lit("<|im_end|>\n<|im_start|>assistant\n"))
+    rows = rows.join(summaries.select("query_id", F.col("summary").alias("_s")), "query_id", "left") if summaries is not None else rows.withColumn("_s", F.lit(None).cast("string"))
+    summary = F.coalesce(F.concat(F.lit("\n\n"), F.when(F.col("_s") != "", F.col("_s"))), F.lit(""))
+    text = F.concat(F.lit("<|im_start|>system\n"), F.coalesce("context", F.lit(NO_EVIDENCE)), summary, F.lit("\n<|im_end|>\n"), F.coalesce(F.concat("_h", F.lit("\n")), F.lit("")), F.lit("<|im_start|>user\n"), F.col("question"), F.lit("<|im_end|>\n<|im_start|>assistant\n"))
     return rows.select("query_id", text.alias("prompt"))
 
 

@@ -67,7 +67,7 @@ def fuse(vec: DataFrame | None, bm25: DataFrame, options: Options = Options(), b
 
 def fuse_variants(vec: DataFrame | None, bm25: DataFrame, variants: DataFrame, options: Options = Options()) -> DataFrame:
     """RNK3: legs carry variant_no; each variant's part is weighted, scores and ranks are those of variant 0."""
-    parts = fuse(vec, bm25, options, ("query_id", "variant_no")).join(F.broadcast(variants.select("query_id", "variant_no", "weight")), ["query_id", "variant_no"])
+    parts = fuse(vec, bm25, options, ("query_id", "variant_no")).join(variants.select("query_id", "variant_no", "weight"), ["query_id", "variant_no"])
     own = lambda c: F.max(F.when(F.col("variant_no") == 0, F.col(c))).alias(c)
     return parts.groupBy("query_id", "chunk_id").agg(own("cosine"), own("vec_rank"), F.coalesce(F.max(F.when(F.col("variant_no") == 0, F.col("bm25"))), F.lit(0.0)).alias("bm25"), F.coalesce(F.max(F.when(F.col("variant_no") == 0, F.col("bm25_rank"))), F.lit(0)).alias("bm25_rank"), F.sum(F.col("rrf") * F.col("weight")).alias("rrf"))
 
@@ -218,6 +218,17 @@ def rerank(hits: DataFrame, scores: DataFrame, candidates: int = 10) -> DataFram
     return first.join(parts, ["query_id", "pos"]).withColumn("rerank_pos", F.row_number().over(place))
 
 
+def rerank_by(hits: DataFrame, passages: DataFrame, queries: DataFrame, scorer, candidates: int = 10) -> DataFrame:
+    """UDF5: rerank() by a callback over (query text, passage) columns that gives a logit; queries whose scores are degenerate keep their order (FLT5).
+
+    passages: chunk_id, content; queries: query_id, text.
+    """
+    pairs = hits.where(F.col("pos") <= candidates).select("query_id", F.explode("chunk_ids").alias("chunk_id")).join(passages, "chunk_id").join(queries, "query_id")
+    scored = pairs.select("query_id", "chunk_id", scorer(F.col("text"), F.col("content")).cast("double").alias("logit"))
+    bad = degenerate(scored, "logit").where("degenerate").select("query_id")
+    return rerank(hits, scored.join(bad, "query_id", "left_anti"), candidates)
+
+
 def rerank_effect(ranked: DataFrame, k: int = 5) -> DataFrame:
     """RRK2: whether the first changed, and how many of the first k stayed among them."""
     before, after = F.sort_array(F.collect_list(F.when(F.col("pos") <= k, F.col("pos")))), F.collect_set(F.when(F.col("rerank_pos") <= k, F.col("pos")))

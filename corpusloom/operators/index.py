@@ -85,9 +85,20 @@ def progress(documents: DataFrame, done: DataFrame) -> DataFrame:
     return marked.agg(F.count("*").alias("total"), F.count("d").alias("done"), F.count_if(F.col("d").isNull()).alias("pending"))
 
 
+def missing_keys(needed: DataFrame, held: DataFrame, key: str) -> DataFrame:
+    """IDX9: keys without a row in `held`."""
+    return needed.select(key).distinct().join(held.select(key).distinct(), key, "left_anti")
+
+
+def foreign_vectors(held: DataFrame, model: str, scheme: str, size: int) -> DataFrame:
+    """IDX9: vectors of another model, prefix scheme or size than the index asks for, with what is wrong."""
+    wrong = F.when(F.col("model") != model, "model").when(F.col("scheme") != scheme, "scheme").when(F.size("vector") != size, "size")
+    return held.withColumn("wrong", wrong).where(F.col("wrong").isNotNull())
+
+
 def assert_consistent(needed: DataFrame, held: DataFrame, key: str, what: str) -> None:
     """IDX9: an error that names some of the keys without a row in `held`."""
-    lost = needed.select(key).distinct().join(held.select(key).distinct(), key, "left_anti")
+    lost = missing_keys(needed, held, key)
     some = [str(r[0]) for r in lost.orderBy(key).limit(5).collect()]
     if some:
         raise ValueError(f"{lost.count()} keys without {what}, such as {', '.join(some)}")

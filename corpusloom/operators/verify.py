@@ -143,6 +143,18 @@ def keep_first_if_empty(first: DataFrame, second: DataFrame, flagged: DataFrame)
     return first.join(better.select("query_id").distinct(), "query_id", "left_anti").unionByName(better)
 
 
+def retry_wider(first: DataFrame, queries: DataFrame, flagged: DataFrame, retrieve) -> DataFrame:
+    """VER14: retrieve (queries to rows, with wider options) is run again for the flagged queries; where it finds nothing the first rows stay."""
+    return keep_first_if_empty(first, retrieve(queries.join(flagged.select("query_id").distinct(), "query_id", "left_semi")), flagged)
+
+
+def with_scorer(sentences: DataFrame, scope: DataFrame, scorer) -> DataFrame | None:
+    """UDF1: answer_id, sentence_no, semantic by a callback (sentences, scope) -> DataFrame; without one, or where a row gets none, verification is lexical."""
+    if scorer is None:
+        return None
+    return sentences.select("answer_id", "sentence_no").join(scorer(sentences, scope).select("answer_id", "sentence_no", "semantic"), ["answer_id", "sentence_no"], "left")
+
+
 def refusal_outcome(answers: DataFrame, judged: DataFrame, gate_report: DataFrame) -> DataFrame:
     """VER15: answer_id, refused, reason. answers: answer_id, query_id, answer; gate_report: query_id, no_relevant_hit."""
     rows = answers.join(gate_report.select("query_id", "no_relevant_hit"), "query_id", "left").join(judged.select("answer_id", "verdict", "should_refuse"), "answer_id", "left")

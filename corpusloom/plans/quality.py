@@ -125,10 +125,15 @@ def redundancy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.redundant_pairs(w).withColumn("jaccard", F.round("jaccard", 6))
 
 
-@query()
+SQL_BIGRAMS = "list_sort(list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, i::INTEGER, 2))))"
+
+
+@query(f"""WITH texts AS (SELECT min(doc_id) AS id, regexp_replace(text, '[{X.BLANKS}]+', '', 'g') AS t FROM documents GROUP BY text), s AS (SELECT id, {SQL_BIGRAMS} AS b FROM texts), c AS (SELECT min(id) AS rep, b, list(id) AS members FROM s WHERE len(b) > 0 GROUP BY b),
+e AS (SELECT rep, len(b) AS n, unnest(b) AS g FROM c), p AS (SELECT x.rep AS chunk_1, y.rep AS chunk_2, x.n + y.n AS total, count(*) AS shared FROM e x JOIN e y ON x.g = y.g AND x.rep < y.rep GROUP BY ALL)
+SELECT chunk_1, chunk_2, round(shared::DOUBLE / (total - shared), 6) AS jaccard FROM p WHERE shared::DOUBLE / (total - shared) >= 0.8 UNION ALL SELECT rep, m, 1.0::DOUBLE FROM c, unnest(members) t(m) WHERE m <> rep""")
 def near_duplicate_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EVL6 over whole documents."""
-    return evaluate.near_duplicate_chunks(demo.corpus(spark, sf_dir))
+    return rounded(evaluate.near_duplicate_chunks(demo.corpus(spark, sf_dir)), "jaccard")
 
 
 SQL_PER_QUERY = "per_query AS (SELECT item_id AS query_id, substr('qsmn', (item_id % 4 + 1)::INTEGER, 1) AS grp, item_id % 4 = 3 AS negative, coalesce((r <= 3)::INTEGER::DOUBLE, 0.0) AS recall3, coalesce((r <= 5)::INTEGER::DOUBLE, 0.0) AS recall5, r IS NULL AS no_hit FROM benchmark LEFT JOIN hit ON query_id = item_id)"

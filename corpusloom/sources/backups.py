@@ -35,33 +35,46 @@ def encode_vector(vectors: pd.Series) -> pd.Series:
     return vectors.map(lambda v: "" if v is None else base64.b64encode(np.asarray(v, "<f4").tobytes()).decode())
 
 
-def read_backup(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """SRC6: conversations and chunks; defaults filled, links of version 1.0 made from the order. Other versions are refused."""
+def read_backup(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """SRC6: conversations and chunks of one backup a file, or (lines) a line; defaults filled, links of version 1.0 made from the order. Other versions are refused."""
     schema = T._parse_datatype_string(BACKUP)
-    raw = spark.read.schema(schema).json(path, multiLine=True)
+    raw = spark.read.schema(schema).json(path, multiLine=not lines)
     wrong = raw.where(~F.coalesce(F.col("version").isin(*VERSIONS), F.lit(False))).limit(1).collect()
     if wrong:
         raise ValueError(f"backup version {wrong[0].version} is not supported")
     conversations = raw.select(F.explode("conversations").alias("c")).select(F.col("c.id").alias("conv_id"), F.coalesce("c.title", F.lit("")).alias("title"), F.coalesce("c.docName", F.lit("")).alias("doc_name"), F.coalesce("c.messages", F.array().cast(f"array<{_MESSAGE}>")).alias("messages"), F.col("c.historySummary").alias("summary"), F.col("c.summaryUpToId").alias("summary_upto"))
     c = lambda name, default: F.coalesce(F.col(f"k.{name}"), default)
     chunks = raw.select("version", F.explode("vectorIndexes").alias("i")).select("version", F.col("i.convId").alias("conv_id"), F.posexplode("i.chunks").alias("n", "k"))
-    flat = chunks.select("version", "conv_id", F.col("k.chunkId").alias("chunk_id"), c("docId", F.col("conv_id")).alias("doc_id"), c("docName", F.lit("")).alias("doc_name"), F.col("k.content").alias("content"), c("ord", F.col("n")).alias("ord"), c("headingPath", F.array().cast("array<string>")).alias("heading_path"), c("pageStart", F.lit(1)).alias("page_start"), c("pageEnd", c("pageStart", F.lit(1))).alias("page_end"), F.col("k.prevId").alias("prev_id"), F.col("k.nextId").alias("next_id"), decode_vector("k.vector").alias("vector"))
+    flat = chunks.select("version", "conv_id", F.col("k.chunkId").alias("chunk_id"), c("docId", F.col("conv_id")).alias("doc_id"), c("docName", F.lit("")).alias("doc_name"), F.col("k.content").alias("content"), c("ord", F.col("n")).alias("ord"), c("headingPath", F.array().cast("array<string>")).alias("heading_path"), c("pageStart", F.lit(1)).alias("page_start"), c("pageEnd", c("pageStart", F.lit(1))).alias("page_end"), F.col("k.tokenCount").alias("token_count"), F.col("k.parentId").alias("parent_id"), F.col("k.contentHash").alias("content_hash"), F.col("k.prevId").alias("prev_id"), F.col("k.nextId").alias("next_id"), decode_vector("k.vector").alias("vector"))
     order = Window.partitionBy("conv_id", "doc_id").orderBy("ord")
     link = lambda own, made: F.when(F.col("version") == "1.0", F.coalesce(made, F.lit(""))).otherwise(F.coalesce(own, F.lit("")))
     linked = flat.withColumn("prev_id", link(F.col("prev_id"), F.lag("chunk_id").over(order))).withColumn("next_id", link(F.col("next_id"), F.lead("chunk_id").over(order)))
     return conversations, linked.drop("version")
 
 
+#: Chunk columns and their names in a backup, in its order; vector is base64 there.
+FIELDS = {
+    "chunk_id": "chunkId", "doc_id": "docId", "doc_name": "docName", "content": "content", "ord": "ord", "heading_path": "headingPath", "page_start": "pageStart", "page_end": "pageEnd",
+    "token_count": "tokenCount", "parent_id": "parentId", "prev_id": "prevId", "next_id": "nextId", "content_hash": "contentHash", "vector": "vector",
+}
+
+
 def backup_rows(conversations: DataFrame, chunks: DataFrame) -> DataFrame:
-    """SNK1: one row a conversation, with its chunks in order; conversations without chunks have an empty list."""
-    one = F.struct("ord", "chunk_id", "doc_id", "content")
-    nested = chunks.groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("chunks"))
-    kind = T.ArrayType(T.StructType([chunks.schema[c] for c in ("ord", "chunk_id", "doc_id", "content")]))
-    return conversations.join(nested, "conv_id", "left").withColumn("chunks", F.coalesce("chunks", F.array().cast(kind)))
+    """SNK1: one row a conversation, with its whole chunks in order; conversations without chunks have an empty list, missing chunk columns are null."""
+    kind = {f.name: f.dataType for f in T._parse_datatype_string(_CHUNK).fields}
+    value = lambda c: encode_vector(c) if c == "vector" else F.col(c)
+    coded = chunks.select("conv_id", "ord", F.struct(*[(value(c) if c in chunks.columns else F.lit(None)).cast(kind[n]).alias(n) for c, n in FIELDS.items()]).alias("c"))
+    nested = coded.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", F.col("c.chunkId").alias("i"), "c"))), lambda x: x["c"]).alias("chunks"))
+    return conversations.join(nested, "conv_id", "left").withColumn("chunks", F.coalesce("chunks", F.array().cast(f"array<{_CHUNK}>")))
 
 
 def write_backup(conversations: DataFrame, chunks: DataFrame, path: str) -> None:
-    backup_rows(conversations, chunks).withColumn("version", F.lit("2.0")).write.mode("overwrite").json(path)
+    """SNK1: one JSON object a conversation, each of them a whole backup that read_backup takes. conversations: conv_id and any of title, doc_name, messages, summary, summary_upto."""
+    has = lambda c, kind: (F.col(c) if c in conversations.columns else F.lit(None)).cast(kind)
+    messages = F.coalesce(has("messages", f"array<{_MESSAGE}>"), F.array().cast(f"array<{_MESSAGE}>"))
+    one = F.struct(F.col("conv_id").cast("string").alias("id"), has("title", "string").alias("title"), has("doc_name", "string").alias("docName"), messages.alias("messages"), has("summary", "string").alias("historySummary"), has("summary_upto", "string").alias("summaryUpToId"))
+    own = F.struct(F.col("conv_id").cast("string").alias("convId"), "chunks")
+    backup_rows(conversations, chunks).select(F.lit(VERSIONS[-1]).alias("version"), F.array(one).alias("conversations"), F.array(own).alias("vectorIndexes")).write.mode("overwrite").json(path)
 
 
 def write_index(chunks: DataFrame, path: str) -> None:

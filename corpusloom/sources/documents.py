@@ -12,12 +12,15 @@ MOST_BYTES = 50 << 20
 
 def read_directory(spark: SparkSession, path: str, suffixes: tuple[str, ...] = SUFFIXES, most: int = MOST_BYTES) -> DataFrame:
     """SRC1, SRC2: doc_name, suffix, size_bytes, text, status, error. A file that is too large or no UTF-8 is an `error` row, the rest go on."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}").load(path)
-    text = F.try_validate_utf8(F.col("content").cast("string"))
-    large = F.col("length") > most
-    error = F.when(large, F.concat(F.lit("larger than "), F.lit(most), F.lit(" bytes"))).when(text.isNull(), "not UTF-8")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}").load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select(name.alias("doc_name"), F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("suffix"), F.col("length").alias("size_bytes"), F.when(error.isNull(), text).alias("text"), F.when(error.isNull(), "ok").otherwise("error").alias("status"), error.alias("error"))
+    head = [name.alias("doc_name"), F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("suffix"), F.col("length").alias("size_bytes")]
+    # the bound on length reaches the source, which then opens no larger file; those are listed without their content
+    text = F.try_validate_utf8(F.col("content").cast("string"))
+    error = F.when(text.isNull(), "not UTF-8")
+    good = found.where(F.col("length") <= most).select(*head, text.alias("text"), F.when(error.isNull(), "ok").otherwise("error").alias("status"), error.alias("error"))
+    large = found.where(F.col("length") > most).select(*head, F.lit(None).cast("string").alias("text"), F.lit("error").alias("status"), F.concat(F.lit("larger than "), F.lit(most), F.lit(" bytes")).alias("error"))
+    return good.unionByName(large)
 
 
 def split_quarantine(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
