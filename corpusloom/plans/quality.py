@@ -207,11 +207,14 @@ def document_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.document_top1(windows(spark, sf_dir), gold_documents(spark, sf_dir)).withColumn("doc_top1", F.round("doc_top1", 6))
 
 
-@query()
+@query(f"""WITH {SQL_WINDOWS}, {SQL_VECTORS}, w AS (SELECT w.query_id, rank, text, cosine FROM windows w JOIN cosines c ON c.query_id = w.query_id AND c.chunk_id = w.doc_id),
+r AS (SELECT admission, query_id, text, row_number() OVER (PARTITION BY admission, query_id ORDER BY rank) AS n FROM w, (VALUES ('all'), ('cosine'), ('either')) a(admission) WHERE admission <> 'cosine' OR cosine >= 0.2),
+h AS (SELECT DISTINCT admission, query_id FROM r JOIN benchmark b ON b.item_id = query_id WHERE n <= 3 AND contains(r.text, b.text))
+SELECT a.admission, round(count(h.query_id) / count(*), 6) AS coverage FROM benchmark CROSS JOIN (VALUES ('all'), ('cosine'), ('either')) a(admission) LEFT JOIN h ON h.admission = a.admission AND h.query_id = item_id GROUP BY a.admission""")
 def admission_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EVL17."""
     rows = windows(spark, sf_dir).join(search.cosines(spark, sf_dir).withColumnRenamed("chunk_id", "doc_id"), ["query_id", "doc_id"])
-    return evaluate.admission_audit(rows, demo.golden(spark, sf_dir), 0.2)
+    return rounded(evaluate.admission_audit(rows, demo.golden(spark, sf_dir), 0.2), "coverage")
 
 
 @query()
@@ -254,6 +257,16 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(calibrate.sweep(demo.samples(spark, sf_dir), grid(spark)), "precision", "recall", "f1")
 
 
+SQL_FINE = "grid AS (SELECT s / 100.0::DOUBLE AS t_supported, w / 100.0::DOUBLE AS t_weak, m / 4.0::DOUBLE AS t_weight FROM range(30, 86) a(s), (VALUES (20), (30), (38), (40), (50)) b(w), range(0, 5) c(m))"
+
+
+@query(f"WITH {SQL_SAMPLES}, {SQL_FINE}, p AS (SELECT *, {SQL_SCORE.format(w='t_weight', k='t_weak')} >= t_supported AS p FROM samples, grid), c AS (SELECT t_supported, t_weak, t_weight, {SQL_COUNTS} FROM p GROUP BY ALL), m AS (SELECT t_supported, t_weak, t_weight, {SQL_MEASURES} FROM c) SELECT * FROM m ORDER BY f1 DESC, t_supported DESC, t_weak, t_weight LIMIT 1")
+def best_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CAL2: the best of 56 x 5 x 5 rows."""
+    fine = calibrate.grid(spark, [x / 100 for x in range(30, 86)], [0.2, 0.3, 0.38, 0.4, 0.5], [m / 4 for m in range(5)])
+    return calibrate.best(rounded(calibrate.sweep(demo.samples(spark, sf_dir), fine), "precision", "recall", "f1"))
+
+
 @query(f"WITH {SQL_SWEPT}, f AS (SELECT id AS fid, (row_number() OVER (PARTITION BY supported ORDER BY id) - 1) % 5 AS fold FROM samples), c AS (SELECT t_supported, t_weak, t_weight, fold, {SQL_COUNTS} FROM p JOIN f ON fid = id GROUP BY ALL), m AS (SELECT *, CASE WHEN tp = 0 THEN 0 ELSE 2.0::DOUBLE * tp / (2 * tp + fp + fn) END AS f1 FROM c) SELECT t_supported, t_weak, t_weight, round(avg(f1), 6) AS macro_f1, round(stddev_pop(f1), 6) AS std_f1 FROM m GROUP BY ALL")
 def cv_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CAL3."""
@@ -275,7 +288,9 @@ def signal_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibrate.signal_fusion(demo.signal_values(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {SQL_CORPUS}, {sql_bm25('corpus')}, {SQL_VECTORS}, {search.SQL_FUSED}, g(v, k) AS (SELECT v, k FROM (VALUES ('0.5'), ('1.0'), ('1.5'), ('2.0')) a(v), (VALUES (20), (40), (60), (80)) b(k)),
+s AS (SELECT 'vec_weight=' || v || ',rrf_k=' || k AS config_id, query_id, chunk_id, coalesce(v::DOUBLE / (k + vec_rank), 0) + CASE WHEN bm25_rank > 0 THEN 1.0::DOUBLE / (k + bm25_rank) ELSE 0 END AS score FROM fused, g)
+SELECT * FROM (SELECT config_id, query_id, chunk_id, row_number() OVER (PARTITION BY config_id, query_id ORDER BY score DESC, chunk_id)::INTEGER AS place FROM s) WHERE place <= 10""")
 def fusion_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SWP1."""
     configs = calibrate.option_grid(calibrate.Options(), vec_weight=[0.5, 1.0, 1.5, 2.0], rrf_k=[20, 40, 60, 80])
@@ -315,7 +330,13 @@ def injection_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return demo.table(spark, sf_dir, "pages").agg(F.count_if(F.col("html").rlike(enc)).alias("encoded"), F.count_if(F.col("html").rlike(spoof)).alias("spoofed"), F.count("*").alias("pages"))
 
 
-@query()
+SQL_HEADS = "|".join(safety.REFERENCE_LINES)
+SQL_SCRUB_HEAD = r"trim(regexp_replace(lower(ltrim(l)), '[:：]\s.*$', ''))"
+
+
+@query(rf"""WITH f AS (SELECT conv_id, turn, string_split(regexp_replace(text, '```(?s:.*?)```', '', 'g'), chr(10)) AS l FROM conversations),
+k AS (SELECT conv_id, turn, substr(regexp_replace(array_to_string(list_filter(l, lambda l: NOT regexp_matches({SQL_SCRUB_HEAD}, '^(?:{SQL_HEADS})')), chr(10)), '{safety.CHUNK_MARK}', '', 'g'), 1, 2000) AS t FROM f)
+SELECT conv_id, turn, regexp_replace(regexp_replace(t, '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM k""")
 def scrubbed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRV1."""
     return demo.messages(spark, sf_dir).select("conv_id", "turn", safety.scrub(F.col("text")).alias("text"))
