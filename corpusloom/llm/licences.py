@@ -1,5 +1,9 @@
-"""Licence scans: normalised lines, paragraphs and whole texts against licence templates, by Dice coefficient over the
-sets of their word bigrams. DataFrame functions only, and no shuffle: the templates are fixed and travel in the plan.
+"""Licence scans: normalised parts of a text against licence templates, by Dice coefficient over the sets of their word
+bigrams. DataFrame functions only, and no shuffle: the templates are fixed and travel in the plan.
+
+Parts are lines, sentences of lines, paragraphs, the whole text, and the text's paragraphs that hold a telling word,
+joined: so a licence of many paragraphs is found within a longer text. Templates are notices, clauses and the whole
+texts of common licences; the long ones lie in licence_texts/ and are read by the driver.
 
 Normalising lower-cases and leaves letters and digits, other runs becoming one blank. Dice is
 2 * common / (bigrams of unit + bigrams of template); with a threshold t it needs a unit of at least t / (2 - t) and at
@@ -17,6 +21,8 @@ from __future__ import annotations
 
 import math
 import re
+from functools import cache
+from importlib.resources import files
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +30,10 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import let, text_of
 
 DICE = 0.8
+#: Templates of at least so many bigrams are whole licences of many paragraphs. Only texts with the first of LONG_WORDS
+#: meet them, whole or by their paragraphs that hold any of these; the lossless filter is that of all other templates.
+LONG = 250
+LONG_WORDS = ("license", "copyright", "covered", "distribut", "warrant", "work")
 
 # Names and usual wordings of licences and notices.
 TEMPLATES = {
@@ -48,6 +58,17 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+_WARRANTY = "IN NO EVENT SHALL THE {0} BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_DISCLAIMER = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. " + _WARRANTY.format("COPYRIGHT HOLDER OR CONTRIBUTORS")
+# Whole short licences: their conditions above and what follows them.
+TEMPLATES |= {
+    "BSD-2-Clause-text": f"{TEMPLATES['BSD-2-Clause']} {_DISCLAIMER}",
+    "BSD-3-Clause-text": f"{TEMPLATES['BSD-3-Clause']} {_DISCLAIMER}",
+    "BSD-disclaimer": _DISCLAIMER,
+    "ISC-text": f"{TEMPLATES['ISC']} THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "MIT-whole": f"{TEMPLATES['MIT-text']} THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+}
+TEMPLATES |= {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8") for f in files("corpusloom.llm").joinpath("licence_texts").iterdir() if f.name.endswith(".txt")}
 # Words too common to tell a notice from other prose.
 COMMON = frozenset("a all and any are as at be by do file for form from has if in into is it may not of on one or other shall so software that the this to under use used was which with without work you".split())
 
@@ -55,6 +76,11 @@ OTHER = r"[^\p{L}\p{N}]+"
 PARAGRAPH = r"\n[\x20\t\r]*\n"
 
 
+#: The end of a sentence within a line.
+STOP = r"([.!?])[ \t]+"
+
+
+@cache
 def template_bigrams(text: str) -> list[str]:
     """Distinct bigrams of a template, in order."""
     words = re.findall(r"[a-z0-9]+", text.lower())
@@ -80,9 +106,15 @@ def telling_words(bigrams: list[str], dice: float) -> set[str]:
     return chosen
 
 
+def _clues(templates: dict[str, str] = TEMPLATES, dice: float = DICE) -> list[str]:
+    """The telling words of all templates that aren't long."""
+    found = [template_bigrams(t) for t in templates.values()]
+    return sorted(set().union(*(telling_words(b, dice) for b in found if len(b) < LONG)))
+
+
 def bigrams(unit: Column) -> Column:
-    """Array of the distinct word bigrams of a unit."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(unit), OTHER, " ")), " ", -1)
+    """Array of the distinct word bigrams of a unit in lower case."""
+    words = F.split(F.trim(F.regexp_replace(unit, OTHER, " ")), " ", -1)
     pairs = let(words, lambda w: F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.element_at(w, i), F.try_element_at(w, i + 1)))).otherwise(F.array().cast("array<string>")))
     return F.array_distinct(pairs)
 
@@ -93,18 +125,35 @@ def scan_licences(docs: DataFrame, templates: dict[str, str] | None = None, dice
     known = {name: template_bigrams(t) for name, t in sorted((templates or TEMPLATES).items())}
     low = min(math.ceil(len(b) * dice / (2 - dice) - 1e-9) for b in known.values())
     high = max(math.floor(len(b) * (2 - dice) / dice + 1e-9) for b in known.values())
-    clues = sorted(set().union(*(telling_words(b, dice) for b in known.values())))
-    t = text_of(text)
-
-    def clue(value: Column) -> Column:
+    clues = _clues(templates or TEMPLATES, dice)
+    def holds(value: Column, words) -> Column:
         found = F.lit(False)
-        for w in clues:
+        for w in words:
             found = found | F.contains(value, F.lit(w))
         return found
 
-    table = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(len(b)).alias("size"), F.array(*[F.lit(x) for x in b]).alias("bigrams")) for name, b in known.items()])
-    units = F.array_distinct(F.concat(F.split(t, "\n", -1), F.split(t, PARAGRAPH, -1), F.array(t)))
-    sets = F.filter(F.transform(F.filter(units, lambda u: clue(F.lower(u))), bigrams), lambda b: F.size(b).between(low, high))
+    def clue(value: Column) -> Column:
+        return holds(value, clues)
+
+    def shared(xs: list[str]) -> Column:
+        return F.split(F.lit("\n".join(xs)), "\n", -1)  # folded to one literal
+
+    table = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(len(b)).alias("size"), shared(b).alias("bigrams")) for name, b in known.items()])
+
+    def parts(t: Column) -> Column:
+        """Parts with a telling word. A part of fewer letters than `low` bigrams need is none."""
+        lines = F.concat(F.split(t, "\n", -1), F.split(F.regexp_replace(t, STOP, "$1\n"), "\n", -1))
+        short = F.filter(F.array_distinct(lines), lambda u: (F.length(u) > 2 * low) & clue(u))
+
+        def of_paragraphs(ps: Column) -> Column:
+            telling = F.filter(ps, clue)
+            long = F.when(F.contains(t, F.lit(LONG_WORDS[0])), F.array_join(F.filter(ps, lambda p: holds(p, LONG_WORDS)), "\n\n")).otherwise("")
+            return F.concat(telling, F.array(F.array_join(telling, "\n\n"), long))
+
+        return F.array_distinct(F.concat(short, F.array(t), let(F.split(t, PARAGRAPH, -1), of_paragraphs)))
+
+    low_text = F.lower(text_of(text))
+    sets = F.filter(F.transform(parts(low_text), bigrams), lambda b: F.size(b).between(low, high))
 
     def compare(b: Column) -> Column:
         fits = F.filter(table, lambda k: (F.size(b) >= k["size"] * F.lit(dice / (2 - dice)) - 1e-9) & (F.size(b) <= k["size"] * F.lit((2 - dice) / dice) + 1e-9))
@@ -114,7 +163,7 @@ def scan_licences(docs: DataFrame, templates: dict[str, str] | None = None, dice
     # sorted by name and coefficient: the last of a name is its best
     ordered = F.array_sort(F.array_distinct(hits))
     best = let(ordered, lambda o: F.filter(o, lambda h: ~F.exists(o, lambda x: (x["name"] == h["name"]) & (x["dice"] > h["dice"]))))
-    found = F.when(clue(F.lower(t)), best).otherwise(F.array().cast("array<struct<name:string,dice:double>>"))
+    found = F.when(holds(low_text, dict.fromkeys([LONG_WORDS[0], *clues])), best).otherwise(F.array().cast("array<struct<name:string,dice:double>>"))
     top = F.element_at(F.array_sort(F.transform("_hits", lambda h: F.struct((-h["dice"]).alias("d"), h["name"].alias("name")))), 1)
     return (
         docs.withColumn("_hits", found)
@@ -141,10 +190,20 @@ WITH templates AS (
   SELECT * FROM (VALUES """
     + ", ".join(f"('{name}', {_sql_list(template_bigrams(t))})" for name, t in sorted(TEMPLATES.items()))
     + r""") v(name, bigrams)
+), lowered AS (
+  SELECT doc_id, lower(text) AS text, regexp_split_to_array(lower(text), '\n[\x20\t\r]*\n') AS p FROM documents
+), cleared AS (
+  SELECT doc_id, text, p, list_filter(p, lambda x: regexp_matches(x, '"""
+    + "|".join(_clues())
+    + r"""')) AS telling, list_filter(p, lambda x: regexp_matches(x, '"""
+    + "|".join(LONG_WORDS)
+    + r"""')) AS long FROM lowered
 ), units AS (
-  SELECT DISTINCT doc_id, unnest(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '\n[\x20\t\r]*\n'), [text])) AS unit FROM documents
+  SELECT DISTINCT doc_id, unnest(list_concat(string_split(text, chr(10)), string_split(regexp_replace(text, '([.!?])[ \t]+', '\1' || chr(10), 'g'), chr(10)), p, [text, array_to_string(telling, chr(10) || chr(10)), CASE WHEN contains(text, '"""
+    + LONG_WORDS[0]
+    + r"""') THEN array_to_string(long, chr(10) || chr(10)) ELSE '' END])) AS unit FROM cleared
 ), worded AS (
-  SELECT doc_id, string_split(trim(regexp_replace(lower(unit), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM units
+  SELECT doc_id, string_split(trim(regexp_replace(unit, '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM units
 ), paired AS (
   SELECT doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM worded WHERE len(w) > 1
 ), scored AS (

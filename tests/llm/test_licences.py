@@ -9,7 +9,10 @@ def dice(a, b):
 
 def brute(text):
     best = {}
-    units = set(text.split("\n")) | set(re.split(r"\n[\x20\t\r]*\n", text)) | {text}
+    text = text.lower()
+    paragraphs = re.split(r"\n[\x20\t\r]*\n", text)
+    telling, long = ("\n\n".join(p for p in paragraphs if any(w in p for w in words)) for words in (licences._clues(), licences.LONG_WORDS))
+    units = set(text.split("\n")) | set(re.sub(r"([.!?])[ \t]+", r"\1\n", text).split("\n")) | set(paragraphs) | {text, telling, long if "license" in text else ""}
     for u in units:
         w = re.sub(r"[\W_]+", " ", u.lower()).strip().split(" ")
         b = {f"{x} {y}" for x, y in zip(w[:-1], w[1:], strict=True)}
@@ -48,3 +51,34 @@ def test_columns(spark):
 def test_native(spark, sf_dir):
     plan = licences.op5_licence_scan(spark, sf_dir)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
+
+
+def real_licences():
+    """Licence files of installed packages, by what they are known to be."""
+    from importlib.metadata import PackageNotFoundError, files
+
+    known = {"pytest": "MIT-whole", "attrs": "MIT-whole", "regex": "Apache-2.0-text", "hypothesis": "MPL-2.0-text", "iniconfig": "MIT-whole", "pandas": "BSD-3-Clause", "pygments": "BSD-2-Clause-text"}
+    for name, licence in known.items():
+        try:
+            found = [f for f in files(name) or [] if re.search(r"(^|/)LICEN[CS]E(\.txt|\.md)?$", str(f))]
+        except PackageNotFoundError:
+            continue
+        for f in found[:1]:
+            yield name, licence, f.locate().read_text(encoding="utf-8")
+
+
+def test_real_files_whole_and_within_longer_texts(spark):
+    prose = "Some words about a project that helps people read. " * 30
+    cases = list(real_licences())
+    assert len({c[1] for c in cases}) >= 2
+    rows = [(name, licence, text) for name, licence, text in cases] + [(f"{name} within", licence, f"{prose}\n\n{text}\n\n{prose}") for name, licence, text in cases if len(text) < 4000]
+    got = {r.n: r.licences for r in licences.scan_licences(spark.createDataFrame(rows, "n string, l string, text string")).collect()}
+    for name, licence, _ in rows:
+        assert licence in got[name], (name, got[name])
+
+
+def test_notice_within_prose_and_long_texts(spark):
+    rows = [(1, "It helps you. Released under the MIT License. See more."), (2, licences.TEMPLATES["GPL-3.0-text"]), (3, "prose " * 50_000 + "\n\n" + licences.TEMPLATES["Apache-2.0-text"]), (4, None), (5, "")]
+    got = {r.n: r for r in licences.scan_licences(spark.createDataFrame(rows, "n int, text string")).collect()}
+    assert got[1].licences == "MIT:10000" and "GPL-3.0-text:10000" in got[2].licences and "Apache-2.0-text" in got[3].licences
+    assert got[4].n_licences == got[5].n_licences == 0
