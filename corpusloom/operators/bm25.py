@@ -32,6 +32,12 @@ def postings(corpus: DataFrame, by: tuple[str, ...] = (), terms: DataFrame | Non
     return rows.groupBy(*by, "chunk_id", "length", "term").agg(F.count("*").alias("tf"))
 
 
+def matched(corpus: DataFrame, terms: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """BM1: tf and length of the given terms of each chunk, and of all its other words together (term empty): one row a chunk more than postings."""
+    rows = corpus.select(*by, "chunk_id", tokens("content").alias("_t")).select(*by, "chunk_id", F.size("_t").alias("length"), F.explode_outer("_t").alias("_w"))
+    return rows.join(terms, F.col("_w") == F.col("term"), "left").withColumn("term", F.coalesce("term", F.lit(""))).groupBy(*by, "chunk_id", "length", "term").agg(F.count("*").alias("tf"))
+
+
 def document_frequencies(posted: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return posted.groupBy(*by, "term").agg(F.count("*").alias("df"))
 
@@ -47,9 +53,12 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def scores(corpus: DataFrame, queries: DataFrame, by: tuple[str, ...] = (), digits: int | None = None) -> DataFrame:
     """BM2: query_id, chunk_id, bm25 of every pair that shares a term; all others score 0."""
     terms = query_terms(queries)
-    posted = postings(corpus, by, terms.select("term").distinct())
+    counted = matched(corpus, terms.select("term").distinct(), by)
+    # conditions and sums that need tf: both uses read one shuffle, and texts are cut into words once
+    posted = counted.where(F.when(F.col("term") != "", F.col("tf")) > 0)
+    chunks = counted.groupBy(*by, "chunk_id", "length").agg(F.sum("tf").alias("_n"))
+    one = chunks.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.when(F.col("length") > 0, F.col("_n")).otherwise(0)).alias("avg_length"))
     df = document_frequencies(posted, by)
-    one = totals(corpus, by)
     weighted = df.join(one, list(by)) if by else df.crossJoin(one)
     rows = posted.join(weighted, [*by, "term"]).join(terms, "term")
     part = idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
