@@ -177,13 +177,16 @@ def admission_audit(windows: DataFrame, golden: DataFrame, min_vec: float = 0.5,
 
 
 def query_detail(windows: DataFrame, golden: DataFrame, k: int = 3) -> DataFrame:
-    """EVL18: hits, coverage, first relevant rank, first adjacent and first near-duplicate pair, first text."""
+    """EVL18: hits, refused (no hit), coverage, first relevant rank, key points and how many were hit, ranks of the first adjacent and the first near-duplicate pair, start of the first text."""
     pairs = redundant_pairs(windows, k)
     at = F.struct("rank_1", "rank_2")
-    first = pairs.groupBy("query_id").agg(F.min(F.when(F.col("adjacent"), at)).alias("first_adjacent"), F.min(F.when(F.col("near_duplicate"), at)).alias("first_near_duplicate"))
+    first = pairs.groupBy("query_id").agg(F.min(F.when(F.col("adjacent"), at)).alias("a"), F.min(F.when(F.col("near_duplicate"), at)).alias("d"))
+    first = first.select("query_id", *[F.col(f"{c}.rank_{i}").alias(f"{name}_{i}") for c, name in (("a", "adjacent"), ("d", "near_duplicate")) for i in (1, 2)])
     counts = windows.groupBy("query_id").agg(F.count("*").alias("hits"), F.substring(F.min_by("content", "rank"), 1, 40).alias("top_text"))
-    out = golden.select("query_id", "negative").join(counts, "query_id", "left").join(coverage_at(windows, golden, k), "query_id", "left").join(first_relevant(windows, golden).select("query_id", "first_rank"), "query_id", "left").join(first, "query_id", "left")
-    return out.withColumn("hits", F.coalesce("hits", F.lit(0)))
+    out = golden.select("query_id", "negative").join(counts, "query_id", "left").withColumn("hits", F.coalesce("hits", F.lit(0))).withColumn("refused", F.col("hits") == 0)
+    for part in (coverage_at(windows, golden, k), first_relevant(windows, golden).select("query_id", "first_rank"), key_point_hits(windows, golden), first):
+        out = out.join(part, "query_id", "left")
+    return out
 
 
 def golden_version(files: DataFrame) -> DataFrame:

@@ -217,7 +217,12 @@ def admission_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluate.admission_audit(rows, demo.golden(spark, sf_dir), 0.2), "coverage")
 
 
-@query()
+@query(f"""WITH {SQL_WINDOWS}, {SQL_HIT}, joined AS (SELECT query_id, string_agg(text, chr(10) ORDER BY rank) AS t FROM windows WHERE rank <= 5 GROUP BY query_id), points AS (SELECT query_id, count(*) AS points, count(*) FILTER (contains(coalesce(t, ''), p)) AS hit FROM (SELECT item_id AS query_id, unnest(string_split(text, chr(10))) AS p FROM benchmark) LEFT JOIN joined USING (query_id) GROUP BY query_id),
+w AS (SELECT query_id, rank, regexp_replace(text, '[{X.BLANKS}]+', '', 'g') AS t FROM windows WHERE rank <= 3), g AS (SELECT query_id, rank, {SQL_BIGRAMS} AS b FROM w),
+d AS (SELECT query_id, arg_min(r1, r1 * 10 + r2) AS r1, arg_min(r2, r1 * 10 + r2) AS r2 FROM (SELECT x.query_id, x.rank AS r1, y.rank AS r2, len(list_intersect(x.b, y.b))::DOUBLE AS i, len(x.b) + len(y.b) AS n FROM g x JOIN g y ON x.query_id = y.query_id AND x.rank < y.rank) WHERE n = 0 OR i / (n - i) >= 0.8 GROUP BY query_id),
+c AS (SELECT query_id, count(*) AS hits, substr(max(text) FILTER (rank = 1), 1, 40) AS top_text FROM windows GROUP BY query_id)
+SELECT item_id AS query_id, item_id % 4 = 3 AS negative, coalesce(hits, 0) AS hits, top_text, coalesce(hits, 0) = 0 AS refused, coalesce((r <= 3)::INTEGER::DOUBLE, 0.0) AS coverage, r::INTEGER AS first_rank, points, hit, NULL::INTEGER AS adjacent_1, NULL::INTEGER AS adjacent_2, r1::INTEGER AS near_duplicate_1, r2::INTEGER AS near_duplicate_2
+FROM benchmark LEFT JOIN hit h ON h.query_id = item_id LEFT JOIN points p ON p.query_id = item_id LEFT JOIN d ON d.query_id = item_id LEFT JOIN c ON c.query_id = item_id""")
 def query_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EVL18."""
     return evaluate.query_detail(windows(spark, sf_dir), demo.golden(spark, sf_dir))
