@@ -100,7 +100,7 @@ def telling_words(bigrams: list[str], dice: float) -> set[str]:
         for b in left:
             for w in set(b.split(" ")):
                 count[w] = count.get(w, 0) + 1
-        word = max(sorted(count), key=lambda w: (w not in COMMON and len(w) > 2, count[w] + len(w) / 100))
+        word = max(sorted(count), key=lambda w: (w not in COMMON and len(w) > 2, w not in COMMON, count[w] + len(w) / 100))
         chosen.add(word)
         left = [b for b in left if word not in b.split(" ")]
     return chosen
