@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The white space of the browser's trim().
 BLANKS = "".join(map(chr, (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
+# What counts as a word, a counted word, a Han character, a sentence and a citation mark.
 WORD = r"[A-Za-z0-9]+(?:\.[0-9]+)?%?"
 COUNTED_WORD = r"[a-zA-Z0-9]+(?:\.[0-9]+)?"
 HAN = "[一-鿿]"
@@ -116,11 +120,54 @@ def text_stats(c: Column | str) -> list[Column]:
     return [F.length(c).alias("chars"), F.when(c == "", 0).otherwise(F.size(lines)).alias("lines"), F.size(F.filter(lines, lambda x: F.trim(x) != "")).alias("non_empty_lines"), F.regexp_count(c, F.lit(r"[^\x20\x09-\x0D]+")).alias("words")]
 
 
+#: Texts up to so many characters try every length, longer ones go by hashes.
+SHORT = 64
+_ODD = 0x9E3779B97F4A7C15
+
+
+def common_end(a: str, b: str) -> int:
+    """TXT18: length of the longest start of b that ends a, in time linear in the shorter one.
+
+    Hashes of all starts of b and all ends of a come from running sums modulo 2 ** 64; what agrees is compared, longest
+    first. Powers of an odd number make every length comparable without a division.
+    """
+    most = min(len(a), len(b))
+    a, b = a[len(a) - most :], b[:most]
+    if most <= SHORT:
+        return next((n for n in range(most, 0, -1) if a.endswith(b[:n])), 0)
+    x, y = (np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) for s in (a, b))
+    powers = np.full(most, _ODD, np.uint64)
+    powers[0] = 1
+    powers = np.cumprod(powers)
+    starts = np.cumsum(y * powers)
+    ends = np.cumsum((x * powers)[::-1])
+    fits = np.flatnonzero(starts * powers[::-1] == ends)  # entry n - 1: the end of length n is moved by most - n places
+    return next((int(n) + 1 for n in fits[::-1] if a.endswith(b[: n + 1])), 0)
+
+
+@F.pandas_udf(T.IntegerType())
+def _common_end(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else common_end(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+
+
+@F.pandas_udf(T.StringType())
+def joined(texts: pd.Series) -> pd.Series:
+    """Texts of an array one after another, each without what all before it already end with; '' for none."""
+
+    def join(parts):
+        if parts is None:
+            return None
+        out = ""
+        for p in parts:
+            out += p[common_end(out, p) :]
+        return out
+
+    return texts.map(join)
+
+
 def overlap_length(a: Column, b: Column) -> Column:
     """TXT18: length of the longest start of b that ends a."""
-    most = F.least(F.length(a), F.length(b))
-    fits = F.filter(F.sequence(F.lit(0), most), lambda n: F.endswith(a, F.substring(b, F.lit(1), n)))
-    return F.array_max(fits)
+    return _common_end(a, b)
 
 
 def without_overlap(a: Column, b: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators.fusion import Options, fuse, with_overrides
 from corpusloom.functions.text import tokens
+from corpusloom.operators.ranks import places
 from corpusloom.operators.verify import Thresholds, coverage, unknown_numbers
 
 
@@ -60,7 +61,7 @@ def best(swept: DataFrame) -> DataFrame:
 
 def folds(samples: DataFrame, k: int) -> DataFrame:
     """CAL3: dealt in turn within each class."""
-    return samples.withColumn("fold", (F.row_number().over(Window.partitionBy("supported").orderBy("id")) - 1) % k)
+    return places(samples, ["supported"], "id", descending=False).withColumn("fold", (F.col("_row") - 1) % k).drop("_row", "_rank", "_n")
 
 
 def sweep_cv(samples: DataFrame, combos: DataFrame, k: int = 5) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.hashing import fnv1a32
 from corpusloom.functions.text import bigram_set, jaccard
+from corpusloom.operators.ranks import nearest_ranks
+from corpusloom.operators.shared import staged
 from corpusloom.operators.verify import numbers
 
 NEAR = 0.8
@@ -70,14 +72,17 @@ def band_values(rows: int, bands: int, seed: int = 11):
 def near_duplicate_chunks(chunks: DataFrame, near: float = NEAR, rows: int = 8, bands: int = 64) -> DataFrame:
     """EVL6: chunk_1, chunk_2, jaccard of texts at bigram Jaccard of `near` or more.
 
-    Texts of one bigram set are one class, known by its least chunk id; it is paired with each other text of the class,
-    and classes with classes. Candidates share one of `bands` bands of `rows` MinHash values: at 0.8 a pair is missed
-    with probability (1 - 0.8 ** 8) ** 64 < 1e-5, and most pairs below 0.6 never meet. Then the exact measure decides.
+    Chunks of one bigram set, copies of one text among them, are one class, known by its least chunk id; it is paired
+    with each other chunk of the class (membership, jaccard 1), and classes with classes. Candidates share one of `bands`
+    bands of `rows` MinHash values: at 0.8 a pair is missed with probability (1 - 0.8 ** 8) ** 64 < 1e-5, and most pairs
+    below 0.6 never meet. Then the exact measure decides. Chunks travel as digests; only one text a class has its set
+    shuffled. A text without two characters in a row has no bigram and no row.
     """
-    texts = chunks.groupBy("content").agg(F.min("chunk_id").alias("chunk_id")).select("chunk_id", F.array_sort(bigram_set("content")).alias("b")).where(F.size("b") > 0)
-    keyed = texts.withColumn("set_key", F.xxhash64("b"))
-    classes = keyed.groupBy("set_key", "b").agg(F.min("chunk_id").alias("rep"), F.collect_list("chunk_id").alias("members"))
-    same = classes.select(F.col("rep").alias("chunk_1"), F.explode("members").alias("chunk_2"), F.lit(1.0).alias("jaccard")).where("chunk_1 <> chunk_2")
+    own = chunks.select("chunk_id", F.array_sort(bigram_set(F.coalesce("content", F.lit("")))).alias("b"))
+    keyed = staged(own.where(F.size("b") > 0).select("chunk_id", F.unhex(F.md5(F.array_join("b", "\0"))).alias("set_key"), "b"), "bigram-sets")
+    reps = staged(keyed.groupBy("set_key").agg(F.min("chunk_id").alias("rep"), F.count("*").alias("n")), "bigram-classes")
+    same = keyed.select("chunk_id", "set_key").join(reps.where("n > 1"), "set_key").where("chunk_id <> rep").select(F.col("rep").alias("chunk_1"), F.col("chunk_id").alias("chunk_2"), F.lit(1.0).alias("jaccard"))
+    classes = staged(keyed.join(reps, (keyed.set_key == reps.set_key) & (keyed.chunk_id == reps.rep), "left_semi").select(F.col("chunk_id").alias("rep"), "b").dropDuplicates(["rep"]), "class-sets")
     hashes = F.transform("b", lambda x: F.xxhash64(x))
     banded = classes.select("rep", F.size("b").alias("n"), F.posexplode(band_values(rows, bands)(hashes)).alias("band", "value"))
     x, y = (banded.select("band", "value", F.col("rep").alias(f"chunk_{i}"), F.col("n").alias(f"n_{i}")) for i in (1, 2))
@@ -128,17 +133,15 @@ def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("queries"), same(F.sort_array("covered") == F.sort_array("covered_b")).alias("covered"), same(F.col("top_doc").eqNullSafe(F.col("top_doc_b"))).alias("top_doc"), same(F.col("hits") == F.col("hits_b")).alias("hits"))
 
 
-def nearest_rank(value: str, p: float, by: Window, name: str) -> Column:
-    n = F.count("*").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    place = F.greatest(F.lit(1), F.least(n, F.bround(F.lit(p) * n + 0.5).cast("long")))
-    return F.when(F.row_number().over(by) == place, F.col(value)).alias(name)
+def query_medians(samples: DataFrame, by: list[str]) -> DataFrame:
+    """EVL13: repeated timings of one query become their median (the upper of two): `by`, query_id, ms."""
+    return samples.groupBy(*by, "query_id").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY ms DESC)").alias("ms"))
 
 
 def latency_summary(samples: DataFrame, by: list[str]) -> DataFrame:
     """EVL13: nearest-rank p50 and p95, mean and max of ms."""
-    order = Window.partitionBy(*by).orderBy("ms")
-    rows = samples.select(*by, "ms", nearest_rank("ms", 0.5, order, "p50"), nearest_rank("ms", 0.95, order, "p95"))
-    return rows.groupBy(*by).agg(F.max("p50").alias("p50"), F.max("p95").alias("p95"), F.avg("ms").alias("mean"), F.max("ms").alias("max"))
+    whole = samples.groupBy(*by).agg(F.avg("ms").alias("mean"), F.max("ms").alias("max"))
+    return nearest_ranks(samples, by, "ms", {"p50": 0.5, "p95": 0.95}).join(whole, by)
 
 
 def answer_metrics(answers: DataFrame, golden: DataFrame) -> DataFrame:

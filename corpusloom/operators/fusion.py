@@ -7,14 +7,19 @@ and widened by its neighbours. Every "best" is the first in a stated order, so r
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, fields, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import utf16_length, without_overlap
+from corpusloom.functions.text import joined, utf16_length
+from corpusloom.operators.ranks import ranked
+from corpusloom.operators.shared import bounded, staged
 
 
 @dataclass(frozen=True)
@@ -46,8 +51,7 @@ def with_overrides(options: Options, **changes) -> Options:
 
 def leg_ranks(scored: DataFrame, score: str, rank: str, by: tuple[str, ...] = ("query_id",), keep_zero: bool = False) -> DataFrame:
     """RNK1: competition rank by descending score. The keyword leg leaves out what is not above 0, the vector leg keeps it."""
-    rows = scored if keep_zero else scored.where(F.col(score) > 0)
-    return rows.withColumn(rank, F.rank().over(Window.partitionBy(*by).orderBy(F.desc(score))))
+    return ranked(scored if keep_zero else scored.where(F.col(score) > 0), by, score, rank)
 
 
 def reciprocal(rank: str, weight, k: int) -> Column:
@@ -72,46 +76,119 @@ def fuse_variants(vec: DataFrame | None, bm25: DataFrame, variants: DataFrame, o
     return parts.groupBy("query_id", "chunk_id").agg(own("cosine"), own("vec_rank"), F.coalesce(F.max(F.when(F.col("variant_no") == 0, F.col("bm25"))), F.lit(0.0)).alias("bm25"), F.coalesce(F.max(F.when(F.col("variant_no") == 0, F.col("bm25_rank"))), F.lit(0)).alias("bm25_rank"), F.sum(F.col("rrf") * F.col("weight")).alias("rrf"))
 
 
-def _joined(contents: Column) -> Column:
-    """Texts one after another, each without what the one before already ends with."""
-    return F.aggregate(F.slice(contents, 2, F.greatest(F.size(contents) - 1, F.lit(1))), F.element_at(contents, 1), without_overlap)
+def bare_windows(fused: DataFrame, corpus: DataFrame, options: Options = Options()) -> DataFrame:
+    """WIN1, WIN2 without texts: one row a window. corpus: chunk_id, doc_id, ord, content.
+
+    A window takes the next ord of its document while its characters fit: a greedy restart over the hits of one query in
+    one document, which stream through Arrow in their order, so that no group is held at once. _key tells windows of
+    equal chunk texts apart from others; doc_rrf is the best rrf of the window's document.
+    """
+    most = options.max_window_chars
+    light = corpus.select("chunk_id", "doc_id", F.col("ord").cast("long").alias("ord"), F.coalesce(utf16_length("content"), F.lit(0)).cast("long").alias("_chars"), F.unhex(F.md5(F.coalesce("content", F.lit("")))).alias("_digest"))
+    hits = fused.where("rrf > 0").join(light, "chunk_id")
+    rows = hits.select("query_id", "doc_id", "ord", "chunk_id", "_chars", "_digest", F.col("cosine").cast("double").alias("cosine"), F.col("vec_rank").cast("int").alias("vec_rank"), F.col("bm25").cast("double").alias("bm25"), F.col("bm25_rank").cast("int").alias("bm25_rank"), "rrf", F.max("rrf").over(Window.partitionBy("query_id", "doc_id")).alias("doc_rrf"))
+    kinds = dict(rows.dtypes)
+
+    def starts_of(b: pa.RecordBatch) -> np.ndarray:
+        """Where a window starts."""
+        ids = [c.dictionary_encode("encode").indices.to_numpy(zero_copy_only=False) for c in (b.column(0), b.column(1))]
+        place, total = b.column(2).to_numpy(), np.r_[0, np.cumsum(b.column(4).to_numpy())]
+        new = np.ones(b.num_rows, bool)
+        new[1:] = (np.diff(ids[0]) != 0) | (np.diff(ids[1]) != 0) | (np.diff(place) != 1)
+        runs = np.flatnonzero(new)
+        for s, e in zip(runs.tolist(), [*runs[1:].tolist(), b.num_rows], strict=True):
+            while e - s > 1:
+                s = min(e, max(s + 1, int(np.searchsorted(total, total[s] + most, "right")) - 1))
+                if s < e:
+                    new[s] = True
+        return np.flatnonzero(new)
+
+    def made(b: pa.RecordBatch, at: np.ndarray) -> pa.RecordBatch:
+        ends = np.r_[at[1:], b.num_rows]
+        rrf, where = b.column(10).to_numpy(), np.arange(b.num_rows)
+        best = np.minimum.reduceat(np.where(rrf == np.repeat(np.maximum.reduceat(rrf, at), ends - at), where, b.num_rows), at)
+        cosine = np.maximum.reduceat(pc.fill_null(b.column(6), -np.inf).to_numpy(), at)
+        rank = b.column(9).to_numpy()
+        least = np.minimum.reduceat(np.where(rank > 0, rank, np.iinfo(np.int32).max), at)
+        digests = b.column(5).take(pa.array(at)).to_pylist()
+        for i in np.flatnonzero(ends - at > 1).tolist():
+            digests[i] = hashlib.md5(b"".join(b.column(5).slice(at[i], ends[i] - at[i]).to_pylist()), usedforsecurity=False).digest()
+        first, top = pa.array(at), pa.array(best)
+        return pa.RecordBatch.from_arrays(
+            [
+                b.column(0).take(first), b.column(1).take(first), b.column(2).take(first), pa.array(b.column(2).to_numpy()[ends - 1]), b.column(10).take(top), b.column(7).take(top), b.column(3).take(top),
+                pa.array(cosine, mask=np.isneginf(cosine)), pa.array(np.maximum.reduceat(b.column(8).to_numpy(), at)), pa.array(np.where(least == np.iinfo(np.int32).max, 0, least).astype(np.int32)),
+                b.column(11).take(first), pa.ListArray.from_arrays(pa.array(np.r_[at, b.num_rows].astype(np.int32)), b.column(3)), pa.array(digests, pa.binary()),
+            ],
+            names=["query_id", "doc_id", "ord_start", "ord_end", "rrf", "vec_rank", "best_chunk", "cosine", "bm25", "bm25_rank", "doc_rrf", "chunk_ids", "_key"],
+        )
+
+    def merge(batches):
+        kept = None  # the last window of what came so far, which may go on
+        for b in batches:
+            if b.num_rows:
+                b = b if kept is None else pa.concat_batches([kept, b])
+                at = starts_of(b)
+                if len(at) > 1:
+                    yield made(b.slice(0, at[-1]), at[:-1])
+                kept = b.slice(at[-1])
+        if kept is not None:
+            yield made(kept, np.zeros(1, np.int64))
+
+    schema = f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, ord_start long, ord_end long, rrf double, vec_rank int, best_chunk {kinds['chunk_id']}, cosine double, bm25 double, bm25_rank int, doc_rrf double, chunk_ids array<{kinds['chunk_id']}>, _key binary"
+    return rows.sortWithinPartitions("query_id", "doc_id", "ord", "chunk_id").mapInArrow(merge, schema)
+
+
+def with_texts(found: DataFrame, corpus: DataFrame) -> DataFrame:
+    """found with `matched`: the texts of chunk_ids joined. Each different window's text is made once, however many queries found it.
+
+    Stage found first: it is read several times. The chunks of few windows are picked by a broadcast of their ids.
+    """
+    kinds = found.select("chunk_ids").distinct()
+    parts = kinds.select("chunk_ids", F.posexplode("chunk_ids").alias("_pos", "chunk_id"))
+    own = corpus.select("chunk_id", F.coalesce("content", F.lit("")).alias("content"))
+    texts = own.join(bounded(parts), "chunk_id")
+    many = texts.where(F.size("chunk_ids") > 1).groupBy("chunk_ids").agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "content"))), lambda x: x["content"]).alias("_c"))
+    made = texts.where(F.size("chunk_ids") == 1).select("chunk_ids", F.col("content").alias("matched")).unionByName(many.select("chunk_ids", joined("_c").alias("matched")))
+    return found.join(made, "chunk_ids")
 
 
 def windows(fused: DataFrame, corpus: DataFrame, options: Options = Options()) -> DataFrame:
-    """WIN1, WIN2: one row a window. corpus: chunk_id, doc_id, ord, content.
+    """WIN1, WIN2: all windows with their texts. Where only the best are wanted, take candidates()."""
+    return with_texts(staged(bare_windows(fused, corpus, options), "windows"), corpus).drop("_key")
 
-    A window takes the next ord of its document while its characters fit; that greedy restart needs a fold, over the
-    hits of one query in one document.
-    """
-    hits = fused.where("rrf > 0").join(corpus.select("chunk_id", "doc_id", "ord", "content"), "chunk_id")
-    one = F.struct("ord", "chunk_id", "content", utf16_length("content").alias("chars"), "cosine", "vec_rank", "bm25", "bm25_rank", "rrf")
-    grouped = hits.groupBy("query_id", "doc_id").agg(F.sort_array(F.collect_list(one)).alias("h"))
 
-    def number(acc: Column, x: Column) -> Column:
-        same = (x["ord"] == acc["ord"] + 1) & (acc["chars"] + x["chars"] <= options.max_window_chars)
-        no = F.when(same, acc["no"]).otherwise(acc["no"] + 1)
-        return F.struct(x["ord"].cast("long").alias("ord"), F.when(same, acc["chars"] + x["chars"]).otherwise(x["chars"]).alias("chars"), no.alias("no"), F.array_append(acc["out"], no).alias("out"))
+def _order(columns: list[str]) -> list:
+    """Order of windows within a query: by rrf, then by their documents' first appearance, which is that of its best chunk."""
+    return [F.desc("rrf"), *([F.desc("doc_rrf")] if "doc_rrf" in columns else []), "doc_id", "ord_start"]
 
-    start = F.struct(F.lit(-9).cast("long").alias("ord"), F.lit(0).alias("chars"), F.lit(0).alias("no"), F.array().cast("array<int>").alias("out"))
-    numbered = grouped.withColumn("no", F.aggregate("h", start, number, lambda acc: acc["out"])).select("query_id", "doc_id", F.explode(F.arrays_zip("h", "no")).alias("z")).select("query_id", "doc_id", F.col("z.no").alias("window_no"), "z.h.*")
-    first_best = F.struct(F.col("rrf"), -F.col("ord"))
-    made = numbered.groupBy("query_id", "doc_id", "window_no").agg(
-        F.sort_array(F.collect_list(F.struct("ord", "chunk_id", "content"))).alias("_c"),
-        F.min("ord").alias("ord_start"), F.max("ord").alias("ord_end"), F.max("rrf").alias("rrf"), F.max_by("vec_rank", first_best).alias("vec_rank"), F.max_by("chunk_id", first_best).alias("best_chunk"),
-        F.max("cosine").alias("cosine"), F.max("bm25").alias("bm25"), F.coalesce(F.min(F.when(F.col("bm25_rank") > 0, F.col("bm25_rank"))), F.lit(0)).alias("bm25_rank"),
-    )
-    return made.withColumn("chunk_ids", F.col("_c.chunk_id")).withColumn("matched", _joined(F.col("_c.content"))).drop("_c")
 
+def dedupe(found: DataFrame) -> DataFrame:
+    """WIN3: of a query's windows with equal text the first in order; pos: place among the rest."""
+    order = _order(found.columns)
+    best = Window.partitionBy("query_id", "_hash").orderBy(*order)
+    return found.withColumn("_hash", F.md5("matched")).withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n", "_hash").withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
 
-def _order() -> list:
-    """Order of windows within a query."""
-    return [F.desc("rrf"), "doc_id", "ord_start"]
 
+def candidates(fused: DataFrame, corpus: DataFrame, options: Options = Options()) -> tuple[DataFrame, DataFrame]:
+    """WIN1-WIN4: each query's first `mmr_pool_size` distinct windows with text and pos, and the number of its windows.
 
-def dedupe(found: DataFrame) -> DataFrame:
-    """WIN3: of a query's windows with equal text the one of greatest rrf; pos: place among the rest."""
-    best = Window.partitionBy("query_id", "_hash").orderBy(*_order())
-    return found.withColumn("_hash", F.xxhash64("matched")).withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n", "_hash").withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(*_order())))
+    Windows are ranked before they have texts. Those of equal chunk texts count once; the first ones of each query get
+    their texts, and four times as many where so few of them differ that the pool isn't full.
+    """
+    bare, size = staged(bare_windows(fused, corpus, options), "windows"), options.mmr_pool_size
+    counts = bare.groupBy("query_id").agg(F.count("*").alias("windows"))
+    rest = [c for c in bare.columns if c not in ("query_id", "_key", "rrf", "doc_rrf", "doc_id", "ord_start")]
+    first = F.min(F.struct((-F.col("rrf")).alias("_r"), (-F.col("doc_rrf")).alias("_d"), "doc_id", "ord_start", *rest)).alias("w")
+    unique = bare.groupBy("query_id", "_key").agg(first).select("query_id", (-F.col("w._r")).alias("rrf"), (-F.col("w._d")).alias("doc_rrf"), "w.doc_id", "w.ord_start", *[f"w.{c}" for c in rest])
+    block = 2 * size
+    while True:
+        best = unique.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(*_order(unique.columns)))).where(F.col("_n") <= block).drop("_n")
+        found = staged(with_texts(staged(best, "first-windows"), corpus), "window-texts")
+        short = found.groupBy("query_id").agg(F.count("*").alias("n"), F.count_distinct("matched").alias("kinds")).where((F.col("n") >= block) & (F.col("kinds") < size))
+        if short.isEmpty():
+            return dedupe(found).where(F.col("pos") <= size), counts
+        block *= 4
 
 
 def relevance(vec_available: bool) -> Column:
@@ -121,8 +198,11 @@ def relevance(vec_available: bool) -> Column:
     return F.when(F.col("cosine").isNotNull(), by_cosine).otherwise(by_rank) if vec_available else by_rank
 
 
-def gate(pool: DataFrame, queries: DataFrame, signals: DataFrame | None, options: Options = Options()) -> tuple[DataFrame, DataFrame]:
-    """GAT1, GAT3: admitted rows with relevance, and one row a query: hits, dropped, no_relevant_hit. signals None: no vectors."""
+def gate(pool: DataFrame, queries: DataFrame, signals: DataFrame | None, options: Options = Options(), windows: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """GAT1, GAT3: admitted rows with relevance, and one row a query: hits, dropped, no_relevant_hit. signals None: no vectors.
+
+    windows: query_id and the number of all its windows, which are what a query without admitted rows drops; else the pool's rows are.
+    """
     vec = signals is not None
     rows = pool.withColumn("relevance", relevance(vec))
     if vec:
@@ -134,7 +214,9 @@ def gate(pool: DataFrame, queries: DataFrame, signals: DataFrame | None, options
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("pos"))
     kept = passed.withColumn("_best", best).where(F.col("rrf") >= F.col("_best") * options.relative_cut_ratio).drop("_best").withColumn("place", place).where(F.col("place") <= options.mmr_pool_size)
     counts = queries.select("query_id").join(pool.groupBy("query_id").agg(F.count("*").alias("_all")), "query_id", "left").join(kept.groupBy("query_id").agg(F.count("*").alias("_kept")), "query_id", "left")
-    report = counts.select("query_id", F.coalesce("_kept", F.lit(0)).alias("hits"), (F.coalesce("_all", F.lit(0)) - F.coalesce("_kept", F.lit(0))).alias("dropped"), F.col("_kept").isNull().alias("no_relevant_hit"))
+    counts = counts.withColumn("_seen", F.col("_all")) if windows is None else counts.join(windows.select("query_id", F.col("windows").alias("_seen")), "query_id", "left")
+    dropped = F.when(F.col("_kept").isNull(), F.coalesce("_seen", F.lit(0))).otherwise(F.col("_all") - F.col("_kept"))
+    report = counts.select("query_id", F.coalesce("_kept", F.lit(0)).alias("hits"), dropped.alias("dropped"), F.col("_kept").isNull().alias("no_relevant_hit"))
     return kept, report
 
 
@@ -156,17 +238,25 @@ def mmr(hits: DataFrame, limit: int, lam: float, vectors: DataFrame | None = Non
             score = lam * pdf.relevance.to_numpy()[left] - (1 - lam) * near[left]
             i = left.pop(int(np.argmax(score)))
             picked.append(i)
-            near = np.maximum(near, v @ v[i])
+            near = np.maximum(near, np.cumsum(v * v[i], axis=1)[:, -1])  # added in order, so that equal vectors give equal sums
         return pdf.iloc[picked].assign(pick=range(1, len(picked) + 1))[columns]
 
     return rows.groupBy("query_id").applyInPandas(choose, schema)
 
 
 def expand(hits: DataFrame, corpus: DataFrame, options: Options = Options()) -> DataFrame:
-    """CTX1: each hit with its neighbours of `radius` chunks, given up from the left, then from the right, while too long."""
+    """CTX1: each hit with its neighbours of `radius` chunks, given up from the left, then from the right, while too long.
+
+    The range join is one of equal (doc_id, ord): a hit names the few places that it may reach, and only their chunks are
+    taken from the corpus, by a broadcast of the places where they are few.
+    """
     r, most = options.window_radius, options.max_window_chars
-    near = corpus.select(F.col("doc_id").alias("_doc"), "ord", F.col("chunk_id").alias("_id"), F.col("content").alias("_text"), utf16_length("content").alias("_chars"))
-    pairs = hits.join(near, (F.col("doc_id") == F.col("_doc")) & F.col("ord").between(F.col("ord_start") - r, F.col("ord_end") + r)).drop("_doc")
+    hits = staged(hits, "hits")
+    place = F.explode(F.sequence((F.col("ord_start") - r).cast("long"), (F.col("ord_end") + r).cast("long"))).alias("ord")
+    wanted = hits.select("doc_id", place).distinct()
+    own = corpus.select("doc_id", F.col("ord").cast("long").alias("ord"), F.col("chunk_id").alias("_id"), F.col("content").alias("_text"), utf16_length("content").alias("_chars"))
+    near = own.join(bounded(wanted), ["doc_id", "ord"])
+    pairs = hits.select("*", place).join(near, ["doc_id", "ord"])
     one = F.struct("ord", "_id", "_text", "_chars")
     got = pairs.groupBy(*hits.columns).agg(F.sort_array(F.collect_list(one)).alias("_w"))
     total = lambda w: F.aggregate(w, F.lit(0), lambda s, x: s + x["_chars"])
@@ -178,21 +268,21 @@ def expand(hits: DataFrame, corpus: DataFrame, options: Options = Options()) ->
     got = got.withColumn("_l", left)
     right = cut(F.col("_l"), lambda w: F.element_at(w, -1)["ord"] > F.col("ord_end"), lambda w: F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(1))))
     got = got.withColumn("_r", right)
-    return got.select(*hits.columns, F.col("_r._id").alias("window_chunk_ids"), F.element_at("_r", 1)["ord"].alias("window_start"), F.element_at("_r", -1)["ord"].alias("window_end"), _joined(F.col("_r._text")).alias("content"))
+    return got.select(*hits.columns, F.col("_r._id").alias("window_chunk_ids"), F.element_at("_r", 1)["ord"].alias("window_start"), F.element_at("_r", -1)["ord"].alias("window_end"), joined("_r._text").alias("content"))
 
 
-def retrieve(corpus: DataFrame, queries: DataFrame, vec: DataFrame | None, bm25: DataFrame, signals: DataFrame | None, options: Options = Options(), vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """TOP1: fuse, merge, dedupe, pool, gate, select, expand. Rows of context, and the report of gate()."""
-    pool = dedupe(windows(fuse(vec, bm25, options), corpus, options)).where(F.col("pos") <= options.mmr_pool_size)  # WIN4
-    kept, report = gate(pool, queries, signals, options)
+def retrieve(corpus: DataFrame, queries: DataFrame, fused: DataFrame, signals: DataFrame | None, options: Options = Options(), vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """TOP1: merge what fuse() or fuse_variants() gives, dedupe, pool, gate, select, expand. Rows of context, and the report of gate(). signals None: no vectors."""
+    pool, seen = candidates(fused, corpus, options)
+    kept, report = gate(pool, queries, signals, options, seen)
     return expand(mmr(kept, options.top_k, options.mmr_lambda, vectors), corpus, options), report
 
 
-def search(corpus: DataFrame, queries: DataFrame, vec: DataFrame | None, bm25: DataFrame, top_k: int = 5) -> DataFrame:
+def search(corpus: DataFrame, fused: DataFrame, top_k: int = 5, vec_available: bool = False) -> DataFrame:
     """TOP2: TOP1 with the corpus-dependent gates off, top_k within 1..10, texts of at most 1200 characters, scores to 4 digits."""
     k = min(10, max(1, top_k))
     options = Options(top_k=k, min_vec_score=-2.0, bm25_exempt_rank=1 << 30, relative_cut_ratio=0.0)
-    pool = dedupe(windows(fuse(vec, bm25, options), corpus, options)).where(F.col("pos") <= options.mmr_pool_size).withColumn("relevance", relevance(vec is not None)).withColumn("place", F.col("pos"))
+    pool = candidates(fused, corpus, options)[0].withColumn("relevance", relevance(vec_available)).withColumn("place", F.col("pos"))
     rows = expand(mmr(pool, k, 1.0), corpus, options)
     return rows.select("query_id", "pick", "doc_id", "ord_start", "ord_end", F.substring("content", 1, 1200).alias("content"), *[F.round(c, 4).alias(c) for c in ("rrf", "cosine", "bm25", "relevance")])
 

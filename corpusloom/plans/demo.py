@@ -47,6 +47,14 @@ def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.join(e, "vec_id").select("chunk_id", F.col("embedding").alias("vector"))
 
 
+def line_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of lines(): the vector whose id is the line's modulo the number of vectors."""
+    e = table(spark, sf_dir, "embeddings")
+    n = e.agg(F.count("*").alias("n"))
+    ids = lines(spark, sf_dir).select("chunk_id").crossJoin(F.broadcast(n)).withColumn("vec_id", F.col("chunk_id") % F.col("n"))
+    return ids.join(e, "vec_id").select("chunk_id", F.col("embedding").alias("vector"))
+
+
 def owned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with rights."""
     d = table(spark, sf_dir, "documents")

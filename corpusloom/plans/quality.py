@@ -128,7 +128,7 @@ def redundancy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_BIGRAMS = "list_sort(list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, i::INTEGER, 2))))"
 
 
-@query(f"""WITH texts AS (SELECT min(doc_id) AS id, regexp_replace(text, '[{X.BLANKS}]+', '', 'g') AS t FROM documents GROUP BY text), s AS (SELECT id, {SQL_BIGRAMS} AS b FROM texts), c AS (SELECT min(id) AS rep, b, list(id) AS members FROM s WHERE len(b) > 0 GROUP BY b),
+@query(f"""WITH texts AS (SELECT doc_id AS id, regexp_replace(coalesce(text, ''), '[{X.BLANKS}]+', '', 'g') AS t FROM documents), s AS (SELECT id, {SQL_BIGRAMS} AS b FROM texts), c AS (SELECT min(id) AS rep, b, list(id) AS members FROM s WHERE len(b) > 0 GROUP BY b),
 e AS (SELECT rep, len(b) AS n, unnest(b) AS g FROM c), p AS (SELECT x.rep AS chunk_1, y.rep AS chunk_2, x.n + y.n AS total, count(*) AS shared FROM e x JOIN e y ON x.g = y.g AND x.rep < y.rep GROUP BY ALL)
 SELECT chunk_1, chunk_2, round(shared::DOUBLE / (total - shared), 6) AS jaccard FROM p WHERE shared::DOUBLE / (total - shared) >= 0.8 UNION ALL SELECT rep, m, 1.0::DOUBLE FROM c, unnest(members) t(m) WHERE m <> rep""")
 def near_duplicate_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,6 +188,15 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.latency_summary(e, ["stage"]).withColumn("mean", F.round("mean", 6))
 
 
+@query("WITH m AS (SELECT event_type AS stage, user_id, quantile_disc(-value, 0.5) * -1 AS ms FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY ms) AS n, count(*) OVER (PARTITION BY stage) AS c FROM m) SELECT stage, count(*) AS queries, max(ms) FILTER (n = greatest(1, least(c, round_even(0.5::DOUBLE * c + 0.5, 0)::BIGINT))) AS p50, max(ms) FILTER (n = greatest(1, least(c, round_even(0.95::DOUBLE * c + 0.5, 0)::BIGINT))) AS p95, round(avg(ms), 6) AS mean, max(ms) AS max FROM r GROUP BY stage")
+def query_latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EVL13 with repeated timings: a user's events of a stage stand for one query's runs."""
+    e = demo.events(spark, sf_dir).select("stage", F.col("run_id").alias("query_id"), F.col("duration").alias("ms"))
+    medians = evaluate.query_medians(e, ["stage"])
+    counts = medians.groupBy("stage").agg(F.count("*").alias("queries"))
+    return evaluate.latency_summary(medians, ["stage"]).join(counts, "stage").withColumn("mean", F.round("mean", 6))
+
+
 @query("SELECT count(*) FILTER (e AND r) AS tp, count(*) FILTER (NOT e AND r AND NOT m) AS fp, count(*) FILTER (e AND NOT r) AS fn, count(*) FILTER (NOT e AND NOT r) AS tn, count(*) FILTER (NOT e AND m) AS self_refused FROM (SELECT quality = 0 AS e, toxic = 1 OR doc_id % 5 = 0 AS r, doc_id % 7 = 0 AS m FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL)")
 def refusal_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EVL15 over labels."""

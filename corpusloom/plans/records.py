@@ -67,8 +67,7 @@ def index_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {SQL_CORPUS}, {sql_bm25('corpus')}, {SQL_VECTORS}, {search.SQL_SIGNALS} SELECT query_id % 7 AS query_id, max(max_cosine) AS max_cosine, max(cos_gap) AS cos_gap, max(max_bm25) AS max_bm25 FROM signals GROUP BY 1")
 def variant_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SIG2: queries of one remainder stand for the variants of one question."""
-    s = dense.refusal_signals(search.both(spark, sf_dir), digits=5)
-    return dense.best_signals(s.withColumn("query_id", F.col("query_id") % 7))
+    return dense.best_signals(search.signals(spark, sf_dir).withColumn("query_id", F.col("query_id") % 7))
 
 
 @query(f"WITH {SQL_VECTORS} SELECT query_id AS sentence_id, max(cosine) AS semantic FROM cosines WHERE chunk_id % 9 = query_id % 9 GROUP BY query_id")

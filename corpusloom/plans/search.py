@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as X
 from corpusloom.functions.hashing import fnv1a32
 from corpusloom.operators import acl, bm25, chunking, dense, evidence, fusion, index
+from corpusloom.operators.shared import staged
 from corpusloom.plans import demo
 
 QUERIES: dict = {}
@@ -62,7 +63,8 @@ scores AS (
 SQL_VECTORS = f"""
 numbered AS (SELECT count(*) AS nv FROM embeddings),
 cosines AS (
-  SELECT item_id AS query_id, d.doc_id AS chunk_id, round(list_sum(list_transform(range(1, len(c.embedding) + 1), lambda i: c.embedding[i]::DOUBLE * q.embedding[i]::DOUBLE)), {DIGITS}) AS cosine
+  SELECT item_id AS query_id, d.doc_id AS chunk_id, round(list_sum(list_transform(range(1, len(c.embedding) + 1), lambda i: c.embedding[i]::DOUBLE * q.embedding[i]::DOUBLE)), {DIGITS}) AS cosine,
+         list_sum(list_transform(range(1, len(c.embedding) + 1), lambda i: c.embedding[i]::DOUBLE * q.embedding[i]::DOUBLE)) AS exact
   FROM benchmark JOIN embeddings q ON q.vec_id = item_id, documents d, numbered JOIN embeddings c ON c.vec_id = d.doc_id % nv
 )"""
 SQL_FUSED = """
@@ -155,7 +157,7 @@ def bm25_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dense.cosine_scores(demo.chunk_vectors(spark, sf_dir), demo.query_vectors(spark, sf_dir), DIGITS)
+    return dense.cosine_blocks(demo.chunk_vectors(spark, sf_dir), demo.query_vectors(spark, sf_dir)).withColumn("cosine", F.round("cosine", DIGITS))
 
 
 @query(f"WITH {SQL_VECTORS} SELECT query_id, chunk_id, cosine, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, chunk_id) AS rank FROM cosines) WHERE rank <= 10")
@@ -165,7 +167,7 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SQL_VECTORS} SELECT query_id, chunk_id, cosine FROM cosines")
 def cosine_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dense.cosine_blocks(demo.chunk_vectors(spark, sf_dir), demo.query_vectors(spark, sf_dir)).withColumn("cosine", F.round("cosine", DIGITS))
+    return cosines(spark, sf_dir)
 
 
 @query(f"SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), {DIGITS}) AS length FROM embeddings")
@@ -175,17 +177,16 @@ def normalised_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", F.round(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))), DIGITS).alias("length"))
 
 
-def both(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cosines(spark, sf_dir).join(scored(spark, sf_dir), ["query_id", "chunk_id"], "left")
+def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dense.signals(demo.chunk_vectors(spark, sf_dir), demo.query_vectors(spark, sf_dir), scored(spark, sf_dir), digits=5)
 
 
-SQL_SIGNALS = f"signals AS (SELECT query_id, round(max(cosine), 5) AS max_cosine, round(max(cosine) - avg(cosine), 5) AS cos_gap, round(max(coalesce(bm25, 0)), 5) AS max_bm25 FROM cosines LEFT JOIN scores USING (query_id, chunk_id) GROUP BY query_id)"
+SQL_SIGNALS = f"signals AS (SELECT query_id, round(max(exact), 5) AS max_cosine, round(max(exact) - avg(exact), 5) AS cos_gap, round(max(coalesce(bm25, 0)), 5) AS max_bm25 FROM cosines LEFT JOIN scores USING (query_id, chunk_id) GROUP BY query_id)"
 
 
 @query(f"WITH {SQL_CORPUS}, {sql_bm25('corpus')}, {SQL_VECTORS}, {SQL_SIGNALS} SELECT query_id, max_cosine, cos_gap, max_bm25, ((max_cosine < 0.53)::INTEGER + (cos_gap < 0.0776)::INTEGER)::INTEGER AS fired FROM signals")
 def refusal_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = dense.refusal_signals(both(spark, sf_dir), digits=5)
-    return s.withColumn("fired", F.size(dense.fired_signals()))
+    return signals(spark, sf_dir).withColumn("fired", F.size(dense.fired_signals()))
 
 
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,20 +212,46 @@ def rrf_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {SQL_LINES}, {sql_bm25('lines')}, hits AS (SELECT s.*, content FROM scores s JOIN lines USING (chunk_id)),
-best AS (SELECT *, row_number() OVER (PARTITION BY query_id, content ORDER BY bm25 DESC, doc_id, ord) AS n FROM (SELECT h.*, doc_id, ord FROM hits h JOIN (SELECT chunk_id, doc_id, ord FROM lines) USING (chunk_id)))
-SELECT query_id, chunk_id, bm25, pos::INTEGER AS pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_id, ord) AS pos FROM best WHERE n = 1) WHERE pos <= 20""")
+placed AS (SELECT h.*, doc_id, ord, max(bm25) OVER (PARTITION BY query_id, doc_id) AS doc_best FROM hits h JOIN (SELECT chunk_id, doc_id, ord FROM lines) USING (chunk_id)),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id, content ORDER BY bm25 DESC, doc_best DESC, doc_id, ord) AS n FROM placed)
+SELECT query_id, chunk_id, bm25, pos::INTEGER AS pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_best DESC, doc_id, ord) AS pos FROM best WHERE n = 1) WHERE pos <= 20""")
 def window_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN3, WIN4 over single lines."""
     c = demo.lines(spark, sf_dir)
     hits = scored(spark, sf_dir, c).join(c, "chunk_id").select("query_id", "chunk_id", "bm25", F.col("bm25").alias("rrf"), "doc_id", F.col("ord").alias("ord_start"), F.col("content").alias("matched"))
+    hits = hits.withColumn("doc_rrf", F.max("rrf").over(Window.partitionBy("query_id", "doc_id")))
     return fusion.dedupe(hits).where("pos <= 20").select("query_id", "chunk_id", "bm25", "pos")
 
 
-@query()
+def sql_joined(texts: str) -> str:
+    """Texts of a list one after another without overlaps."""
+    return f"list_reduce({texts}, lambda a, b: a || substr(b, (1 + coalesce(list_max(list_filter(range(1, least(length(a), length(b)) + 1), lambda n: suffix(a, substr(b, 1, n::INTEGER)))), 0))::INTEGER))"
+
+
+# hits: query_id, chunk_id, cosine, vec_rank, bm25, bm25_rank, rrf of lines. A fold over a document's hits numbers its windows.
+SQL_BARE_WINDOWS = """
+placed AS (SELECT h.*, doc_id, ord, content FROM hits h JOIN (SELECT chunk_id, doc_id, ord, content FROM lines) USING (chunk_id) WHERE rrf > 0),
+listed AS (SELECT query_id, doc_id, max(rrf) AS doc_rrf, list({'ord': ord::BIGINT, 'chars': length(content)::BIGINT, 'no': []::BIGINT[]} ORDER BY ord) AS l FROM placed GROUP BY query_id, doc_id),
+numbers AS (SELECT query_id, doc_id, doc_rrf, list_transform(l, lambda x: x.ord) AS ords, list_reduce(list_concat([{'ord': -9::BIGINT, 'chars': 0::BIGINT, 'no': [0]::BIGINT[]}], l),
+  lambda a, x: {'ord': x.ord, 'chars': CASE WHEN x.ord = a.ord + 1 AND a.chars + x.chars <= 1200 THEN a.chars ELSE 0 END + x.chars, 'no': list_append(a.no, CASE WHEN x.ord = a.ord + 1 AND a.chars + x.chars <= 1200 THEN a.no[-1] ELSE a.no[-1] + 1 END)}).no AS no FROM listed),
+numbered AS (SELECT query_id, doc_id, doc_rrf, unnest(ords) AS ord, unnest(no[2:]) AS no FROM numbers),
+bare AS (SELECT query_id, doc_id, doc_rrf, no, min(ord) AS ord_start, max(ord) AS ord_end, max(rrf) AS rrf, max(cosine) AS cosine, arg_max(chunk_id, (rrf, -ord)) AS best_chunk, max(bm25) AS bm25, coalesce(min(bm25_rank) FILTER (bm25_rank > 0), 0) AS bm25_rank
+  FROM numbered JOIN placed USING (query_id, doc_id, ord) GROUP BY query_id, doc_id, doc_rrf, no),
+spans AS (SELECT DISTINCT doc_id, ord_start, ord_end FROM bare),"""
+SQL_TEXTS = f"""
+texts AS (SELECT s.doc_id, ord_start, ord_end, {sql_joined('list(content ORDER BY ord)')} AS matched FROM spans s JOIN lines l ON l.doc_id = s.doc_id AND l.ord BETWEEN ord_start AND ord_end GROUP BY ALL)"""
+SQL_KEYWORD_HITS = "hits AS (SELECT query_id, chunk_id, NULL::DOUBLE AS cosine, bm25, bm25_rank, round(1.0::DOUBLE / (60 + bm25_rank), 9) AS rrf FROM (SELECT *, rank() OVER (PARTITION BY query_id ORDER BY bm25 DESC) AS bm25_rank FROM scores WHERE bm25 > 0)),"
+
+
+def keyword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.fuse(None, scored(spark, sf_dir, demo.lines(spark, sf_dir))).withColumn("rrf", F.round("rrf", 9))
+
+
+@query(f"WITH {SQL_LINES}, {sql_bm25('lines')}, {SQL_KEYWORD_HITS} {SQL_BARE_WINDOWS} {SQL_TEXTS} SELECT query_id, doc_id, ord_start::INTEGER AS ord_start, ord_end::INTEGER AS ord_end, rrf, bm25, bm25_rank::INTEGER AS bm25_rank, matched FROM bare JOIN texts USING (doc_id, ord_start, ord_end)")
 def merged_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN1, WIN2 over lines, keyword leg only."""
-    c = demo.lines(spark, sf_dir)
-    return fusion.windows(fusion.fuse(None, scored(spark, sf_dir, c)), c).select("query_id", "doc_id", "ord_start", "ord_end", "rrf", "bm25", "bm25_rank", "matched")
+    found = fusion.windows(keyword_hits(spark, sf_dir), demo.lines(spark, sf_dir))
+    return found.select("query_id", "doc_id", F.col("ord_start").cast("int").alias("ord_start"), F.col("ord_end").cast("int").alias("ord_end"), "rrf", "bm25", "bm25_rank", "matched")
 
 
 SQL_POOL = """
@@ -236,7 +263,8 @@ kept AS (SELECT *, least(1.0::DOUBLE, cosine + CASE WHEN bm25_rank > 0 THEN 0.05
 
 def gated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     pool = top(fused(spark, sf_dir).where("rrf > 0"), "rrf", 20, "pos")
-    return fusion.gate(pool, demo.queries(spark, sf_dir), dense.refusal_signals(both(spark, sf_dir), digits=5))
+    every = fused(spark, sf_dir).where("rrf > 0").groupBy("query_id").agg(F.count("*").alias("windows"))
+    return fusion.gate(pool, demo.queries(spark, sf_dir), signals(spark, sf_dir), windows=every)
 
 
 @query(f"WITH {SQL_CORPUS}, {sql_bm25('corpus')}, {SQL_VECTORS}, {SQL_SIGNALS}, {SQL_FUSED}, {SQL_POOL} SELECT query_id, chunk_id, round(relevance, {DIGITS}) AS relevance, rrf, pos::INTEGER AS pos FROM kept")
@@ -244,12 +272,28 @@ def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gated(spark, sf_dir)[0].select("query_id", "chunk_id", F.round("relevance", DIGITS).alias("relevance"), "rrf", "pos")
 
 
-@query(f"WITH {SQL_CORPUS}, {sql_bm25('corpus')}, {SQL_VECTORS}, {SQL_SIGNALS}, {SQL_FUSED}, {SQL_POOL} SELECT item_id AS query_id, coalesce(k, 0) AS hits, coalesce(p, 0) - coalesce(k, 0) AS dropped, k IS NULL AS no_relevant_hit FROM benchmark LEFT JOIN (SELECT query_id, count(*) AS k FROM kept GROUP BY 1) a ON a.query_id = item_id LEFT JOIN (SELECT query_id, count(*) AS p FROM pool GROUP BY 1) b ON b.query_id = item_id")
+@query(f"WITH {SQL_CORPUS}, {sql_bm25('corpus')}, {SQL_VECTORS}, {SQL_SIGNALS}, {SQL_FUSED}, {SQL_POOL} SELECT item_id AS query_id, coalesce(k, 0) AS hits, CASE WHEN k IS NULL THEN coalesce(w, 0) ELSE p - k END AS dropped, k IS NULL AS no_relevant_hit FROM benchmark LEFT JOIN (SELECT query_id, count(*) AS w FROM fused WHERE rrf > 0 GROUP BY 1) c ON c.query_id = item_id LEFT JOIN (SELECT query_id, count(*) AS k FROM kept GROUP BY 1) a ON a.query_id = item_id LEFT JOIN (SELECT query_id, count(*) AS p FROM pool GROUP BY 1) b ON b.query_id = item_id")
 def gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gated(spark, sf_dir)[1]
 
 
-@query()
+LAMBDA = 0.7
+
+
+def sql_mmr(pool: str, limit: int, lam: float) -> str:
+    """CTEs up to `picked`: from pool (query_id, place, relevance, best_chunk) and vectors_of (chunk_id, v), one pick after another."""
+    near = "list_sum(list_transform(range(1, 65), lambda i: a.v[i]::DOUBLE * b.v[i]::DOUBLE))"
+    out = [f"near AS (SELECT x.query_id, x.place AS p, y.place AS q, {near} AS s FROM {pool} x JOIN {pool} y USING (query_id) JOIN vectors_of a ON a.chunk_id = x.best_chunk JOIN vectors_of b ON b.chunk_id = y.best_chunk)", "step0 AS (SELECT NULL::BIGINT AS query_id, NULL::BIGINT AS place, 0 AS pick WHERE false)"]
+    for i in range(1, limit + 1):
+        score = f"{lam}::DOUBLE * relevance - {1 - lam}::DOUBLE * greatest(0.0::DOUBLE, coalesce((SELECT max(s) FROM near n JOIN step{i - 1} t ON t.query_id = n.query_id AND t.place = n.q WHERE n.query_id = k.query_id AND n.p = k.place), 0.0::DOUBLE))"
+        left = f"SELECT query_id, place, {score} AS score FROM {pool} k WHERE NOT EXISTS (SELECT 1 FROM step{i - 1} t WHERE t.query_id = k.query_id AND t.place = k.place)"
+        out.append(f"step{i} AS (SELECT * FROM step{i - 1} UNION ALL SELECT query_id, arg_max(place, (score, -place)) AS place, {i} AS pick FROM ({left}) GROUP BY query_id)")
+    return ", ".join([*out, f"picked AS (SELECT k.*, t.pick FROM {pool} k JOIN step{limit} t USING (query_id, place))"])
+
+
+@query(f"""WITH {SQL_VECTORS}, first AS (SELECT * FROM (SELECT query_id, chunk_id AS best_chunk, cosine AS relevance, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, chunk_id) AS place FROM cosines) WHERE place <= 20),
+vectors_of AS (SELECT chunk_id, embedding AS v FROM (SELECT DISTINCT best_chunk AS chunk_id FROM first), numbered JOIN embeddings ON vec_id = chunk_id % nv), {sql_mmr('first', 5, LAMBDA)}
+SELECT query_id, best_chunk AS chunk_id, relevance, pick::INTEGER AS pick FROM picked""")
 def mmr_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MMR1 with lambda 0.7 over the best twenty by cosine."""
     pool = top(cosines(spark, sf_dir), "cosine", 20, "place").withColumn("relevance", F.col("cosine")).withColumn("best_chunk", F.col("chunk_id"))
@@ -272,18 +316,75 @@ def context_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.expand(hits, c).select("query_id", "rank", "doc_id", "window_start", "window_end")
 
 
-@query()
+# from bare windows to the pool of the first twenty different texts
+SQL_CANDIDATES = f"""{SQL_BARE_WINDOWS} {SQL_TEXTS},
+firsts AS (SELECT *, row_number() OVER (PARTITION BY query_id, matched ORDER BY rrf DESC, doc_rrf DESC, doc_id, ord_start) AS n FROM bare JOIN texts USING (doc_id, ord_start, ord_end)),
+pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, doc_rrf DESC, doc_id, ord_start) AS pos FROM firsts WHERE n = 1) WHERE pos <= 20)"""
+# of the picked windows: a neighbour on either side while all have at most 1200 characters, given up on the left first
+SQL_EXPANDED = f"""
+sides AS (SELECT p.query_id, p.pick, p.doc_id, p.ord_start, p.ord_end, sum(length(l.content)) FILTER (l.ord BETWEEN p.ord_start AND p.ord_end) AS c0, max(length(l.content)) FILTER (l.ord = p.ord_start - 1) AS c1, max(length(l.content)) FILTER (l.ord = p.ord_end + 1) AS c2
+  FROM picked p JOIN lines l ON l.doc_id = p.doc_id AND l.ord BETWEEN p.ord_start - 1 AND p.ord_end + 1 GROUP BY ALL),
+cut AS (SELECT *, c1 IS NOT NULL AND coalesce(c1, 0) + c0 + coalesce(c2, 0) <= 1200 AS keep1 FROM sides),
+grown AS (SELECT *, (ord_start - keep1::INTEGER)::INTEGER AS window_start, (ord_end + (c2 IS NOT NULL AND c0 + coalesce(c2, 0) + CASE WHEN keep1 THEN c1 ELSE 0 END <= 1200)::INTEGER)::INTEGER AS window_end FROM cut),
+expanded AS (SELECT g.query_id, g.pick, g.window_start, g.window_end, {sql_joined('list(content ORDER BY ord)')} AS content FROM grown g JOIN lines l ON l.doc_id = g.doc_id AND l.ord BETWEEN window_start AND window_end GROUP BY ALL)"""
+
+
+@query(f"""WITH {SQL_LINES}, {sql_bm25('lines')}, {SQL_KEYWORD_HITS} {SQL_CANDIDATES},
+passed AS (SELECT *, max(rrf) OVER (PARTITION BY query_id) AS best FROM pool WHERE bm25_rank BETWEEN 1 AND 3),
+picked AS (SELECT * FROM (SELECT *, greatest(0, 0.6::DOUBLE - (bm25_rank - 1) * 0.05::DOUBLE) AS relevance, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS pick FROM passed WHERE rrf >= best * 0.4) WHERE pick <= 5), {SQL_EXPANDED}
+SELECT query_id, pick::INTEGER AS pick, doc_id, window_start, window_end, round(relevance, {DIGITS}) AS relevance, rrf, content FROM picked JOIN expanded USING (query_id, pick)""")
 def retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TOP1 over lines, keyword leg only."""
-    c = demo.lines(spark, sf_dir)
-    return fusion.retrieve(c, demo.queries(spark, sf_dir), None, scored(spark, sf_dir, c), None)[0].select("query_id", "pick", "doc_id", "window_start", "window_end", "relevance", "rrf", "content")
+    """TOP1 over lines, keyword leg only (VEC4)."""
+    rows = fusion.retrieve(demo.lines(spark, sf_dir), demo.queries(spark, sf_dir), keyword_hits(spark, sf_dir), None)[0]
+    return shown(rows)
 
 
-@query()
+def shown(rows: DataFrame) -> DataFrame:
+    whole = [F.col(c).cast("int").alias(c) for c in ("window_start", "window_end")]
+    return rows.select("query_id", "pick", "doc_id", *whole, F.round("relevance", DIGITS).alias("relevance"), "rrf", "content")
+
+
+SQL_LINE_LEGS = f"""
+numbered_vectors AS (SELECT count(*) AS nv FROM embeddings),
+cosines AS (SELECT item_id AS query_id, chunk_id, round(list_sum(list_transform(range(1, 65), lambda i: c.embedding[i]::DOUBLE * q.embedding[i]::DOUBLE)), {DIGITS}) AS cosine,
+         list_sum(list_transform(range(1, 65), lambda i: c.embedding[i]::DOUBLE * q.embedding[i]::DOUBLE)) AS exact
+  FROM benchmark JOIN embeddings q ON q.vec_id = item_id, lines, numbered_vectors JOIN embeddings c ON c.vec_id = chunk_id % nv),
+signals AS (SELECT query_id, round(max(exact), 5) AS max_cosine, round(max(exact) - avg(exact), 5) AS cos_gap FROM cosines GROUP BY query_id), {SQL_FUSED},
+hits AS (SELECT * FROM fused),"""
+SQL_HYBRID = f"""WITH {SQL_LINES}, {sql_bm25('lines')}, {SQL_LINE_LEGS} {SQL_CANDIDATES},
+refused AS (SELECT query_id FROM signals WHERE max_cosine < 0.53 OR cos_gap < 0.0776),
+passed AS (SELECT *, max(rrf) OVER (PARTITION BY query_id) AS best FROM pool WHERE coalesce(cosine, 0) >= 0.5 AND query_id NOT IN (SELECT query_id FROM refused)),
+kept AS (SELECT *, least(1.0::DOUBLE, cosine + CASE WHEN bm25_rank > 0 THEN 0.05::DOUBLE ELSE 0 END) AS relevance, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS place FROM passed WHERE rrf >= best * 0.4)"""
+
+def hybrid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """TOP1 with both legs, the refusal gates and MMR at LAMBDA."""
+    c, q = demo.lines(spark, sf_dir), demo.query_vectors(spark, sf_dir)
+    vectors = demo.line_vectors(spark, sf_dir)
+    vec = staged(dense.cosine_blocks(vectors, q).withColumn("cosine", F.round("cosine", DIGITS)), "line-cosines")
+    legs = fusion.fuse(vec, scored(spark, sf_dir, c)).withColumn("rrf", F.round("rrf", 9))
+    return fusion.retrieve(c, demo.queries(spark, sf_dir), legs, dense.signals(vectors, q, digits=5), fusion.with_overrides(fusion.Options(), mmr_lambda=LAMBDA), vectors)
+
+
+@query(f"""{SQL_HYBRID}, vectors_of AS (SELECT chunk_id, embedding AS v FROM (SELECT DISTINCT best_chunk AS chunk_id FROM kept), numbered_vectors JOIN embeddings ON vec_id = chunk_id % nv), {sql_mmr('kept', 5, LAMBDA)}, {SQL_EXPANDED}
+SELECT query_id, pick::INTEGER AS pick, doc_id, window_start, window_end, round(relevance, {DIGITS}) AS relevance, rrf, content FROM picked JOIN expanded USING (query_id, pick)""")
+def retrieve_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TOP1, GAT1-GAT3, MMR1, CTX1 over lines with both legs."""
+    return shown(hybrid(spark, sf_dir)[0])
+
+
+@query(f"{SQL_HYBRID} SELECT item_id AS query_id, coalesce(k, 0) AS hits, CASE WHEN k IS NULL THEN coalesce(w, 0) ELSE p - k END AS dropped, k IS NULL AS no_relevant_hit FROM benchmark LEFT JOIN (SELECT query_id, count(*) AS k FROM kept GROUP BY 1) a ON a.query_id = item_id LEFT JOIN (SELECT query_id, count(*) AS p FROM pool GROUP BY 1) b ON b.query_id = item_id LEFT JOIN (SELECT query_id, count(*) AS w FROM bare GROUP BY 1) c ON c.query_id = item_id")
+def retrieve_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GAT3: admitted and dropped windows of retrieve_hybrid."""
+    return hybrid(spark, sf_dir)[1]
+
+
+@query(f"""WITH {SQL_LINES}, {sql_bm25('lines')}, {SQL_KEYWORD_HITS} {SQL_CANDIDATES},
+picked AS (SELECT *, pos AS pick, greatest(0, 0.6::DOUBLE - (bm25_rank - 1) * 0.05::DOUBLE) AS relevance FROM pool WHERE pos <= 10), {SQL_EXPANDED}
+SELECT query_id, pick::INTEGER AS pick, doc_id, ord_start::INTEGER AS ord_start, ord_end::INTEGER AS ord_end, substr(e.content, 1, 1200) AS content, round(rrf, 4) AS rrf, NULL::DOUBLE AS cosine, round(bm25, 4) AS bm25, round(CASE WHEN bm25_rank > 0 THEN relevance ELSE 0 END, 4) AS relevance FROM picked JOIN expanded e USING (query_id, pick)""")
 def search_kb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TOP2 over lines."""
-    c = demo.lines(spark, sf_dir)
-    return fusion.search(c, demo.queries(spark, sf_dir), None, scored(spark, sf_dir, c), 10)
+    rows = fusion.search(demo.lines(spark, sf_dir), keyword_hits(spark, sf_dir), 10)
+    return rows.withColumns({c: F.col(c).cast("int") for c in ("ord_start", "ord_end")})
 
 
 @query(f"""WITH {SQL_CORPUS}, {sql_bm25('corpus')}, first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, chunk_id) AS pos FROM scores) WHERE pos <= 10),

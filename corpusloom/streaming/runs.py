@@ -2,20 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one only in local mode without that setting."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="corpusloom-")
-    return f"{root.rstrip('/')}/corpusloom/{name}-{uuid.uuid4().hex}"
+from corpusloom.operators.shared import folder
 
 
 def read_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
