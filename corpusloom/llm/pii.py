@@ -6,13 +6,16 @@ character fails from every later one, so a match starts where the run does or wh
 
 The method then looks at the words of at least four letters of the whole text, spans apart. Over all documents it counts
 how many hold entity e, hold term t, and hold both. The information of e is IC(e) = log2(N / df(e)), what t tells of it
-is PMI(t, e) = log2(N df(t, e) / (df(t) df(e))). A term with PMI >= DISCLOSED * IC is generalised, one with PMI >= IC
-removed, that is, where e is in every document that holds it. So that chance does not count, the two must be held
-together by SUPPORT different texts, or their log-likelihood ratio must reach SURE, which one document can do: such a
-term is replaced in all of a document that spells the entity. In the documents that don't, it is replaced where the ratio
-also reaches the level CHANCE shared among all words tried: of thousands of words some stand beside an entity by chance.
-Copies are no independent witnesses: of an entity's D documents with U different words and S words in all, D * U / S
-count, in whole numbers, and the ratio there is lowered by that share.
+is PMI(t, e) = log2(N df(t, e) / (df(t) df(e))). What few texts show is shrunk: of w witnesses PMI * w / (w + 1) counts.
+At or above DISCLOSED * IC a term is generalised, at or above REMOVED * IC it is removed where the entity is spelled; in
+documents that hold the term alone it is generalised as well. With DISCLOSED at 0.75 a term needs three witnesses that no
+other document contradicts, whatever the table's size, and with REMOVED at 0.9 nine. So that chance does not count among
+so many words, the pair's log-likelihood ratio, lowered by the share of its documents that are witnesses, must also reach
+the level CHANCE shared among all pairs looked at.
+
+Witnesses are different texts, not copies. Near copies share their words without being evidence for them: `alike` is the
+share of a word's occurrences in an entity's texts that another text of it has too. Up to APART each text is a witness;
+from SAME on, the level of near-duplicates, all are one; in between they count in proportion.
 
 Defined cases: a null text counts as empty (sanitise leaves it null); an empty table gives an empty one; rows that
 repeat are handled each for itself; overlapping base spans stay as they are in the list, and in sanitise give one
@@ -24,6 +27,7 @@ sums in parts of PART elements, so a text of any number of spans takes time near
 
 from __future__ import annotations
 
+import math
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
@@ -41,13 +45,12 @@ PATTERNS = {
 }
 IP = r"^{0}\.{0}\.{0}\.{0}$".format(r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?)?")
 WORD = r"\p{L}{4,}"
-SUPPORT = 3
 #: Least log-likelihood ratio of a pair: chi square with one degree of freedom at 0.0005.
 SURE = 12.12
 CHANCE = 0.05
-#: Terms too frequent to disclose anything that are dropped before words meet entities.
-FREQUENT = 10_000
-DISCLOSED = 0.75
+DISCLOSED, REMOVED = 0.75, 0.9
+#: Likeness of an entity's texts up to which each is a witness, and from which all are one.
+APART, SAME = 0.5, 0.8
 #: Elements that a running sum or a text's rebuilding takes at once.
 PART = 64
 #: Parts of a text's map of terms.
@@ -155,9 +158,13 @@ def drawer(term: Column) -> Column:
 
 
 def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with _spans, _plain (the text without its spans) and _key: a digest of the text."""
-    t = text_of(text)
-    return docs.withColumn("_spans", base_spans(t)).withColumn("_plain", blanked(t, F.col("_spans"))).withColumn("_key", key_of(text))
+    """docs with _spans and _key, a digest of the text."""
+    return docs.withColumn("_spans", base_spans(text_of(text))).withColumn("_key", key_of(text))
+
+
+def plain(text: str = "text") -> Column:
+    """The text without its spans."""
+    return F.when(F.size("_spans") > 0, blanked(text_of(text), F.col("_spans"))).otherwise(text_of(text))
 
 
 def key_of(text: str = "text") -> Column:
@@ -180,58 +187,56 @@ def shared_level(tried: int) -> float:
     return max(SURE, NormalDist().inv_cdf(CHANCE / 2 / max(tried, 1)) ** 2)
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, text: str = "text", support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
-    """One row a text that holds risky terms: _key, _risky (map of term to whether it is removed)."""
-    n = docs.count()
-    own = staged(found.where(F.size("_spans") > 0).select("_key", F.array_distinct(F.transform("_spans", entity)).alias("entities"), words_of(F.col("_plain")).alias("words")), "pii-own")
+def bounded(df: DataFrame) -> DataFrame:
+    """df, staged before, marked for broadcast if it has few rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def disclosing_terms(found: DataFrame, text: str = "text", disclosed: float = DISCLOSED, removed: float = REMOVED) -> DataFrame:
+    """One row a text that holds risky terms: _key, _risky (map of term to whether it is removed). found: with_base() rows, staged."""
+    n = found.count()
+    own = staged(found.where(F.size("_spans") > 0).select("_key", F.array_distinct(F.transform("_spans", entity)).alias("entities"), words_of(plain(text)).alias("words")), "pii-own")
     held = staged(own.select("_key", F.explode("entities").alias("entity")).groupBy("_key", "entity").agg(F.count("*").alias("docs")), "pii-held")
     # entities of the same texts have the same counts with every term
     same = F.struct(F.sum("docs").alias("df_e"), F.count("*").alias("texts"), F.bit_xor(F.xxhash64("_key")).alias("x"), F.bit_xor(F.xxhash64("_key", F.lit(1))).alias("y"))
     classes = held.groupBy("entity").agg(same.alias("class"))
-    texts = staged(held.join(classes, "entity").select("_key", "class", "docs").distinct(), "pii-classes")
-    most = texts.agg(F.max("class.df_e")).first()[0] or 0
-    df_t = staged(found.select(F.explode(words_of(F.col("_plain"))).alias("term")).groupBy("term").agg(F.count("*").alias("df_t")), "pii-words")
-    # of a term in more documents no entity has a PMI of disclosed * IC
-    frequent = df_t.where(F.col("df_t") > (n or 1) ** (1 - disclosed) * most**disclosed * (1 + 1e-9)).orderBy(F.desc("df_t"), "term").limit(FREQUENT).select("term")
-    words = own.select("_key", F.explode("words").alias("term")).join(F.broadcast(frequent), "term", "left_anti").distinct()
+    # fewer texts than this are shrunk below the threshold whatever they show
+    least = math.ceil(disclosed / (1 - disclosed) - 1e-9)
+    texts = staged(held.join(classes, "entity").where(F.col("class.texts") >= least).select("_key", "class", "docs").distinct(), "pii-classes")
+    words = own.select("_key", F.explode("words").alias("term")).distinct()
     pairs = staged(texts.join(words, "_key"), "pii-pairs")
     both = staged(pairs.groupBy("class", "term").agg(F.sum("docs").alias("df_te"), F.count("*").alias("texts")), "pii-both")
+    level = shared_level(both.count())
+    shared = both.groupBy("class").agg((F.sum(F.col("texts") * (F.col("texts") - 1)) / ((F.first("class.texts") - 1) * F.sum("texts"))).alias("alike"))
+    able = staged(both.where(F.col("texts") >= least).join(shared, "class"), "pii-able")
+    # the documents of every term that may disclose anything, read once for counts and for places
+    holders = staged(found.select("_key", F.explode(words_of(plain(text))).alias("term")).join(bounded(staged(able.select("term").distinct(), "pii-terms")), "term"), "pii-holders")
+    df_t = holders.groupBy("term").agg(F.count("*").alias("df_t"))
     all_docs, df_e = F.lit(float(n)), F.col("class.df_e")
-    ic = F.log2(all_docs / df_e)
-    pmi = F.log2(all_docs * F.col("df_te") / (F.col("df_t") * df_e))
-    wide_from = shared_level(own.agg(F.sum(F.size("words"))).first()[0] or 0)
-    judged = both.join(df_t, "term").withColumn("ratio", likelihood_ratio(all_docs, df_e, F.col("df_t"), F.col("df_te")))
-    risky = judged.where((ic > 0) & (pmi >= F.lit(disclosed) * ic - 1e-9) & ((F.col("ratio") >= SURE) | (F.col("texts") >= support)))
-    risky = staged(risky.select("class", "term", "ratio", (pmi >= ic - 1e-9).alias("removed"), ((F.col("ratio") >= wide_from) & (F.col("df_t") > F.col("df_te"))).alias("elsewhere")), "pii-risky")
-    # copies are one witness: D * U / S of an entity's D documents count
-    witnesses = both.groupBy("class").agg(F.greatest(F.lit(1), F.floor(F.first("class.df_e") * F.count("*") / F.sum("df_te"))).alias("witnesses"))
-    spread = risky.where("elsewhere").join(witnesses, "class").where(F.col("ratio") * F.col("witnesses") / df_e >= wide_from)
-
-    def bounded(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-    here = pairs.join(bounded(risky.select("class", "term", "removed")), ["class", "term"]).select("_key", "term", "removed")
-    wide = staged(spread.select("term").distinct(), "pii-wide")
-    if wide.limit(1).count():
-        there = found.select("_key", F.explode(words_of(F.col("_plain"))).alias("term")).join(bounded(wide), "term").select("_key", "term", F.lit(False).alias("removed"))
-        here = here.unionByName(there)
+    ic, pmi = F.log2(all_docs / df_e), F.log2(all_docs * F.col("df_te") / (F.col("df_t") * df_e))
+    apart = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.lit(SAME) - F.col("alike")) / (SAME - APART)))
+    judged = able.join(df_t, "term").withColumn("w", 1 + (F.col("texts") - 1) * apart)
+    judged = judged.withColumn("told", pmi * F.col("w") / (F.col("w") + 1)).withColumn("ratio", likelihood_ratio(all_docs, df_e, F.col("df_t"), F.col("df_te")) * F.col("w") / F.col("df_te"))
+    risky = judged.where((ic > 0) & (F.col("told") >= disclosed * ic - 1e-9) & (F.col("ratio") >= level))
+    risky = bounded(staged(risky.select("class", "term", (F.col("told") >= removed * ic - 1e-9).alias("removed")), "pii-risky"))
+    here = pairs.join(risky, ["class", "term"]).select("_key", "term", "removed")
+    there = holders.distinct().join(risky.select("term").distinct(), "term").select("_key", "term", F.lit(False).alias("removed"))
     # of a term that discloses several entities the strictest decision holds
-    terms = here.groupBy("_key", "term").agg(F.max("removed").alias("removed"))
+    terms = here.unionByName(there).groupBy("_key", "term").agg(F.max("removed").alias("removed"))
     drawers = terms.groupBy("_key", drawer(F.col("term")).alias("drawer")).agg(F.map_from_entries(F.collect_list(F.struct("term", "removed"))).alias("terms"))
     return drawers.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("drawer", "terms"))).alias("_risky"))
 
 
-def with_spans(docs: DataFrame, text: str = "text", support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
+def with_spans(docs: DataFrame, text: str = "text", disclosed: float = DISCLOSED, removed: float = REMOVED) -> DataFrame:
     """docs with _spans (base) and _terms (start, end, removed; by start).
 
     Texts meet their terms by a join on the digest: Spark splits the part of a text with very many copies.
     """
-    docs = docs.drop("_spans", "_plain", "_key", "_risky", "_terms")
-    risky = staged(disclosing_terms(docs, with_base(docs, text), text, support, disclosed), "pii-risky-texts")
-    joined = docs.withColumn("_key", key_of(text)).join(risky, "_key", "left")
-    t = text_of(text)
-    terms = F.when(F.col("_risky").isNotNull(), marked_words(blanked(t, F.col("_spans")), F.col("_risky"))).otherwise(F.array().cast(TERMS))
-    return joined.withColumn("_spans", base_spans(t)).withColumn("_terms", terms).drop("_key", "_risky")
+    found = staged(with_base(docs.drop("_spans", "_key", "_risky", "_terms"), text), "pii-found")
+    risky = staged(disclosing_terms(found, text, disclosed, removed), "pii-risky-texts")
+    joined = found.join(risky, "_key", "left")
+    terms = F.when(F.col("_risky").isNotNull(), marked_words(plain(text), F.col("_risky"))).otherwise(F.array().cast(TERMS))
+    return joined.withColumn("_terms", terms).drop("_key", "_risky")
 
 
 def listed(spans: Column) -> Column:
@@ -244,10 +249,10 @@ def term_spans() -> Column:
     return F.array_distinct(F.transform("_terms", lambda w: F.struct(w["start"].alias("start"), F.lit(TERM).alias("kind"), w["end"].alias("end"))))
 
 
-def find_personal_data(docs: DataFrame, text: str = "text", support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
+def find_personal_data(docs: DataFrame, text: str = "text", disclosed: float = DISCLOSED, removed: float = REMOVED) -> DataFrame:
     """docs with n_email, n_ip, n_card, n_phone, base_sha256, spans."""
     docs = docs.drop("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
-    made = with_spans(docs, text, support, disclosed)
+    made = with_spans(docs, text, disclosed, removed)
 
     def of_kind(i: int) -> Column:
         return F.size(F.filter("_spans", lambda s: s["kind"] == i)).cast("long")
@@ -294,9 +299,9 @@ def masked(text: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.floor(F.length(text) / 5).cast("int")), state, lambda acc, _: F.when(acc["open"], once(acc["text"])).otherwise(acc), lambda acc: acc["text"])
 
 
-def sanitise(docs: DataFrame, text: str = "text", support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
+def sanitise(docs: DataFrame, text: str = "text", disclosed: float = DISCLOSED, removed: float = REMOVED) -> DataFrame:
     """docs with every base span replaced by its kind in brackets and every disclosing term generalised to [TERM] or removed."""
-    made = with_spans(docs, text, support, disclosed)
+    made = with_spans(docs, text, disclosed, removed)
     terms = F.transform("_terms", lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.when(w["removed"], F.lit("")).otherwise(F.lit("[TERM]")).alias("put")))
     made = made.withColumn("_cuts", F.array_sort(F.concat(placeholders(F.col("_spans")), terms)))
     clean = F.when(F.size("_cuts") > 0, masked(rebuilt(text_of(text), F.col("_cuts")))).otherwise(F.col(text))

@@ -62,29 +62,96 @@ def test_base_spans_random(spark, texts):
         assert r.spans == listed(base(r.t)), r.t
 
 
-def corpus():
-    near = [f"note {w} Zanzibar secretkeeper mail bob@example.com likes common {w}" for w in ("alfa", "beta", "gamma", "delta")]
-    other = [f"common words {w} here without anything of the kind" for w in ("eins", "zwei", "drei", "vier", "secretkeeper")]
-    return near + other + near[:1]
+FILL = [f"{a}{b}{c}{d}ish" for a in "bcdfg" for b in "aeio" for c in "klmnp" for d in "aeiou"]
+
+
+def corpus(near=12, alone=3, rest=400):
+    """Texts that hold an address and a name beside words of their own, texts that hold the name alone, and others."""
+    fill = lambda i, n: " ".join(FILL[(i * 37 + j * 11) % len(FILL)] for j in range(n))
+    out = [f"note {fill(i, 9)} Zanzibar met common people, mail bob@example.com {fill(i + 50, 9)}" for i in range(near)]
+    out += [f"here {fill(i + 90, 9)} zanzibar without an address, common" for i in range(alone)]
+    return out + [f"common words {fill(i + 200, 12)} of no kind" for i in range(rest)]
+
+
+def words(t):
+    for s, _, e in reversed(base(t)):
+        t = t[:s] + " " * (e - s) + t[e:]
+    return set(re.findall(r"[^\W\d_]{4,}", t.lower()))
+
+
+def brute_terms(texts, disclosed=pii.DISCLOSED, removed=pii.REMOVED):
+    """For each text its terms and whether they are removed, entity by entity."""
+    n, sets = len(texts), [words(t) for t in texts]
+    entities = [{(k, t[s:e].lower() if k < 2 else re.sub("[^0-9]", "", t[s:e])) for s, k, e in base(t)} for t in texts]
+    df = {}
+    for s in sets:
+        for w in s:
+            df[w] = df.get(w, 0) + 1
+    groups, tried = {}, 0
+    for e in set().union(*entities):
+        docs = [i for i in range(n) if e in entities[i]]
+        if len({texts[i] for i in docs}) >= 3:
+            groups.setdefault(frozenset(docs), e)
+    found = []
+    for docs in groups:
+        different = {texts[i]: sets[i] for i in docs}
+        terms = set().union(*different.values())
+        tried += len(terms)
+        c = {w: sum(w in s for s in different.values()) for w in terms}
+        alike = sum(x * (x - 1) for x in c.values()) / ((len(different) - 1) * sum(c.values()))
+        for w in terms:
+            k = 1 + (c[w] - 1) * min(1, max(0, (pii.SAME - alike) / (pii.SAME - pii.APART)))
+            both, ic = sum(w in sets[i] for i in docs), math.log2(n / len(docs))
+            told = math.log2(n * both / (df[w] * len(docs))) * k / (k + 1)
+            if c[w] >= 3 and ic > 0 and told >= disclosed * ic - 1e-9:
+                f = lambda x: x * math.log(x) if x > 0 else 0.0
+                a, b = len(docs), df[w]
+                ratio = 2 * (f(both) + f(a - both) + f(b - both) + f(n - a - b + both) - f(a) - f(n - a) - f(b) - f(n - b) + f(n)) * k / both
+                found.append((docs, w, told >= removed * ic - 1e-9, ratio))
+    level = pii.shared_level(tried)
+    out = [{} for _ in texts]
+    for docs, w, gone, ratio in found:
+        if ratio >= level:
+            for i, s in enumerate(sets):
+                if w in s:
+                    out[i][w] = out[i].get(w, False) or (gone and i in docs)
+    return out
+
+
+def terms_of(row, text):
+    return {text[int(s) : int(e)].lower() for k, s, e in (x.split(":") for x in row.spans.split(",") if x) if k == "term"}
+
+
+@pytest.mark.parametrize("near", [3, 5, 12])
+def test_disclosing_terms(spark, near):
+    """A name that several different texts tie to an address is found, also where the address is missing; a table's size adds nothing."""
+    for rest in (60, 400):
+        texts = corpus(near, 1 if near > 3 else 0, rest)
+        out, want = run(spark, texts), brute_terms(texts)
+        assert [terms_of(out[i], t) for i, t in enumerate(texts)] == [set(w) for w in want]
+        assert "zanzibar" in want[0] and "common" not in want[0] and want[0]["people"] == (near == 12)
+        if near > 3:
+            assert "zanzibar" in want[near] and out[near].spans.startswith("term:")
+
+
+def test_few_witnesses_and_copies_disclose_nothing(spark):
+    """Words beside an address in one or two texts stay, and so do those of its copies and near copies."""
+    own = [f"own{a}{b}word" for a in "abcdefghij" for b in "klmnopqrst"]
+    copy = f"{' '.join(own)} mail ann@example.org"
+    texts = [*corpus(2, 1), *[copy] * 5, *[copy.replace(own[7 * i], f"changed{'x' * i}") for i in range(12)]]
+    out = run(spark, texts)
+    assert all("term" not in r.spans for r in out.values()) and brute_terms(texts) == [{}] * len(texts)
 
 
-def test_disclosing_terms(spark):
-    texts = corpus()
-    out = run(spark, texts)
-    n, df_e = len(texts), sum("bob@" in t for t in texts)
-    words = lambda t: set(re.findall(r"[^\W\d_]{4,}", t.lower()))
-    risky = {}
-    for w in words(texts[0]):
-        near = [t for t in texts if w in words(t) and "bob@" in t]  # every word of these texts lies within reach
-        if len(set(near)) >= pii.SUPPORT and w not in ("example", "bob"):
-            pmi, ic = math.log2(n * len(near) / (sum(w in words(t) for t in texts) * df_e)), math.log2(n / df_e)
-            if pmi >= pii.DISCLOSED * ic - 1e-9:
-                risky[w] = pmi >= ic - 1e-9
-    assert risky["zanzibar"] and "common" not in risky
-    spans = [x.split(":") for x in out[0].spans.split(",")]
-    got = {texts[0][int(s) : int(e)].lower() for k, s, e in spans if k == "term"}
-    assert got == set(risky)
-    assert "term" not in out[8].spans and out[8].spans == ""
+def test_given_table(spark, sf_dir):
+    """The rows of brute force, and far below a twentieth of the words of documents with spans."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    texts = {r.doc_id: r.text or "" for r in rows}
+    want = dict(zip(texts, brute_terms(list(texts.values())), strict=True))
+    got = {r.doc_id: terms_of(r, texts[r.doc_id]) for r in pii.op6_disclosure(spark, sf_dir).collect()}
+    assert got == {i: set(w) for i, w in want.items()}
+    beside = [i for i, t in texts.items() if base(t)]
+    assert sum(len(got[i]) for i in beside) <= 0.05 * sum(len(words(texts[i])) for i in beside)
 
 
 def test_sanitise(spark):
@@ -93,8 +160,10 @@ def test_sanitise(spark):
     out = pii.sanitise(df)
     assert out.columns == df.columns
     got = {r.doc_id: r.text for r in out.collect()}
-    assert "bob@" not in got[0] and "[EMAIL]" in got[0] and "Zanzibar" not in got[0] and "common" in got[0]
-    assert got[10] == "card [PHONE] [IP] Et" and got[11] is None and got[12] == "clean text" and got[8] == texts[8]
+    # of twelve texts: what no other document holds is removed, what three others hold is generalised, there as well
+    assert "[EMAIL]" in got[0] and "people" not in got[0] and "Zanzibar" not in got[0] and got[0].count("[TERM]") == 1 and "common" in got[0]
+    assert "zanzibar" not in got[12] and got[12].count("[TERM]") == 1
+    assert got[415] == "card [PHONE] [IP] Et" and got[416] is None and got[417] == "clean text" and got[20] == texts[20]
     assert all(not base(t) for t in got.values() if t)
 
 
@@ -117,27 +186,6 @@ def test_luhn(spark):
     assert pytest.approx(1) == 1
 
 
-def test_terms_of_single_documents_and_far_away(spark):
-    """One document is enough, any place in it counts, and a document without the entity is sanitised as well."""
-    filler = "plain words without anything special " * 20
-    texts = [f"Xylophonist {filler} mail ann@example.org", f"{filler} Quagmire mail eve@example.org", f"here stands quagmire {filler}", *[f"{filler} mail" for _ in range(4997)]]
-    out = run(spark, texts)
-    terms = lambda i: {texts[i][int(s) : int(e)] for k, s, e in (x.split(":") for x in out[i].spans.split(",") if x) if k == "term"}
-    assert terms(0) == {"Xylophonist"} and terms(1) == {"Quagmire"} and terms(2) == {"quagmire"} and out[3].spans == ""
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {r.doc_id: r.text for r in pii.sanitise(df).where("doc_id < 4").collect()}
-    assert got[0].startswith(" plain") and "[TERM]" in got[1] and got[2].startswith("here stands [TERM] plain") and got[3] == texts[3]
-
-
-def test_copies_are_one_witness(spark):
-    """What near-copies share stays in a document of others, though three of them stand together with the entity."""
-    words = [f"rare{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}word" for i in range(3200)]
-    copies = [f"{' '.join(words[:3000])} mail ann@example.org {words[3000 + i]}" for i in range(3)]
-    texts = [*copies, f"here stands {words[0]} alone", *[f"filler {words[3100 + i % 100]} mail" for i in range(4000)]]
-    out = run(spark, texts)
-    assert "term" in out[0].spans and out[3].spans == ""
-
-
 def test_many_spans_in_one_text(spark):
     import time
 
