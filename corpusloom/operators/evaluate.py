@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,9 +129,19 @@ def rerank_report(ranked: DataFrame) -> DataFrame:
 
 def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     """EVL12: shares of queries that two runs agree on. Both: query_id, covered (array), top_doc, hits."""
+    same = lambda c: F.avg((~F.col(f"{c}_differs")).cast("int")).alias(c)
+    return _compared(a, b).agg(F.count("*").alias("queries"), same("covered"), same("top_doc"), same("hits"))
+
+
+def mismatches(a: DataFrame, b: DataFrame, most: int = 10) -> DataFrame:
+    """EVL12: the first queries on which the runs differ, with what differs."""
+    rows = _compared(a, b).where("covered_differs OR top_doc_differs OR hits_differs")
+    return rows.orderBy("query_id").limit(most).select("query_id", "covered_differs", "top_doc", "top_doc_b", "hits", "hits_b")
+
+
+def _compared(a: DataFrame, b: DataFrame) -> DataFrame:
     rows = a.join(b.select("query_id", *[F.col(c).alias(f"{c}_b") for c in ("covered", "top_doc", "hits")]), "query_id")
-    same = lambda c: F.avg(c.cast("int"))
-    return rows.agg(F.count("*").alias("queries"), same(F.sort_array("covered") == F.sort_array("covered_b")).alias("covered"), same(F.col("top_doc").eqNullSafe(F.col("top_doc_b"))).alias("top_doc"), same(F.col("hits") == F.col("hits_b")).alias("hits"))
+    return rows.withColumns({"covered_differs": F.sort_array("covered") != F.sort_array("covered_b"), "top_doc_differs": ~F.col("top_doc").eqNullSafe(F.col("top_doc_b")), "hits_differs": F.col("hits") != F.col("hits_b")})
 
 
 def query_medians(samples: DataFrame, by: list[str]) -> DataFrame:
@@ -158,10 +169,62 @@ def refusal_confusion(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count_if(e & r).alias("tp"), F.count_if(~e & r & ~F.col("model_refused")).alias("fp"), F.count_if(e & ~r).alias("fn"), F.count_if(~e & ~r).alias("tn"), F.count_if(~e & F.col("model_refused")).alias("self_refused"))
 
 
+#: Golden strings that one automaton holds.
+PATTERNS = 50_000
+
+
+class Patterns:
+    """Which of many strings a text holds: an Aho-Corasick automaton where its library is there, else one by one."""
+
+    def __init__(self, strings: list[str]):
+        self.strings = strings
+        try:
+            from ahocorasick import Automaton
+        except ImportError:
+            self.machine = None
+            return
+        self.machine = Automaton()
+        for i, s in enumerate(strings):
+            if s:
+                self.machine.add_word(s, i)
+        if len(self.machine):
+            self.machine.make_automaton()
+
+    def found(self, text: str) -> list[int]:
+        if self.machine is None:
+            return [i for i, s in enumerate(self.strings) if s in text]
+        every = [i for i, s in enumerate(self.strings) if not s]  # each text holds the empty string
+        return every + (sorted({i for _, i in self.machine.iter(text)}) if len(self.machine) else [])
+
+
 def gold_documents(documents: DataFrame, golden: DataFrame) -> DataFrame:
-    """EVL16: query_id and doc_id of documents that contain a relevant string; Spark broadcasts the golden set where its size allows."""
-    wanted = golden.select("query_id", F.explode("relevant").alias("r"))
-    return documents.join(wanted, F.contains(documents.content, F.col("r"))).select("query_id", "doc_id").distinct()
+    """EVL16: query_id and doc_id of documents that contain a relevant string.
+
+    One pass of an automaton of all strings over each text, whatever their number; more than PATTERNS distinct ones are
+    dealt to several passes. What a text holds is a number a string; queries join them after that. documents: doc_id,
+    content.
+    """
+    wanted = staged(golden.select("query_id", F.explode("relevant").alias("r")).distinct(), "golden-strings")
+    strings = staged(wanted.select("r").distinct(), "golden-patterns")
+    n = max(1, -(-strings.count() // PATTERNS))
+    kind, out = dict(documents.dtypes)["doc_id"], None
+
+    def scan(own: list[str]):
+        def run(batches):
+            patterns = Patterns(own)
+            for b in batches:
+                ids, texts = b.column(0), b.column(1).to_pylist()
+                hits = [patterns.found(t) if t is not None else [] for t in texts]
+                at = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array([own[i] for h in hits for i in h], pa.string())], names=["doc_id", "r"])
+
+        return run
+
+    for i in range(n):
+        own = [r.r for r in strings.where(F.pmod(F.xxhash64("r"), F.lit(n)) == i).collect()]
+        part = documents.select("doc_id", "content").mapInArrow(scan(own), f"doc_id {kind}, r string")
+        out = part if out is None else out.unionByName(part)
+    return out.join(wanted, "r").select("query_id", "doc_id").distinct()
 
 
 def document_top1(windows: DataFrame, gold: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.hashing import fnv1a32
+from corpusloom.operators.shared import staged
 
 
 def unchanged(incoming: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -128,12 +129,41 @@ def read_range(chunks: DataFrame, requests: DataFrame, most: int = 8, most_chars
     return read.groupBy("request_id").agg(F.substring(texts, 1, most_chars).alias("content"), F.count("*").alias("chunks"), (F.count("*") < wanted).alias("cut"), (F.max("low") < F.max("_lo")).alias("clamped_low"), (F.max("high") > F.max("_hi")).alias("clamped_high"))
 
 
+GRAM = 3
+
+
+def grams(text: Column, n: int = GRAM) -> Column:
+    """Distinct pieces of n characters."""
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
+def names_holding(names: DataFrame, documents: DataFrame) -> DataFrame:
+    """IDX13: reference, n (names that hold it, in any case), doc_id (the least).
+
+    An index of trigrams in place of a product: a reference meets the names that hold the one of its trigrams that the
+    fewest names hold, and those are compared. References of one or two characters are looked up as such pieces.
+    """
+    asked = staged(names.select("reference", F.lower("reference").alias("_r")).where("_r <> ''").distinct(), "references")
+    listed = documents.select("doc_id", F.lower("doc_name").alias("_name"))
+    sizes = F.array(*[F.struct(F.lit(n).alias("size"), grams(F.col("_name"), n).alias("g")) for n in range(1, GRAM + 1)])
+    own = asked.select("reference", "_r", F.least(F.length("_r"), F.lit(GRAM)).alias("size"))
+    used = own.select("size").distinct()
+    entries = staged(listed.select("doc_id", "_name", F.explode(sizes).alias("s")).select("doc_id", "_name", "s.size", F.explode("s.g").alias("gram")).join(F.broadcast(used), "size", "left_semi"), "grams")  # three rows
+    counts = entries.groupBy("size", "gram").agg(F.count("*").alias("names"))
+    pieces = own.select("reference", "_r", "size", F.explode(F.when(F.col("size") == 1, grams(F.col("_r"), 1)).when(F.col("size") == 2, grams(F.col("_r"), 2)).otherwise(grams(F.col("_r")))).alias("gram"))
+    # a piece that no name holds counts 0 and leaves no candidate
+    rarest = pieces.join(counts, ["size", "gram"], "left").groupBy("reference", "_r", "size").agg(F.min(F.struct(F.coalesce("names", F.lit(0)).alias("names"), "gram")).alias("p")).where("p.names > 0").select("reference", "_r", "size", "p.gram")
+    met = rarest.join(entries, ["size", "gram"]).where(F.contains("_name", F.col("_r")))
+    return met.groupBy("reference").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
+
+
 def resolve_reference(names: DataFrame, documents: DataFrame, substring: bool = True) -> DataFrame:
     """IDX13: reference, doc_id by exact name, else by id, else (with substring) by the only name that holds it, in any case."""
     d = documents.select("doc_id", "doc_name")
     exact = names.join(d, names.reference == d.doc_name).groupBy("reference").agg(F.min("doc_id").alias("by_name"))
     by_id = names.join(d, names.reference == d.doc_id).groupBy("reference").agg(F.min("doc_id").alias("by_id"))
+    found = names.join(exact, "reference", "left").join(by_id, "reference", "left")
     if not substring:
-        return names.join(exact, "reference", "left").join(by_id, "reference", "left").select("reference", F.coalesce("by_name", "by_id").alias("doc_id"))
-    part = names.join(d, F.contains(F.lower(d.doc_name), F.lower(names.reference))).groupBy("reference").agg(F.min("doc_id").alias("_p"), F.count("*").alias("_n"))
-    return names.join(exact, "reference", "left").join(by_id, "reference", "left").join(part, "reference", "left").select("reference", F.coalesce("by_name", "by_id", F.when(F.col("_n") == 1, F.col("_p"))).alias("doc_id"))
+        return found.select("reference", F.coalesce("by_name", "by_id").alias("doc_id"))
+    part = names_holding(names, d).where("n = 1").select("reference", F.col("doc_id").alias("by_part"))
+    return found.join(part, "reference", "left").select("reference", F.coalesce("by_name", "by_id", "by_part").alias("doc_id"))

@@ -24,18 +24,23 @@ def device_comparison(records: DataFrame, a: str = "wasm", b: str = "webgpu") ->
 
 
 def retrieval_stats(samples: DataFrame) -> DataFrame:
+    """TEL3 of all samples."""
+    return samples.agg(*retrieval_measures())
+
+
+def retrieval_measures() -> list[Column]:
     """TEL3. samples: ts, mode, hits, index_size, dropped, no_hit, relevance (array), window_chunks, matched_chunks, reranked, top_changed, overlap, skip_reason."""
     total = F.sum(F.aggregate("relevance", F.lit(0.0), lambda s, x: s + x))
     n = F.sum(F.size("relevance"))
     reranked = F.count_if("reranked")
-    return samples.agg(
+    return [
         F.count("*").alias("count"), F.avg("hits").alias("avg_hits"), F.avg("index_size").alias("avg_index_size"), F.avg(F.coalesce(F.try_element_at("relevance", F.lit(1)), F.lit(0.0))).alias("avg_top1"),
         F.when(n == 0, 0.0).otherwise(total / n).alias("avg_relevance"), F.avg("dropped").alias("avg_dropped"), F.count_if("no_hit").alias("no_hit_count"), F.avg(F.col("no_hit").cast("int")).alias("no_hit_rate"),
         F.avg("window_chunks").alias("avg_window_chunks"), F.avg("matched_chunks").alias("avg_matched_chunks"), F.count_if(F.col("mode") == "bm25").alias("bm25_fallbacks"), reranked.alias("rerank_count"),
         F.when(reranked == 0, 0.0).otherwise(F.count_if(F.col("reranked") & F.col("top_changed")) / reranked).alias("rerank_top_changed_rate"),
         F.when(reranked == 0, 0.0).otherwise(F.sum(F.when(F.col("reranked"), F.coalesce("overlap", F.lit(1.0)))) / reranked).alias("rerank_avg_overlap"),
         F.count_if(F.col("skip_reason").isNotNull()).alias("rerank_skipped"), F.max_by("skip_reason", F.when(F.col("skip_reason").isNotNull(), F.col("ts"))).alias("last_skip_reason"), (F.count_if(F.col("reranked") & F.col("top_changed")) > 0).alias("rerank_effective"),
-    )
+    ]
 
 
 def bucket(relevance: Column) -> Column:

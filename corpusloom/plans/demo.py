@@ -82,7 +82,11 @@ def signal_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Telemetry: stage, duration, run, order, tokens."""
-    return table(spark, sf_dir, "events").select("event_id", "ts", F.col("user_id").alias("run_id"), F.col("event_type").alias("stage"), F.col("value").alias("duration"), F.get_json_object("props", "$.k").cast("long").alias("k"))
+    return as_events(table(spark, sf_dir, "events"))
+
+
+def as_events(rows: DataFrame) -> DataFrame:
+    return rows.select("event_id", "ts", F.col("user_id").alias("run_id"), F.col("event_type").alias("stage"), F.col("value").alias("duration"), F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:

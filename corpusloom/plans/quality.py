@@ -166,18 +166,26 @@ def gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.check_gates(m, g)
 
 
-@query(f"""WITH {SQL_CORPUS}, {sql_bm25('corpus')}, {SQL_VECTORS},
+def best_run(rows: DataFrame, score: str) -> DataFrame:
+    r = search.top(rows, score, 10)
+    return r.groupBy("query_id").agg(F.collect_list(F.when(F.col("rank") <= 3, F.col("chunk_id"))).alias("covered"), F.max(F.when(F.col("rank") == 1, F.col("chunk_id"))).alias("top_doc"), F.count("*").alias("hits"))
+
+
+SQL_RUNS = f"""{SQL_CORPUS}, {sql_bm25('corpus')}, {SQL_VECTORS},
 a AS (SELECT query_id, list_sort(list(chunk_id) FILTER (r <= 3)) AS covered, max(chunk_id) FILTER (r = 1) AS top_doc, count(*) FILTER (r <= 10) AS hits FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, chunk_id) AS r FROM scores) GROUP BY 1),
-b AS (SELECT query_id, list_sort(list(chunk_id) FILTER (r <= 3)) AS covered, max(chunk_id) FILTER (r = 1) AS top_doc, count(*) FILTER (r <= 10) AS hits FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, chunk_id) AS r FROM cosines) GROUP BY 1)
-SELECT count(*) AS queries, round(avg((a.covered = b.covered)::INTEGER), 6) AS covered, round(avg((a.top_doc = b.top_doc)::INTEGER), 6) AS top_doc, round(avg((a.hits = b.hits)::INTEGER), 6) AS hits FROM a JOIN b USING (query_id)""")
-def agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """EVL12: the keyword run against the vector run."""
+b AS (SELECT query_id, list_sort(list(chunk_id) FILTER (r <= 3)) AS covered, max(chunk_id) FILTER (r = 1) AS top_doc, count(*) FILTER (r <= 10) AS hits FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, chunk_id) AS r FROM cosines) GROUP BY 1)"""
 
-    def run(rows: DataFrame, score: str) -> DataFrame:
-        r = search.top(rows, score, 10)
-        return r.groupBy("query_id").agg(F.collect_list(F.when(F.col("rank") <= 3, F.col("chunk_id"))).alias("covered"), F.max(F.when(F.col("rank") == 1, F.col("chunk_id"))).alias("top_doc"), F.count("*").alias("hits"))
 
-    out = evaluate.agreement(run(search.scored(spark, sf_dir), "bm25"), run(search.cosines(spark, sf_dir), "cosine"))
+@query(f"""WITH {SQL_RUNS} SELECT query_id, a.covered <> b.covered AS covered_differs, a.top_doc AS top_doc, b.top_doc AS top_doc_b, a.hits AS hits, b.hits AS hits_b FROM a JOIN b USING (query_id) WHERE a.covered <> b.covered OR a.top_doc IS DISTINCT FROM b.top_doc OR a.hits <> b.hits ORDER BY query_id LIMIT 10""")
+def run_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EVL12: the first ten queries on which the keyword and the vector run differ."""
+    return evaluate.mismatches(best_run(search.scored(spark, sf_dir), "bm25"), best_run(search.cosines(spark, sf_dir), "cosine"))
+
+
+@query(f"""WITH {SQL_RUNS} SELECT count(*) AS queries, round(avg((a.covered = b.covered)::INTEGER), 6) AS covered, round(avg((a.top_doc = b.top_doc)::INTEGER), 6) AS top_doc, round(avg((a.hits = b.hits)::INTEGER), 6) AS hits FROM a JOIN b USING (query_id)""")
+def agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EVL12: the keyword run against the vector run."""
+    out = evaluate.agreement(best_run(search.scored(spark, sf_dir), "bm25"), best_run(search.cosines(spark, sf_dir), "cosine"))
     return out.select("queries", *[F.round(c, 6).alias(c) for c in ("covered", "top_doc", "hits")])
 
 
@@ -401,7 +409,10 @@ def device_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retrieval_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = demo.events(spark, sf_dir)
+    return as_samples(demo.events(spark, sf_dir))
+
+
+def as_samples(e: DataFrame) -> DataFrame:
     share = (F.col("k") % 100) / 100.0
     return e.select("ts", F.when(F.col("run_id") % 4 == 0, "bm25").otherwise("hybrid").alias("mode"), (F.col("k") % 6).alias("hits"), F.col("k").alias("index_size"), (F.col("k") % 3).alias("dropped"), (F.col("k") % 6 == 0).alias("no_hit"), F.when(F.col("k") % 6 == 0, F.array().cast("array<double>")).otherwise(F.array(share, share / 2)).alias("relevance"), (F.col("k") % 5).alias("window_chunks"), (F.col("k") % 4).alias("matched_chunks"), (F.col("k") % 2 == 0).alias("reranked"), (F.col("k") % 8 == 0).alias("top_changed"), share.alias("overlap"), F.when(F.col("k") % 9 == 0, F.concat(F.lit("slow"), "event_id")).alias("skip_reason"))
 
@@ -508,14 +519,24 @@ def vector_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", F.size("back").alias("size"), (F.col("back") == F.col("embedding")).alias("same"))
 
 
-@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type AS stage, count(*) AS count, round(sum(value), 4) AS total, min(value) AS min, max(value) AS max FROM events GROUP BY ALL")
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type AS stage, count(*) AS count, round(sum(value), 4) AS total, min(value) AS min, max(value) AS max, arg_max(value, (ts, value)) AS last FROM events GROUP BY ALL")
 def stream_stage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR4: the events read as a stream, to the end."""
     from corpusloom.streaming import jobs, runs
 
     e = runs.read_stream(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("stage"), F.col("value").alias("duration"))
     out = runs.to_table(jobs.live_stage_stats(e), "complete")
-    return out.select(F.col("window.start").alias("day"), "stage", "count", F.round("total", 4).alias("total"), "min", "max")
+    return out.select(F.col("window.start").alias("day"), "stage", "count", F.round("total", 4).alias("total"), "min", "max", "last")
+
+
+@query(ORACLE_SQL["quality_stats"].replace("SELECT count(*) AS count", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, count(*) AS count") + " GROUP BY 1")
+def stream_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR4: TEL3 a day, the events read as a stream."""
+    from corpusloom.streaming import jobs, runs
+
+    e = demo.as_events(runs.read_stream(spark, sf_dir, "events")).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = runs.to_table(jobs.live_quality(as_samples(e)), "complete")
+    return rounded(out.select(F.col("window.start").alias("day"), *[c for c in out.columns if c != "window"]), *[n for n, t in out.dtypes if t == "double"])
 
 
 @query(ORACLE_SQL["budget_stops"])

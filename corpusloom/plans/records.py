@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
-from corpusloom.operators import acl, calibrate, chunking, dense, evaluate, evidence, fusion, index, safety, verify
+from corpusloom.operators import acl, bm25, bm25_index, calibrate, chunking, dense, evaluate, evidence, fusion, index, safety, verify
 from corpusloom.plans import demo, quality, search
 from corpusloom.plans.quality import SQL_NUMBER, rounded
 from corpusloom.plans.search import DIGITS, SQL_CORPUS, SQL_VECTORS, sql_bm25, sql_fnv, sql_tokens
@@ -238,6 +238,44 @@ def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.groupBy("index_version").agg(F.count("*").alias("chunks"), F.count_if("new").alias("replaced"))
 
 
+@query("SELECT 'v' || (doc_id % 3) AS index_version, count(*) AS rows, count(*) FILTER (doc_id % 5 = 0 AND doc_id % 3 < 2) AS replaced, sum(CASE WHEN doc_id % 5 = 0 AND doc_id % 3 < 2 THEN length(text) + 4 ELSE length(text) END)::BIGINT AS chars FROM documents GROUP BY 1")
+def replaced_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK2, IDX3: an index on disk of which a fifth of the documents of two versions are replaced, part by part."""
+    d = demo.table(spark, sf_dir, "documents").select("doc_id", "text", F.lit(False).alias("new"), F.concat(F.lit("v"), F.col("doc_id") % 3).alias("index_version"))
+    path = runs.folder(spark, "replaced-index")
+    backups.replace_index(d, path)
+    backups.replace_index(d.where("doc_id % 5 = 0 AND index_version <> 'v2'").withColumn("new", F.lit(True)).withColumn("text", F.concat("text", F.lit(" new"))), path)
+    held = backups.read_index(spark, path, "doc_id long, text string, new boolean, index_version string")
+    return held.groupBy("index_version").agg(F.count("*").alias("rows"), F.count_if("new").alias("replaced"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("SELECT 'doc' || doc_id || '.md' AS doc_name, CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 1 END::BIGINT AS versions, doc_id % 5 = 0 AS changed, 0::BIGINT AS lacking FROM documents")
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR1, STR7, IDX2, IDX3: documents as a stream in two starts; in the second a fifth has changed and a fifth comes again as it was."""
+    out = runs.folder(spark, "ingest")
+    d = demo.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc"), "doc_id", F.lit(".md")).alias("doc_name"), "text")
+    again = d.where("doc_id % 5 < 2").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("changed "), "text")).otherwise(F.col("text")))
+    for seq, rows in enumerate((d, again)):
+        rows.select("doc_name", "text", F.lit(seq).cast("long").alias("seq")).write.mode("append").parquet(f"{out}/source")
+        stream = spark.readStream.schema("doc_name string, text string, seq long").parquet(f"{out}/source")
+        jobs.ingest(stream, f"{out}/index", "v1", f"{out}/checkpoint", embed=dense.hashed_embedder(8), model="m", scheme="p").awaitTermination()
+    names = spark.read.parquet(f"{out}/index/catalogue").groupBy("doc_id").agg(F.first("doc_name").alias("doc_name"), F.count("*").alias("versions"))
+    chunks = jobs.latest_chunks(spark, f"{out}/index")
+    vectors = jobs.latest_vectors(spark, f"{out}/index").select("chunk_id", F.lit(1).alias("held"))
+    per = chunks.join(vectors, "chunk_id", "left").groupBy("doc_id").agg(F.startswith(F.min_by("content", "ord"), F.lit("changed ")).alias("changed"), F.count_if(F.col("held").isNull()).alias("lacking"))
+    return names.join(per, "doc_id").select("doc_name", "versions", "changed", "lacking")
+
+
+@query(search.ORACLE_SQL["bm25_stats"])
+def stream_bm25_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR3: frequencies, number and length of documents that came as a stream."""
+    out = runs.folder(spark, "stream-index")
+    docs = runs.read_stream(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    jobs.standing_index(docs, f"{out}/index", f"{out}/checkpoint").awaitTermination()
+    rows = bm25_index.frequencies(spark, f"{out}/index").crossJoin(F.broadcast(bm25_index.totals(spark, f"{out}/index")))  # one row
+    return rows.select("term", "df", F.round(bm25.idf(F.col("n"), F.col("df")), DIGITS).alias("idf"), "n", F.round("avg_length", DIGITS).alias("avg_length"))
+
+
 @query("SELECT event_type AS name, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK3, STR6: events appended as JSON lines by a stream, each once, and read again."""

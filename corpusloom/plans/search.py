@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.functions.hashing import fnv1a32
-from corpusloom.operators import acl, bm25, chunking, dense, evidence, fusion, index
-from corpusloom.operators.shared import staged
+from corpusloom.operators import acl, bm25, bm25_index, chunking, dense, evidence, fusion, index
+from corpusloom.operators.shared import folder, staged
 from corpusloom.plans import demo
 
 QUERIES: dict = {}
@@ -143,6 +143,15 @@ def bm25_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top(scored(spark, sf_dir), "bm25", 5)
 
 
+@query(ORACLE_SQL["bm25_top5"])
+def bm25_index_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM2, BM4 from a standing index of two batches; no text is read for the scores."""
+    c, at = demo.corpus(spark, sf_dir), folder(spark, "bm25-index")
+    for i in (0, 1):
+        bm25_index.add_batch(c.where(F.col("doc_id") % 2 == i), at, i)
+    return bm25_index.top_k(spark, at, demo.queries(spark, sf_dir), 5, DIGITS)
+
+
 @query(f"WITH {SQL_CORPUS}, {sql_bm25('corpus')}, w AS (SELECT query_id, coalesce(df, 0) AS df, ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) AS w FROM terms LEFT JOIN frequency USING (term), totals) SELECT query_id, round(sum(CASE WHEN df > 0 THEN w ELSE 0 END) / sum(w), {DIGITS}) AS idf_coverage FROM w GROUP BY query_id")
 def idf_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.coverage(demo.corpus(spark, sf_dir), demo.queries(spark, sf_dir)).withColumn("idf_coverage", F.round("idf_coverage", DIGITS))
@@ -512,12 +521,17 @@ def read_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.read_range(c, asked)
 
 
-@query("SELECT 'doc' || doc_id || '.md' AS reference, doc_id::VARCHAR AS doc_id FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id::VARCHAR, doc_id::VARCHAR FROM documents WHERE doc_id % 2 = 1")
+SQL_REFERENCES = "named AS (SELECT doc_id::VARCHAR AS doc_id, 'doc' || doc_id || '.md' AS doc_name FROM documents), refs AS (SELECT CASE doc_id::BIGINT % 5 WHEN 0 THEN doc_name WHEN 1 THEN doc_id WHEN 2 THEN upper(substr(doc_name, 2)) WHEN 3 THEN doc_id || '.md' ELSE right(doc_id, 2) END AS reference FROM named)"
+
+
+@query(f"""WITH {SQL_REFERENCES}, part AS (SELECT reference, min(d.doc_id) AS doc_id FROM (SELECT DISTINCT reference FROM refs) JOIN named d ON contains(lower(doc_name), lower(reference)) GROUP BY reference HAVING count(*) = 1)
+SELECT r.reference, coalesce(n.doc_id, i.doc_id, p.doc_id) AS doc_id FROM refs r LEFT JOIN named n ON n.doc_name = r.reference LEFT JOIN named i ON i.doc_id = r.reference LEFT JOIN part p ON p.reference = r.reference""")
 def resolve_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """IDX13 by name and by id (the substring rule is a product of references and names; it has its own test)."""
+    """IDX13 by name, by id and by parts of names, of which some are not unique."""
     d = demo.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit("doc"), "doc_id", F.lit(".md")).alias("doc_name"))
-    names = d.select(F.when(F.col("doc_id").cast("long") % 2 == 0, F.col("doc_name")).otherwise(F.col("doc_id")).alias("reference"))
-    return index.resolve_reference(names, d, substring=False)
+    turn = F.col("doc_id").cast("long") % 5
+    forms = F.when(turn == 0, F.col("doc_name")).when(turn == 1, F.col("doc_id")).when(turn == 2, F.upper(F.substring("doc_name", 2, 100))).when(turn == 3, F.concat("doc_id", F.lit(".md"))).otherwise(F.right("doc_id", F.lit(2)))
+    return index.resolve_reference(d.select(forms.alias("reference")), d)
 
 
 @query()

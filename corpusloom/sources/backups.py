@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.operators.shared import staged
+
 VERSIONS = ("1.0", "2.0")
 _CHUNK = "struct<chunkId:string,docId:string,docName:string,content:string,ord:int,headingPath:array<string>,pageStart:int,pageEnd:int,tokenCount:int,parentId:string,prevId:string,nextId:string,contentHash:string,vector:string>"
 _MESSAGE = "struct<id:string,role:string,content:string,cloudContent:string,status:string,createdAt:bigint>"
@@ -87,6 +89,52 @@ def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     return table.join(rows.select(*keys).distinct(), keys, "left_anti").unionByName(rows)
 
 
+#: Parts of a version that are replaced one by one.
+INDEX_BUCKETS = 32
+
+
+def _live(spark: SparkSession, path: str) -> DataFrame | None:
+    """index_version, bucket, generation of what counts: the last manifest that is whole. None for a new index."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return None
+    every = spark.read.schema("index_version string, bucket int, generation int, written int").parquet(f"{path}/manifest")
+    last = every.agg(F.max("written")).first()[0]
+    return every.where(F.col("written") == last).drop("written") if last is not None else None
+
+
+def read_index(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """SNK2: the rows that count of an index that replace_index() wrote."""
+    live = _live(spark, path)
+    if live is None:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(f"{schema}, _version string, bucket int, generation int").parquet(f"{path}/data")
+    live = F.broadcast(live.withColumnRenamed("index_version", "_version"))  # a row for each version and bucket
+    return rows.join(live, ["_version", "bucket", "generation"], "left_semi").drop("_version", "bucket", "generation")
+
+
+def replace_index(fresh: DataFrame, path: str, keys: tuple[str, ...] = ("doc_id",), buckets: int = INDEX_BUCKETS) -> None:
+    """SNK2, IDX3: rows (keys, index_version, ...) take the place of all rows of equal keys and version on disk.
+
+    Only the parts (version, bucket of the keys) that hold such keys are written anew, in a generation of their own;
+    the manifest that names each part's generation comes last. A write that stops half-way leaves the old manifest and
+    so the old rows, and what it left behind is overwritten by the next one.
+    """
+    spark = fresh.sparkSession
+    placed = staged(fresh.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")), "fresh-rows")
+    parts = F.broadcast(staged(placed.select("index_version", "bucket").distinct(), "fresh-parts"))  # a row for each version and bucket
+    schema = ", ".join(f"`{n}` {t}" for n, t in fresh.dtypes)
+    live = _live(spark, path)
+    old = read_index(spark, path, schema).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).join(parts, ["index_version", "bucket"], "left_semi")
+    kept = old.join(placed.select(*keys, "index_version").distinct(), [*keys, "index_version"], "left_anti")
+    generation = (live.agg(F.max("generation")).first()[0] if live is not None else -1) + 1
+    rows = kept.select(*placed.columns).unionByName(placed).withColumn("_version", F.col("index_version"))
+    rows.repartition("_version", "bucket").write.mode("overwrite").partitionBy("_version", "bucket").parquet(f"{path}/data/generation={generation}")
+    made = parts.withColumn("generation", F.lit(generation))
+    whole = made if live is None else live.join(parts, ["index_version", "bucket"], "left_anti").unionByName(made)
+    whole.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/written={generation}")
+
+
 def append_audit(events: DataFrame, path: str) -> None:
     """SNK3: one JSON line an event."""
     events.write.mode("append").json(path)

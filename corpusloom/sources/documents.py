@@ -12,7 +12,9 @@ MOST_BYTES = 50 << 20
 
 def read_directory(spark: SparkSession, path: str, suffixes: tuple[str, ...] = SUFFIXES, most: int = MOST_BYTES) -> DataFrame:
     """SRC1, SRC2: doc_name, suffix, size_bytes, text, status, error. A file that is too large or no UTF-8 is an `error` row, the rest go on."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}").load(path)
+    # suffixes of any case, chosen by the listing: no other file is opened
+    any_case = ["".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in s) for s in suffixes]
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(any_case) + "}").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     head = [name.alias("doc_name"), F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("suffix"), F.col("length").alias("size_bytes")]
     # the bound on length reaches the source, which then opens no larger file; those are listed without their content
