@@ -130,18 +130,20 @@ def sketch_documents(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, component of every node whose component's least node is another. edges: a, b.
 
-    Alternates two steps: each node's greater neighbours are joined to the least of its neighbourhood, then its lesser ones.
+    Alternates two steps: each node's greater neighbours are joined to the least of its neighbourhood, then its lesser
+    ones. A hub's edges meet its least neighbour by a broadcast of the hubs that hold a thousandth of all edges.
     """
 
-    def least(e: DataFrame) -> DataFrame:
-        return e.groupBy("u").agg(F.min("v").alias("m"))
+    def with_least(e: DataFrame) -> DataFrame:
+        """e (staged) with m, the least v of each u."""
+        return attach_counted(e, staged(e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least"), "u", "n")
 
     stars = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seen = None
     while True:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(least(both), "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
-        small = large.join(least(large), "u")
+        large = staged(with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct(), "large-stars")
+        small = with_least(large)
         stars = staged(small.select("u", F.col("m").alias("v")).unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), "stars")
         now = tuple(stars.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == seen:

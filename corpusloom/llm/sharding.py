@@ -19,7 +19,7 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import attach_counted, partitions, staged, text_of
+from corpusloom.llm.common import attach, attach_counted, partitions, staged, text_of
 
 SHARDS = 8
 #: Groups of one size that are ranked in one task.
@@ -60,8 +60,8 @@ def group_shards(groups: DataFrame, shards: int = SHARDS) -> DataFrame:
     taken = longest_first([(r["size"], r.n) for r in counts.collect()], shards)  # one row a size
     # ranks below these belong to shard 0, 1, ...; a size of many groups is ranked in buckets of its own
     quotas = spark.createDataFrame([(size, [sum(got[: s + 1]) for s in range(shards)], -(-sum(got) // RANKED)) for size, got in taken.items()], "size long, ends array<long>, buckets int")
-    # dealt anew by size and bucket: a join on the size alone leaves all groups of one size in one task
-    dealt = groups.join(quotas, "size").withColumn("_bucket", F.pmod(F.xxhash64("key"), F.col("buckets")).cast("int")).repartition("size", "_bucket")
+    # few sizes are broadcast, many are met by salts; then all is dealt by size and bucket
+    dealt = attach(groups, quotas, "size", F.col("key")).withColumn("_bucket", F.pmod(F.xxhash64("key"), F.col("buckets")).cast("int")).repartition("size", "_bucket")
     before = dealt.groupBy("size", "_bucket").count().withColumn("_base", F.sum("count").over(Window.partitionBy("size").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)))
     place = F.row_number().over(Window.partitionBy("size", "_bucket").orderBy("key")) - 1
     ranked = dealt.withColumn("_place", place).join(before.drop("count"), ["size", "_bucket"]).withColumn("_rank", F.col("_place") + F.coalesce("_base", F.lit(0)))
