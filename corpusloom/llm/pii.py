@@ -208,17 +208,22 @@ def disclosing_terms(found: DataFrame, text: str = "text", disclosed: float = DI
     both = staged(pairs.groupBy("class", "term").agg(F.sum("docs").alias("df_te"), F.count("*").alias("texts")), "pii-both")
     level = shared_level(both.count())
     shared = both.groupBy("class").agg((F.sum(F.col("texts") * (F.col("texts") - 1)) / ((F.first("class.texts") - 1) * F.sum("texts"))).alias("alike"))
-    able = staged(both.where(F.col("texts") >= least).join(shared, "class"), "pii-able")
-    # the documents of every term that may disclose anything, read once for counts and for places
-    holders = staged(found.select("_key", F.explode(words_of(plain(text))).alias("term")).join(bounded(staged(able.select("term").distinct(), "pii-terms")), "term"), "pii-holders")
-    df_t = holders.groupBy("term").agg(F.count("*").alias("df_t"))
     all_docs, df_e = F.lit(float(n)), F.col("class.df_e")
-    ic, pmi = F.log2(all_docs / df_e), F.log2(all_docs * F.col("df_te") / (F.col("df_t") * df_e))
+    ic = F.log2(all_docs / df_e)
     apart = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.lit(SAME) - F.col("alike")) / (SAME - APART)))
-    judged = able.join(df_t, "term").withColumn("w", 1 + (F.col("texts") - 1) * apart)
-    judged = judged.withColumn("told", pmi * F.col("w") / (F.col("w") + 1)).withColumn("ratio", likelihood_ratio(all_docs, df_e, F.col("df_t"), F.col("df_te")) * F.col("w") / F.col("df_te"))
-    risky = judged.where((ic > 0) & (F.col("told") >= disclosed * ic - 1e-9) & (F.col("ratio") >= level))
-    risky = bounded(staged(risky.select("class", "term", (F.col("told") >= removed * ic - 1e-9).alias("removed")), "pii-risky"))
+
+    def judge(rows: DataFrame, df_t: Column) -> DataFrame:
+        """Rows with told and ratio for so many documents with the term; both fall as that number rises."""
+        told = F.log2(all_docs * F.col("df_te") / (df_t * df_e)) * F.col("w") / (F.col("w") + 1)
+        return rows.withColumn("told", told).withColumn("ratio", likelihood_ratio(all_docs, df_e, df_t, F.col("df_te")) * F.col("w") / F.col("df_te")).where((ic > 0) & (F.col("told") >= disclosed * ic - 1e-9) & (F.col("ratio") >= level))
+
+    # the documents with spans alone show that most terms are too frequent; only the others are counted in all documents
+    near = own.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("df_own"))
+    able = both.where(F.col("texts") >= least).join(shared, "class").join(near, "term").withColumn("w", 1 + (F.col("texts") - 1) * apart)
+    able = staged(judge(able, F.col("df_own")).select("class", "term", "df_te", "w"), "pii-able")
+    holders = staged(found.select("_key", F.explode(words_of(plain(text))).alias("term")).join(bounded(staged(able.select("term").distinct(), "pii-terms")), "term"), "pii-holders")
+    judged = judge(able.join(holders.groupBy("term").agg(F.count("*").alias("df_t")), "term"), F.col("df_t"))
+    risky = bounded(staged(judged.select("class", "term", (F.col("told") >= removed * ic - 1e-9).alias("removed")), "pii-risky"))
     here = pairs.join(risky, ["class", "term"]).select("_key", "term", "removed")
     there = holders.distinct().join(risky.select("term").distinct(), "term").select("_key", "term", F.lit(False).alias("removed"))
     # of a term that discloses several entities the strictest decision holds
