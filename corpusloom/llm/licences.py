@@ -101,8 +101,12 @@ TEMPLATES |= {f"{name}#{i}": t for name, forms in SHORT.items() for i, t in enum
 #: Whole texts of licences: they stand as paragraphs of their own and get no windows.
 WHOLE = {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8") for f in files("corpusloom.llm").joinpath("licence_texts").iterdir() if f.name.endswith(".txt")}
 TEMPLATES |= WHOLE
-# Words too common to tell a notice from other prose.
-COMMON = frozenset("a all and any are as at be by do file for form from has if in into is it may not of on one or other shall so software that the this to under use used was which with without work you".split())
+# Words too common to tell a notice from other prose, English ones and the German "mit".
+COMMON = frozenset(
+    "a about after all also an and any are as at be because been before being between both but by can could do does each every file for form from had has have he her here his how i if in into is it its just like "
+    "made make many may me mit more most much must my no not of on one only or other our out over own same shall she should since so software some such than that the their them then there these they this those to "
+    "under until up use used very was we were what when where which while who will with without work would yes you your".split()
+)
 
 OTHER = r"[^\p{L}\p{N}]+"
 PARAGRAPH = r"\n[\x20\t\r]*\n"
