@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators.fusion import Options, fuse, with_overrides
+from corpusloom.operators.fusion import Options, fuse, mmr, with_overrides
 from corpusloom.functions.text import tokens
 from corpusloom.operators.ranks import places
 from corpusloom.operators.verify import Thresholds, coverage, unknown_numbers
@@ -114,3 +114,23 @@ def fusion_sweep(vec: DataFrame, bm25: DataFrame, configs: list[tuple[str, Optio
     rows = one.withColumn("c", F.explode(table)).withColumn("score", F.coalesce(F.col("c.v") / (F.col("c.k") + F.col("vec_rank")), F.lit(0.0)) + F.when(F.col("bm25_rank") > 0, F.col("c.w") / (F.col("c.k") + F.col("bm25_rank"))).otherwise(0.0))
     place = F.row_number().over(Window.partitionBy("c.config_id", "query_id").orderBy(F.desc("score"), "chunk_id"))
     return rows.withColumn("place", place).where(F.col("place") <= top).select("c.config_id", "query_id", "chunk_id", "place")
+
+
+def admission_sweep(pool: DataFrame, refused: DataFrame, min_vecs: list[float], ratio: float = Options.relative_cut_ratio) -> DataFrame:
+    """SWP1: the pool's rows that each least cosine admits, with min_vec and rank: one pass over the at most 20 rows a query.
+
+    pool: query_id, pos, cosine, rrf and what is to be kept; refused: query_id of queries that the coarse gate refuses.
+    """
+    rows = pool.join(refused.select("query_id"), "query_id", "left_anti").withColumn("min_vec", F.explode(F.array(*[F.lit(float(v)) for v in min_vecs])))
+    own = Window.partitionBy("min_vec", "query_id")
+    kept = rows.where(F.coalesce("cosine", F.lit(0.0)) >= F.col("min_vec")).withColumn("_best", F.max("rrf").over(own)).where(F.col("rrf") >= F.col("_best") * ratio).drop("_best")
+    return kept.withColumn("rank", F.row_number().over(own.orderBy("pos")))
+
+
+def selection_sweep(hits: DataFrame, vectors: DataFrame, lams: list[float], limit: int = 10) -> DataFrame:
+    """SWP1: the picks of each weight of relevance against likeness, with lam and rank. hits: gate() rows."""
+    out = None
+    for lam in lams:
+        own = mmr(hits, limit, lam, vectors).withColumn("lam", F.lit(float(lam))).withColumnRenamed("pick", "rank").drop("vector")
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    return out

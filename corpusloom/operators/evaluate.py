@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.hashing import fnv1a32
 from corpusloom.functions.text import bigram_set, jaccard
 from corpusloom.operators.ranks import nearest_ranks
-from corpusloom.operators.shared import staged
+from corpusloom.operators.shared import BROADCAST_ROWS, staged
 from corpusloom.operators.verify import numbers
 
 NEAR = 0.8
@@ -95,6 +95,33 @@ def near_duplicate_chunks(chunks: DataFrame, near: float = NEAR, rows: int = 8,
     return exact.where(F.col("jaccard") >= near).unionByName(same)
 
 
+def ranked_metrics(windows: DataFrame, golden: DataFrame, by: list[str], gold: DataFrame | None = None) -> DataFrame:
+    """SWP1, CHK3, EVL11: recall3, recall5, mrr (of the first ten) and document top-1 of every setting at once.
+
+    windows: by, query_id, rank, doc_id, content; each text is compared with a query's strings once, and all figures are
+    sums over what was found. Queries without rows count as misses; those without relevant strings don't count. gold
+    (gold_documents): the share of queries whose first window is of a gold document.
+    """
+    asked = staged(golden.where(F.size("relevant") > 0).select("query_id", F.size(F.array_distinct("relevant")).alias("n"), F.array_distinct("relevant").alias("rs")), "asked")
+    total = asked.count()
+    met = windows.where(F.col("rank") <= 10).join(F.broadcast(asked) if total <= BROADCAST_ROWS else asked, "query_id")
+    met = met.select(*by, "query_id", "rank", "doc_id", "n", F.posexplode(F.transform("rs", lambda r: F.contains(F.col("content"), r))).alias("r", "held"))
+    first = met.groupBy(*by, "query_id", "n", "r").agg(F.min(F.when(F.col("held"), F.col("rank"))).alias("first"), F.min_by("doc_id", "rank").alias("top_doc"))
+    per = first.groupBy(*by, "query_id", "n").agg(F.count_if(F.col("first") <= 3).alias("h3"), F.count_if(F.col("first") <= 5).alias("h5"), F.min("first").alias("best"), F.first("top_doc").alias("doc_id"))
+    share = lambda c: F.sum(c) / F.lit(float(max(total, 1)))
+    figures = [F.count("*").alias("queries"), share(F.col("h3") / F.col("n")).alias("recall3"), share(F.col("h5") / F.col("n")).alias("recall5"), share(F.coalesce(1 / F.col("best"), F.lit(0.0))).alias("mrr")]
+    if gold is not None:
+        per = per.join(gold.select("query_id", "doc_id").distinct().withColumn("_gold", F.lit(1.0)), ["query_id", "doc_id"], "left")
+        figures.append(share(F.coalesce("_gold", F.lit(0.0))).alias("doc_top1"))
+    return per.groupBy(*by).agg(*figures)
+
+
+def rerank_metrics(ranked: DataFrame, passages: DataFrame, golden: DataFrame) -> DataFrame:
+    """EVL11: recall, MRR by stage, `before` and `after` reranking. ranked: rerank() rows with doc_id; passages: query_id, pos, content."""
+    both = ranked.join(passages.select("query_id", "pos", "content"), ["query_id", "pos"]).withColumn("stage", F.explode(F.array(F.lit("before"), F.lit("after"))))
+    return ranked_metrics(both.withColumn("rank", F.when(F.col("stage") == "before", F.col("pos")).otherwise(F.col("rerank_pos"))), golden, ["stage"])
+
+
 def grouped_report(per_query: DataFrame) -> DataFrame:
     """EVL7: recall and no-hit counts by group, of all (grp `all`) and of the protected groups q and m. per_query: grp, recall3, recall5, no_hit."""
     values = [F.count("*").alias("queries"), F.avg("recall3").alias("recall3"), F.avg("recall5").alias("recall5"), F.count_if("no_hit").alias("no_hit")]
@@ -163,6 +190,11 @@ def answer_metrics(answers: DataFrame, golden: DataFrame) -> DataFrame:
     return rows.agg((F.sum(F.when(positive, F.col("hit"))) / F.sum(F.when(positive, F.size("key_points")))).alias("key_point_rate"), F.avg(F.when(positive, F.col("cited").cast("int"))).alias("citation_rate"), F.avg(F.when(F.col("negative"), F.col("refused").cast("int"))).alias("refusal_rate"))
 
 
+def citation_shares(verdicts: DataFrame) -> DataFrame:
+    """EVL14: share of claims without a citation, and of answers that cite a passage out of range. verdicts: verify.verdicts() rows."""
+    return verdicts.agg(F.sum("claims").alias("claims"), (F.sum("uncited_claims") / F.sum("claims")).alias("uncited_share"), F.avg((F.col("out_of_range_claims") > 0).cast("int")).alias("out_of_range_share"))
+
+
 def refusal_confusion(rows: DataFrame) -> DataFrame:
     """EVL15: tp, fp, fn, tn of refusals and the model's own. rows: expect_refuse, refused, model_refused."""
     e, r = F.col("expect_refuse"), F.col("refused")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import warnings
+
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import BLANKS, MARK, cited_sentences, tokens
+from corpusloom.operators.shared import staged
 
 # Units of number facts, refusal phrases.
 UNITS = "%|％|元|块|天|小时|分钟|个|折|倍|年|月|周|页|万|亿"
@@ -149,10 +152,18 @@ def retry_wider(first: DataFrame, queries: DataFrame, flagged: DataFrame, retrie
 
 
 def with_scorer(sentences: DataFrame, scope: DataFrame, scorer) -> DataFrame | None:
-    """UDF1: answer_id, sentence_no, semantic by a callback (sentences, scope) -> DataFrame; without one, or where a row gets none, verification is lexical."""
+    """UDF1: answer_id, sentence_no, semantic by a callback (sentences, scope) -> DataFrame; without one, or where a row gets none, verification is lexical.
+
+    The scores are computed here: a scorer that fails, on the driver or in a task, is reported and leaves verification lexical (None).
+    """
     if scorer is None:
         return None
-    return sentences.select("answer_id", "sentence_no").join(scorer(sentences, scope).select("answer_id", "sentence_no", "semantic"), ["answer_id", "sentence_no"], "left")
+    try:
+        scores = staged(scorer(sentences, scope).select("answer_id", "sentence_no", "semantic"), "semantic-scores")
+    except Exception as e:
+        warnings.warn(f"the semantic scorer failed, verification is lexical: {str(e).splitlines()[0] if str(e) else type(e).__name__}", stacklevel=2)
+        return None
+    return sentences.select("answer_id", "sentence_no").join(scores, ["answer_id", "sentence_no"], "left")
 
 
 def refusal_outcome(answers: DataFrame, judged: DataFrame, gate_report: DataFrame) -> DataFrame:

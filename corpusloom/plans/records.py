@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.operators import acl, bm25, bm25_index, calibrate, chunking, dense, evaluate, evidence, fusion, index, safety, verify
+from corpusloom.operators.shared import staged
 from corpusloom.plans import demo, quality, search
 from corpusloom.plans.quality import SQL_NUMBER, rounded
 from corpusloom.plans.search import DIGITS, SQL_CORPUS, SQL_VECTORS, sql_bm25, sql_fnv, sql_tokens
@@ -136,6 +137,74 @@ def rerank_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluate.rerank_report(ranked), "top_change_rate", "median_top_score")
 
 
+SQL_MET = "met AS (SELECT s.*, contains(d.text, b.text) AS held FROM staged s JOIN documents d ON d.doc_id = chunk_id JOIN benchmark b ON b.item_id = s.query_id WHERE rank <= 10)"
+SQL_METRICS = "count(*) AS queries, round(count(*) FILTER (f <= 3) / n, 6) AS recall3, round(count(*) FILTER (f <= 5) / n, 6) AS recall5, round(sum(coalesce(1.0::DOUBLE / f, 0)) / n, 6) AS mrr"
+
+
+@query(f"""WITH {SQL_CORPUS}, {sql_bm25('corpus')}, {SQL_VECTORS}, {search.SQL_SIGNALS}, {search.SQL_FUSED}, {search.SQL_POOL}, mv(min_vec) AS (VALUES (0.1::DOUBLE), (0.3), (0.5), (0.6), (0.7)),
+able AS (SELECT min_vec, p.*, max(rrf) OVER (PARTITION BY min_vec, query_id) AS top FROM pool p, mv WHERE coalesce(cosine, 0) >= min_vec AND query_id NOT IN (SELECT query_id FROM refused)),
+staged AS (SELECT *, row_number() OVER (PARTITION BY min_vec, query_id ORDER BY pos) AS rank FROM able WHERE rrf >= top * 0.4), {SQL_MET},
+per AS (SELECT min_vec, query_id, min(rank) FILTER (held) AS f FROM met GROUP BY ALL)
+SELECT min_vec, {SQL_METRICS}, round(count(*) FILTER (f = 1) / n, 6) AS doc_top1 FROM per, (SELECT count(*) AS n FROM benchmark) GROUP BY min_vec, n""")
+def admission_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SWP1: recall, MRR and document top-1 at five least cosines, in one pass over the pool."""
+    pool = staged(search.top(search.fused(spark, sf_dir).where("rrf > 0"), "rrf", 20, "pos"), "sweep-pool")
+    s = search.signals(spark, sf_dir)
+    refused = s.where((F.col("max_cosine") < fusion.Options.min_max_cosine) | (F.col("cos_gap") < fusion.Options.min_cos_gap))
+    rows = calibrate.admission_sweep(pool, refused, [0.1, 0.3, 0.5, 0.6, 0.7]).join(demo.corpus(spark, sf_dir).select("chunk_id", "doc_id", "content"), "chunk_id")
+    golden = demo.golden(spark, sf_dir)
+    return rounded(evaluate.ranked_metrics(rows, golden, ["min_vec"], evaluate.gold_documents(demo.corpus(spark, sf_dir), golden)), "recall3", "recall5", "mrr", "doc_top1")
+
+
+@query()
+def selection_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SWP1: the same figures at three weights of relevance."""
+    pool = search.top(search.cosines(spark, sf_dir), "cosine", 20, "place").withColumn("relevance", F.col("cosine")).withColumn("best_chunk", F.col("chunk_id"))
+    rows = calibrate.selection_sweep(staged(pool, "sweep-hits"), demo.chunk_vectors(spark, sf_dir), [0.7, 0.9, 1.0]).join(demo.corpus(spark, sf_dir).select("chunk_id", "doc_id", "content"), "chunk_id")
+    golden = demo.golden(spark, sf_dir)
+    return rounded(evaluate.ranked_metrics(rows, golden, ["lam"], evaluate.gold_documents(demo.corpus(spark, sf_dir), golden)), "recall3", "recall5", "mrr", "doc_top1")
+
+
+@query()
+def chunk_size_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CHK3: the same figures of keyword retrieval at seven chunk sizes: one parse, and statistics by size as views."""
+    docs = chunking.text_blocks(demo.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = staged(chunking.chunk_sizes(docs, [128, 160, 192, 256, 320, 384, 448]).withColumn("chunk_id", F.col("doc_id") * 100_000 + F.col("ord")), "chunk-sizes")
+    scored = bm25.scores(rows.select("max_tokens", "chunk_id", "content"), demo.queries(spark, sf_dir), ("max_tokens",), DIGITS)
+    best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("max_tokens", "query_id").orderBy(F.desc("bm25"), "chunk_id"))).where("rank <= 10")
+    golden = demo.golden(spark, sf_dir)
+    found = best.join(rows.select("max_tokens", "chunk_id", "doc_id", "content"), ["max_tokens", "chunk_id"])
+    return rounded(evaluate.ranked_metrics(found, golden, ["max_tokens"], evaluate.gold_documents(demo.corpus(spark, sf_dir), golden)), "recall3", "recall5", "mrr", "doc_top1")
+
+
+@query(search.ORACLE_SQL["rerank"].rsplit("SELECT query_id, chunk_id", 1)[0].rstrip() + f""", staged AS (SELECT 'before' AS stage, query_id, chunk_id, pos AS rank FROM ranked UNION ALL SELECT 'after', query_id, chunk_id, rerank_pos FROM ranked), {SQL_MET},
+per AS (SELECT stage, query_id, min(rank) FILTER (held) AS f FROM met GROUP BY ALL) SELECT stage, {SQL_METRICS} FROM per, (SELECT count(*) AS n FROM benchmark) GROUP BY stage, n""")
+def rerank_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EVL11: recall and MRR before and after reranking by scores made from the ids."""
+    first = staged(search.top(search.scored(spark, sf_dir), "bm25", 10, "pos"), "rerank-first")
+    ranked = fusion.rerank(first.withColumn("chunk_ids", F.array("chunk_id")), first.select("query_id", "chunk_id", (F.col("chunk_id") % 17 - 8).cast("double").alias("logit"))).withColumn("doc_id", F.col("chunk_id"))
+    passages = first.join(demo.corpus(spark, sf_dir).select("chunk_id", "content"), "chunk_id")
+    return rounded(evaluate.rerank_metrics(ranked, passages, demo.golden(spark, sf_dir)), "recall3", "recall5", "mrr")
+
+
+@query(f"""WITH {SQL_CORPUS}, {sql_bm25('corpus')}, {SQL_VECTORS}, {search.SQL_FUSED},
+h AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, chunk_id) AS rank FROM fused WHERE rrf > 0), k AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, chunk_id) AS rank FROM scores),
+per AS (SELECT item_id, coalesce((SELECT bool_or(contains(d.text, b.text)) FROM h JOIN documents d ON d.doc_id = chunk_id WHERE query_id = item_id AND rank <= 3), false)::INTEGER::DOUBLE AS a, coalesce((SELECT bool_or(contains(d.text, b.text)) FROM k JOIN documents d ON d.doc_id = chunk_id WHERE query_id = item_id AND rank <= 3), false)::INTEGER::DOUBLE AS c FROM benchmark b)
+SELECT round(avg(a), 6) AS run, round(avg(c), 6) AS baseline, avg(a) >= avg(c) * 0.95 - 1e-12 AS holds FROM per""")
+def hybrid_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EVL9: coverage of the hybrid run against the keyword run of the same corpus."""
+    golden, c = demo.golden(spark, sf_dir), demo.corpus(spark, sf_dir).select("chunk_id", "content")
+    run = lambda rows, score: evaluate.coverage_at(search.top(rows, score, 3).join(c, "chunk_id"), golden, 3)
+    both = evaluate.against_baseline(run(search.fused(spark, sf_dir).where("rrf > 0"), "rrf"), run(search.scored(spark, sf_dir), "bm25"), "coverage")
+    return rounded(both, "run", "baseline")
+
+
+@query(f"WITH {quality.SQL_VERDICTS} SELECT sum(claims)::BIGINT AS claims, round(sum(claims) / sum(claims), 6) AS uncited_share, 0.0::DOUBLE AS out_of_range_share FROM verdicts")
+def citation_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EVL14: the given answers cite nothing."""
+    return rounded(evaluate.citation_shares(verify.verdicts(quality.checked(spark, sf_dir))), "uncited_share", "out_of_range_share")
+
+
 @query(search.ORACLE_SQL["extractive_answer"].replace("SELECT item_id AS query_id, coalesce", ", bare AS (SELECT item_id AS query_id, text, item_id % 4 = 3 AS negative, coalesce", 1).rstrip() + r""")
 SELECT round(sum(h) FILTER (NOT negative) / sum(p) FILTER (NOT negative), 6) AS key_point_rate, round(avg((answer <> '文档中没有找到相关内容。')::INTEGER) FILTER (NOT negative), 6) AS citation_rate, round(avg((answer = '文档中没有找到相关内容。')::INTEGER) FILTER (negative), 6) AS refusal_rate
 FROM (SELECT *, len(string_split(text, chr(10))) AS p, len(list_filter(string_split(text, chr(10)), lambda k: contains(regexp_replace(answer, '\s+', '', 'g'), regexp_replace(k, '\s+', '', 'g')))) AS h FROM bare)""")

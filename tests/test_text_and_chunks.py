@@ -90,3 +90,32 @@ def test_links_and_partitions(spark):
 
     assert run(1) == run(4) == run(17)
     assert all(r[5] == "" or r[5].startswith("v:" + r[0]) for r in run(1))
+
+
+# Inputs and, for each chunk, ord, hash, start, end (in UTF-16 units) and tokens.
+EXPECTED = {
+    "headings": ("# 车窗清洁\r\n\r\n清洁车窗时使用中性清洁剂。\r\n\r\n## 频率\r\n\r\n每周一次，雨季加密到每周两次。\r\n", [(0, "402a5840", 0, 28, 25)]),
+    "skipped level": ("### 第三章 设备维护\n\n本章说明维护流程。日常巡检每班一次，记录在值班表上。\n\n##### 3.1.2 润滑\n\n轴承润滑周期为 2000 小时。加注量以油标中线为准。\n", [(0, "3961ef20", 0, 53, 43)]),
+    "long sentence": (f"超长句硬切测试。\n\n{'设备运行期间需要持续监测振动与温度并记录相关数据' * 29}设备运行。\n\n结尾一句用于验证硬切后的收尾。\n", [(0, "2aa65a89", 0, 8, 7), (1, "7363941e", 8, 608, 600), (2, "a1b33d72", 608, 724, 114)]),
+    "two units a sign": ("# 非 BMP 字符\n\n验收通过后请佩戴徽章 🎉 并记录乐谱记号 𝄞 的位置。\n\n混合 English 与 2026 年 10 月 12 日日期。\n", [(0, "919d8068", 0, 61, 32)]),
+    "short tail": ("# 维护清单\n\n" + "".join(f"维护项目第{i}项要求按期执行并留存记录。" for i in range(1, 13)) + "\n\n（此处为一句较短的收尾说明，用于触发尾部残块并入。）\n", [(0, "eabec57c", 0, 257, 238)]),
+    "headings only": ("# a\n\n## b\n", []),
+    "empty": ("", []),
+}
+
+
+def test_expected_chunks(spark):
+    docs = spark.createDataFrame([(n, t) for n, (t, _) in EXPECTED.items()], "doc_id string, text string")
+    got = {}
+    for r in C.chunk_documents(C.markdown_blocks(docs)).orderBy("doc_id", "ord").collect():
+        got.setdefault(r.doc_id, []).append((r.ord, r.content_hash, r.char_start, r.char_end, r.token_count))
+    assert got == {n: chunks for n, (_, chunks) in EXPECTED.items() if chunks}
+
+
+def test_sizes_in_one_pass(spark):
+    docs = C.text_blocks(spark.createDataFrame([(i, " ".join(f"word{j}." for j in range(i * 60))) for i in range(5)], "doc_id long, text string"))
+    sizes = [8, 32, 256]
+    got = sorted((r.max_tokens, str(r.doc_id), r.ord, r.content, r.token_count) for r in C.chunk_sizes(docs, sizes).collect())
+    want = sorted((s, r.doc_id, r.ord, r.content, r.token_count) for s in sizes for r in C.chunk_documents(docs, C.ChunkOptions(max_tokens=s)).collect())
+    assert got == want
+    assert {(r.max_tokens, r.chunks) for r in C.sweep_sizes(docs, sizes).collect()} == {(s, sum(w[0] == s for w in want)) for s in sizes}
