@@ -95,6 +95,16 @@ def near_duplicate_chunks(chunks: DataFrame, near: float = NEAR, rows: int = 8,
     return exact.where(F.col("jaccard") >= near).unionByName(same)
 
 
+def query_figures(windows: DataFrame, golden: DataFrame) -> DataFrame:
+    """EVL7: query_id, recall3, recall5, no_hit (none of the first ten) of every query with relevant strings, from one comparison of texts."""
+    asked = golden.where(F.size("relevant") > 0).select("query_id", F.array_distinct("relevant").alias("rs"))
+    met = windows.where(F.col("rank") <= 10).join(asked, "query_id").select("query_id", "rank", F.posexplode(F.transform("rs", lambda r: F.contains(F.col("content"), r))).alias("r", "held"))
+    first = met.where("held").groupBy("query_id", "r").agg(F.min("rank").alias("first"))
+    hits = first.groupBy("query_id").agg(F.count_if(F.col("first") <= 3).alias("h3"), F.count_if(F.col("first") <= 5).alias("h5"))
+    share = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.size("rs")
+    return asked.join(hits, "query_id", "left").select("query_id", share("h3").alias("recall3"), share("h5").alias("recall5"), F.col("h3").isNull().alias("no_hit"))
+
+
 def ranked_metrics(windows: DataFrame, golden: DataFrame, by: list[str], gold: DataFrame | None = None) -> DataFrame:
     """SWP1, CHK3, EVL11: recall3, recall5, mrr (of the first ten) and document top-1 of every setting at once.
 

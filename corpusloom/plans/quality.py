@@ -141,9 +141,8 @@ SQL_HIT = "hit AS (SELECT query_id, min(rank) AS r FROM windows JOIN benchmark b
 
 
 def per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w, g = windows(spark, sf_dir), demo.golden(spark, sf_dir)
-    first = evaluate.first_relevant(w, g).select("query_id", F.col("first_rank").isNull().alias("no_hit"))
-    return g.select("query_id", "grp", "negative").join(evaluate.coverage_at(w, g, 3, "recall3"), "query_id").join(evaluate.coverage_at(w, g, 5, "recall5"), "query_id").join(first, "query_id")
+    g = demo.golden(spark, sf_dir)
+    return g.select("query_id", "grp", "negative").join(evaluate.query_figures(windows(spark, sf_dir), g), "query_id")
 
 
 @query(f"WITH {SQL_WINDOWS}, {SQL_HIT}, {SQL_PER_QUERY} SELECT grp, count(*) AS queries, round(avg(recall3), 6) AS recall3, round(avg(recall5), 6) AS recall5, count(*) FILTER (no_hit) AS no_hit FROM (SELECT * FROM per_query UNION ALL SELECT * REPLACE ('all' AS grp) FROM per_query UNION ALL SELECT * REPLACE ('protected' AS grp) FROM per_query WHERE grp IN ('q', 'm')) GROUP BY grp")

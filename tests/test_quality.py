@@ -66,7 +66,7 @@ def test_signals(spark):
 def test_near_duplicates_and_pairs(spark):
     text = "the quick brown fox jumps over the lazy dog again and again " * 3
     c = spark.createDataFrame([(1, text), (2, text), (3, text + "x"), (4, "something else entirely")], "chunk_id int, content string")
-    assert {(r.chunk_1, r.chunk_2) for r in evaluate.near_duplicate_chunks(c).collect()} == {(1, 3)}
+    assert {(r.chunk_1, r.chunk_2) for r in evaluate.near_duplicate_chunks(c).collect()} == {(1, 2), (1, 3)}
     w = spark.createDataFrame([(1, 1, "d", 0, 1, "abc abc"), (1, 2, "d", 2, 2, "zz"), (1, 3, "e", 0, 0, "abcabc")], "query_id int, rank int, doc_id string, ord_start int, ord_end int, content string")
     assert {(r.rank_1, r.rank_2, r.adjacent, r.near_duplicate) for r in evaluate.redundant_pairs(w).collect()} == {(1, 2, True, False), (1, 3, False, True), (2, 3, False, False)}
 
