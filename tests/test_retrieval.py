@@ -158,3 +158,21 @@ def test_prompt_snapshot_and_merge(spark):
     assert '"top_k":5' in evidence.snapshot(p, {"top_k": 5}, "v1").first().snapshot
     parts = spark.createDataFrame([(1, 2, 1), (1, 1, 2), (1, 1, 1)], "run_id int, search_no int, index int")
     assert [(r.search_no, r["index"]) for r in evidence.merge_evidence(parts).orderBy("merged_index").collect()] == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_scores_move_no_pairs_and_best_keeps_ties(spark, monkeypatch):
+    texts = ["red fox", "red fox", "blue fox fox", "red", None, "", "blue red fox 中文", "fox"] * 6
+    c = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, content string").repartition(3)
+    q = spark.createDataFrame([(1, "red fox"), (2, "blue 中文"), (3, "owl"), (4, "")], "query_id int, text string")
+    want = sorted(tuple(r) for r in bm25.joined_scores(c, q, digits=6).collect())
+    found = bm25.scores(c, q, digits=6)
+    assert sorted(tuple(r) for r in found.collect()) == want
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString().replace("REPARTITION_BY_NUM", "").replace("Exchange RoundRobinPartitioning(3)", "")
+    monkeypatch.setattr(bm25, "HELD", 10)
+    order = lambda rows, i: sorted((-s, k) for n, k, s in rows if n == i)
+    few, kinds = ([tuple(r) for r in bm25.best(c, q, 2, 6, kinds=x).collect()] for x in (False, True))
+    for i in (1, 2, 3, 4):
+        assert order(few, i)[:2] == order(want, i)[:2]
+        scores = sorted({s for n, _, s in want if n == i}, reverse=True)[:2]
+        assert [r for r in order(want, i) if -r[0] in scores] == [r for r in order(kinds, i) if -r[0] in scores]
+    assert len(few) < len(kinds) < len(want)
