@@ -176,3 +176,15 @@ def test_scores_move_no_pairs_and_best_keeps_ties(spark, monkeypatch):
         scores = sorted({s for n, _, s in want if n == i}, reverse=True)[:2]
         assert [r for r in order(want, i) if -r[0] in scores] == [r for r in order(kinds, i) if -r[0] in scores]
     assert len(few) < len(kinds) < len(want)
+
+
+@pytest.mark.parametrize("name", ["evidence_context", "extractive_answer", "answer_scores", "redundancy_pairs", "window_dedupe", "recall_at_k", "wider_retrieval", "rerank_metrics"])
+def test_first_hits_join_no_pairs(name, spark, sf_dir, monkeypatch):
+    from corpusloom.plans import registry
+
+    def refuse(*_, **__):
+        raise AssertionError("pairs are joined")
+
+    monkeypatch.setattr(bm25, "joined_scores", refuse)
+    monkeypatch.setattr(bm25, "scores", refuse)  # all pairs
+    assert registry.QUERIES[name](spark, sf_dir).limit(1).count() == 1
