@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import common_end, joined
-from corpusloom.operators import fusion
+from corpusloom.operators import bm25, fusion
 
 CORPUS = "chunk_id long, doc_id string, ord int, content string"
 FUSED = "query_id int, chunk_id long, cosine double, vec_rank int, bm25 double, bm25_rank int, rrf double"
@@ -141,3 +141,19 @@ def test_all_windows_have_texts(spark):
     assert got == [(q, *w) for q in (1, 2) for w in ((0, 2, "one two three"), (3, 3, "z" * 1300), (4, 4, "end"))]
     assert fusion.windows(fused.limit(0), c).count() == 0
     assert fusion.expand(fusion.windows(fused, c).where(F.lit(False)), c).count() == 0
+
+
+def test_leading_documents_fill_the_pool(spark):
+    """The pool from a query's best scores is that of all its hits, with copies, neighbours and fewer windows than scores."""
+    r = random.Random(4)
+    words = ["red", "fox", "owl", "sea", "sky"]
+    docs = [[" ".join(r.choices(words, k=r.randint(1, 6))) for _ in range(r.randint(1, 7))] for _ in range(30)]
+    rows = [(d * 100 + o, d, o, t) for d, ls in enumerate([*docs, *docs[:10]]) for o, t in enumerate(ls)]
+    c = spark.createDataFrame(rows, "chunk_id long, doc_id long, ord int, content string").repartition(3)
+    q = spark.createDataFrame([(1, "red fox"), (2, "owl"), (3, "none"), (4, "sea sky red")], "query_id int, text string")
+    for size in (1, 3, 50):
+        options = fusion.with_overrides(fusion.Options(), mmr_pool_size=size, max_window_chars=40)
+        every = fusion.fuse(None, bm25.scores(c, q, digits=6), options).withColumn("rrf", F.round("rrf", 9))
+        columns = ["query_id", "pos", "doc_id", "ord_start", "ord_end", "best_chunk", "bm25", "bm25_rank", "rrf", "matched"]
+        got, want = (sorted(tuple(x) for x in rows.select(*columns).collect()) for rows in (fusion.keyword_candidates(c, q, options), fusion.candidates(every, c, options)[0]))
+        assert got == want and got
