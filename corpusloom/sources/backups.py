@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.operators.shared import staged
+from corpusloom.operators.shared import bounded, staged
 
 VERSIONS = ("1.0", "2.0")
 _CHUNK = "struct<chunkId:string,docId:string,docName:string,content:string,ord:int,headingPath:array<string>,pageStart:int,pageEnd:int,tokenCount:int,parentId:string,prevId:string,nextId:string,contentHash:string,vector:string>"
@@ -46,7 +46,9 @@ def read_backup(spark: SparkSession, path: str, lines: bool = False) -> tuple[Da
         raise ValueError(f"backup version {wrong[0].version} is not supported")
     conversations = raw.select(F.explode("conversations").alias("c")).select(F.col("c.id").alias("conv_id"), F.coalesce("c.title", F.lit("")).alias("title"), F.coalesce("c.docName", F.lit("")).alias("doc_name"), F.coalesce("c.messages", F.array().cast(f"array<{_MESSAGE}>")).alias("messages"), F.col("c.historySummary").alias("summary"), F.col("c.summaryUpToId").alias("summary_upto"))
     c = lambda name, default: F.coalesce(F.col(f"k.{name}"), default)
-    chunks = raw.select("version", F.explode("vectorIndexes").alias("i")).select("version", F.col("i.convId").alias("conv_id"), F.posexplode("i.chunks").alias("n", "k"))
+    # the list has a column of its own: a part of i beside it would have each chunk's row carry the whole list
+    listed = raw.select("version", F.explode("vectorIndexes").alias("i")).select("version", F.col("i.convId").alias("conv_id"), F.col("i.chunks").alias("_list"))
+    chunks = listed.select("version", "conv_id", F.posexplode("_list").alias("n", "k"))
     flat = chunks.select("version", "conv_id", F.col("k.chunkId").alias("chunk_id"), c("docId", F.col("conv_id")).alias("doc_id"), c("docName", F.lit("")).alias("doc_name"), F.col("k.content").alias("content"), c("ord", F.col("n")).alias("ord"), c("headingPath", F.array().cast("array<string>")).alias("heading_path"), c("pageStart", F.lit(1)).alias("page_start"), c("pageEnd", c("pageStart", F.lit(1))).alias("page_end"), F.col("k.tokenCount").alias("token_count"), F.col("k.parentId").alias("parent_id"), F.col("k.contentHash").alias("content_hash"), F.col("k.prevId").alias("prev_id"), F.col("k.nextId").alias("next_id"), decode_vector("k.vector").alias("vector"))
     order = Window.partitionBy("conv_id", "doc_id").orderBy("ord")
     link = lambda own, made: F.when(F.col("version") == "1.0", F.coalesce(made, F.lit(""))).otherwise(F.coalesce(own, F.lit("")))
@@ -61,22 +63,47 @@ FIELDS = {
 }
 
 
-def backup_rows(conversations: DataFrame, chunks: DataFrame) -> DataFrame:
-    """SNK1: one row a conversation, with its whole chunks in order; conversations without chunks have an empty list, missing chunk columns are null."""
+#: About as many chunks are in one object of a backup; a conversation with more of them goes into several.
+PART_CHUNKS = 1024
+
+
+def _nested(chunks: DataFrame, by: tuple[str, ...] = ("conv_id",)) -> DataFrame:
+    """The chunks of each key as a list in order."""
     kind = {f.name: f.dataType for f in T._parse_datatype_string(_CHUNK).fields}
     value = lambda c: encode_vector(c) if c == "vector" else F.col(c)
-    coded = chunks.select("conv_id", "ord", F.struct(*[(value(c) if c in chunks.columns else F.lit(None)).cast(kind[n]).alias(n) for c, n in FIELDS.items()]).alias("c"))
-    nested = coded.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", F.col("c.chunkId").alias("i"), "c"))), lambda x: x["c"]).alias("chunks"))
-    return conversations.join(nested, "conv_id", "left").withColumn("chunks", F.coalesce("chunks", F.array().cast(f"array<{_CHUNK}>")))
+    coded = chunks.select(*by, "ord", F.struct(*[(value(c) if c in chunks.columns else F.lit(None)).cast(kind[n]).alias(n) for c, n in FIELDS.items()]).alias("c"))
+    return coded.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", F.col("c.chunkId").alias("i"), "c"))), lambda x: x["c"]).alias("chunks"))
+
+
+def _filled(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("chunks", F.coalesce("chunks", F.array().cast(f"array<{_CHUNK}>")))
+
+
+def backup_rows(conversations: DataFrame, chunks: DataFrame) -> DataFrame:
+    """SNK1: one row a conversation, with its whole chunks in order; conversations without chunks have an empty list, missing chunk columns are null."""
+    return _filled(conversations.join(_nested(chunks), "conv_id", "left"))
+
+
+def backup_parts(conversations: DataFrame, chunks: DataFrame) -> DataFrame:
+    """SNK1: backup_rows() with about PART_CHUNKS chunks a row. Rows of part 0 hold the conversation, others its further chunks alone.
+
+    Chunks are dealt by hash, so no task holds a conversation whole; those without a place stay in part 0, where reading counts them.
+    """
+    sizes = chunks.groupBy("conv_id").agg(F.count("*").alias("_n")).join(conversations.select("conv_id").distinct(), "conv_id")
+    sizes = bounded(staged(sizes, "backup-sizes"))
+    part = F.when(F.col("ord").isNull(), 0).otherwise(F.pmod(F.xxhash64("ord", "chunk_id"), F.ceil(F.col("_n") / PART_CHUNKS)))
+    dealt = chunks.join(sizes, "conv_id").withColumn("part", part.cast("int")).drop("_n")
+    return _filled(conversations.withColumn("part", F.lit(0)).join(_nested(dealt, ("conv_id", "part")), ["conv_id", "part"], "full"))
 
 
 def write_backup(conversations: DataFrame, chunks: DataFrame, path: str) -> None:
-    """SNK1: one JSON object a conversation, each of them a whole backup that read_backup takes. conversations: conv_id and any of title, doc_name, messages, summary, summary_upto."""
+    """SNK1: one JSON object a conversation, or several where it has many chunks, each of them a whole backup that read_backup takes. conversations: conv_id and any of title, doc_name, messages, summary, summary_upto."""
     has = lambda c, kind: (F.col(c) if c in conversations.columns else F.lit(None)).cast(kind)
     messages = F.coalesce(has("messages", f"array<{_MESSAGE}>"), F.array().cast(f"array<{_MESSAGE}>"))
     one = F.struct(F.col("conv_id").cast("string").alias("id"), has("title", "string").alias("title"), has("doc_name", "string").alias("docName"), messages.alias("messages"), has("summary", "string").alias("historySummary"), has("summary_upto", "string").alias("summaryUpToId"))
     own = F.struct(F.col("conv_id").cast("string").alias("convId"), "chunks")
-    backup_rows(conversations, chunks).select(F.lit(VERSIONS[-1]).alias("version"), F.array(one).alias("conversations"), F.array(own).alias("vectorIndexes")).write.mode("overwrite").json(path)
+    first = F.when(F.col("part") == 0, F.array(one)).otherwise(F.filter(F.array(one), lambda _: F.lit(False)))
+    backup_parts(conversations, chunks).select(F.lit(VERSIONS[-1]).alias("version"), first.alias("conversations"), F.array(own).alias("vectorIndexes")).write.mode("overwrite").json(path)
 
 
 def write_index(chunks: DataFrame, path: str) -> None:

@@ -95,3 +95,16 @@ def test_audit_stream(spark, tmp_path):
     for _ in range(2):
         jobs.append_audit(spark.readStream.schema("e string").parquet(str(tmp_path / "e")), str(tmp_path / "log"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.json(str(tmp_path / "log")).count() == 1
+
+
+def test_large_conversations_are_written_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(backups, "PART_CHUNKS", 10)
+    conv = spark.createDataFrame([("a", "t"), ("b", "u"), ("c", "v")], "conv_id string, title string")
+    rows = [("a", f"a{i}", None if i >= 95 else i, [float(i)]) for i in range(100)] + [("b", "b0", 0, [1.0]), ("lost", "x", 0, [2.0])]
+    chunks = spark.createDataFrame(rows, "conv_id string, chunk_id string, ord int, vector array<float>")
+    backups.write_backup(conv, chunks, str(tmp_path / "out"))
+    assert spark.read.text(str(tmp_path / "out")).agg({"value": "count"}).first()[0] > 5
+    again, held = backups.read_backup(spark, str(tmp_path / "out"), lines=True)
+    assert sorted((r.conv_id, r.title) for r in again.collect()) == [("a", "t"), ("b", "u"), ("c", "v")]
+    want = sorted((c, k, i if o is None else o, v) for c, k, o, v, i in ((*r, n - 95) for n, r in enumerate(rows)) if c != "lost")
+    assert sorted((r.conv_id, r.chunk_id, r.ord, r.vector) for r in held.collect()) == want
