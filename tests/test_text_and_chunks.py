@@ -119,3 +119,23 @@ def test_sizes_in_one_pass(spark):
     want = sorted((s, r.doc_id, r.ord, r.content, r.token_count) for s in sizes for r in C.chunk_documents(docs, C.ChunkOptions(max_tokens=s)).collect())
     assert got == want
     assert {(r.max_tokens, r.chunks) for r in C.sweep_sizes(docs, sizes).collect()} == {(s, sum(w[0] == s for w in want)) for s in sizes}
+
+
+def test_rows_of_long_documents_are_handed_on_before_the_batch_ends():
+    seen = []
+
+    def packed():
+        for i in range(6):
+            seen.append(i)
+            yield [i] * 3
+
+    parts = C._held(packed(), most=5)
+    assert next(parts) == [0, 0, 0, 1, 1, 1] and seen == [0, 1]
+    assert [x for p in parts for x in p] == [i for i in range(2, 6) for _ in range(3)]
+
+
+def test_sizes_are_swept_without_texts(spark):
+    docs = C.text_blocks(spark.createDataFrame([(1, "Ein Satz. " * 300), (2, "")], "doc_id long, text string"))
+    bare, full = (C.chunk_sizes(docs, [128, 256], texts=t).collect() for t in (False, True))
+    key = lambda r: (r.max_tokens, r.doc_id, r.ord, r.token_count)
+    assert sorted(map(key, bare)) == sorted(map(key, full)) and {r.content for r in bare} == {None}
