@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import common_end, joined
-from corpusloom.operators import bm25, fusion
+from corpusloom.operators import bm25, fusion, legs
 
 CORPUS = "chunk_id long, doc_id string, ord int, content string"
 FUSED = "query_id int, chunk_id long, cosine double, vec_rank int, bm25 double, bm25_rank int, rrf double"
@@ -157,3 +157,27 @@ def test_leading_documents_fill_the_pool(spark):
         columns = ["query_id", "pos", "doc_id", "ord_start", "ord_end", "best_chunk", "bm25", "bm25_rank", "rrf", "matched"]
         got, want = (sorted(tuple(x) for x in rows.select(*columns).collect()) for rows in (fusion.keyword_candidates(c, q, options), fusion.candidates(every, c, options)[0]))
         assert got == want and got
+
+
+def test_keyword_windows_where_documents_lie(spark, monkeypatch):
+    """Rows of windows() of fuse(), copies, overlaps and long runs included, in several blocks of queries; no hit is shuffled."""
+    monkeypatch.setattr(legs, "RANK_ROWS", 40)
+    monkeypatch.setattr(legs, "SHOWN", 3)
+    monkeypatch.setattr(bm25, "PAIRS", 12)
+    rng = random.Random(5)
+    docs = []
+    for d in range(40):
+        lines = [" ".join(rng.choices(["a", "b", "c", "d", "🎉e", "zz"], k=rng.randint(1, 9))) for _ in range(rng.randint(1, 30))]
+        docs.append((d, [(i, t + t[::-1]) for i, t in enumerate(lines) if rng.random() < 0.9]))
+    docs += [(100 + d, t) for d, t in docs[:3]] + [(200, [])]
+    rows = [(d * 1000 + i, d, i, t) for d, ts in docs for i, t in ts]
+    c = spark.createDataFrame(rows, "chunk_id long, doc_id long, ord int, content string").repartition(3)
+    q = spark.createDataFrame([(1, "a b"), (2, "c"), (3, "zz e a"), (4, "none"), (5, ""), (6, "d b c")], "query_id int, text string")
+    names = ["query_id", "doc_id", "ord_start", "ord_end", "rrf", "bm25", "bm25_rank", "matched"]
+    options = fusion.Options(max_window_chars=60)
+    fused = fusion.fuse(None, bm25.scores(c, q, digits=6)).withColumn("rrf", F.round("rrf", 9))
+    want = sorted(map(tuple, fusion.windows(fused, c, options).select(*names).collect()))
+    got = legs.keyword_windows(legs.legs(c, q, 6), spark.createDataFrame(docs, "doc_id long, chunks array<struct<ord: int, content: string>>").repartition(3), 60, options.rrf_k)
+    assert got.columns == names and sorted(map(tuple, got.collect())) == want
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert len(want) > 300 and max(r[3] - r[2] for r in want) == 2
