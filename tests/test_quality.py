@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,3 +201,23 @@ def test_near_duplicates_of_small_sets(spark):
     texts = [base, base + "A", base[::-1], " ".join(base), "", "x", base[:20]]
     got = {(r.chunk_1, r.chunk_2): r.jaccard for r in evaluate.near_duplicate_chunks(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "chunk_id int, content string")).collect()}
     assert got == {(0, 1): 35 / 36, (0, 3): 1.0}
+
+
+@pytest.mark.parametrize(("parts", "rows"), [(1, 512), (3, 5)])
+def test_near_duplicates_among_very_many_alike(spark, monkeypatch, parts, rows):
+    """All pairs of alike texts, found part by part; no pair is joined to its sets."""
+    for name, value in (("PARTS", parts), ("ROWS", rows), ("CELLS", 40), ("PIVOTS", 3)):
+        monkeypatch.setattr(evaluate, name, value)
+    rng = random.Random(3)
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 90))) for alphabet in ("abc", "éxyz ", "abcdefgh", "mn") for _ in range(30)]
+    sets = [frozenset(zip(t := x.replace(" ", ""), t[1:])) for x in texts]
+    classes = {}
+    for i, b in enumerate(sets):
+        classes.setdefault(b, []).append(i)
+    reps = [m[0] for b, m in classes.items() if b]
+    want = {(m[0], i): 1.0 for b, m in classes.items() if b for i in m[1:]}
+    want |= {(x, y): s for n, x in enumerate(reps) for y in reps[n + 1 :] if (s := len(sets[x] & sets[y]) / len(sets[x] | sets[y])) >= 0.8}
+    got = evaluate.near_duplicate_chunks(spark.createDataFrame(list(enumerate(texts)), "chunk_id int, content string").repartition(3))
+    assert {(r.chunk_1, r.chunk_2): r.jaccard for r in got.collect()} == want and len(want) > 100
+    assert "array_intersect" not in got._jdf.queryExecution().executedPlan().toString()
+    assert evaluate.near_duplicate_chunks(spark.createDataFrame([], "chunk_id string, content string")).count() == 0
