@@ -53,6 +53,28 @@ def test_standing_index_gives_the_exact_best(spark, tmp_path, monkeypatch, k):
     assert sorted(map(tuple, bm25_index.frequencies(spark, str(tmp_path)).collect())) == sorted(map(tuple, bm25.document_frequencies(bm25.postings(whole)).collect()))
 
 
+@pytest.mark.parametrize("terms", [200_000, 1])
+def test_index_blocks_are_packed_and_scored_whole(spark, tmp_path, monkeypatch, terms):
+    """A block and term is one row, a chunk is in one block; pairs are summed in the block's task, or by joins for very many terms. Rows are exact."""
+    monkeypatch.setattr(bm25_index, "BLOCK", 16)
+    monkeypatch.setattr(bm25_index, "FIRST", 2)
+    monkeypatch.setattr(bm25, "BATCH_TERMS", terms)
+    monkeypatch.setattr(bm25, "PAIRS", 20)
+    c, q = corpus(spark, 150), spark.createDataFrame([(1, "w0 w1 w9"), (2, "w3 w50"), (3, "nothing")], "query_id int, text string")
+    for i in (0, 1):
+        bm25_index.add_batch(c.where(F.col("chunk_id") % 2 == i), str(tmp_path), i)
+    held = spark.read.parquet(f"{tmp_path}/postings")
+    assert held.count() == held.select("block", "term").distinct().count() > 100
+    own = held.select("block", F.explode("chunks").alias("c")).distinct()
+    assert own.count() == own.select("c").distinct().count() and own.groupBy("block").count().agg(F.max("count")).first()[0] <= 16
+    top = bm25_index.top_k(spark, str(tmp_path), q, 4, 6)
+    got = {}
+    for r in sorted(top.collect(), key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append((r.chunk_id, r.bm25))
+    assert got == plain_top(spark, c, q, 4)
+    assert ("FlatMapCoGroups" in top._jdf.queryExecution().executedPlan().toString()) == (terms > 1)
+
+
 def test_a_batch_without_totals_does_not_count(spark, tmp_path, monkeypatch):
     c = corpus(spark, 50)
     bm25_index.add_batch(c, str(tmp_path), 0)
