@@ -303,13 +303,15 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, least: int = LEAST, clust
     made = staged(sketch_documents(docs, k), "sketches")
     full = made.where(F.col("set_key").isNotNull())
     classes = staged(full.groupBy("set_key").agg(F.min("node").alias("rep"), F.count("*").alias("n")), "classes")
-    reps = full.join(classes.select("set_key", F.col("rep").alias("node")), ["set_key", "node"], "left_semi")
-    rows = reps.dropDuplicates(["set_key"]).select("node", "n_shingles", F.posexplode("bands").alias("band", "value"))
-    buckets = rows.groupBy("band", "value").agg(F.min("node").alias("hub"), F.count("*").alias("mates")).where("mates > 1")
-    mates = staged(rows.join(buckets.select("band", "value", "hub"), ["band", "value"]), "mates")
+    # bands are written once and read twice, and meet in buckets by their values alone
+    reps = staged(full.join(classes.select("set_key", F.col("rep").alias("node")), ["set_key", "node"], "left_semi").dropDuplicates(["set_key"]).select("node", "n_shingles", "bands"), "reps")
+    rows = reps.select("node", F.explode("bands").alias("value"))  # a value holds its band's number
+    buckets = rows.groupBy("value").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last")
+    mates = staged(rows.join(buckets.select("value", "hub"), "value"), "mates")
     clusters = components(mates.select(F.col("hub").alias("a"), F.col("node").alias("b")))
     # nodes of clusters, with the bytes of their sets
-    members = staged(mates.groupBy("node").agg(F.max("n_shingles").alias("n")).join(clusters, "node", "left").select("node", "n", F.coalesce("component", "node").alias("cluster")), "members")
+    named = mates.select("node").distinct().join(clusters, "node", "left").select("node", F.coalesce("component", "node").alias("cluster"))
+    members = staged(named.join(reps.groupBy("node").agg(F.max("n_shingles").alias("n")), "node").select("node", "n", "cluster"), "members")
     sizes = members.groupBy("cluster").agg(F.sum(F.col("n") * 8).alias("bytes"), F.count("*").alias("n")).where("n > 1")
     heavy = staged(sizes.where(F.col("bytes") > cluster_bytes).select("cluster"), "heavy")
     total = members.agg(F.coalesce(F.sum(F.col("n") * 8), F.lit(0))).first()[0]
@@ -338,7 +340,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, least: int = LEAST, clust
     found = sets.join(light, "node").groupBy("block").applyInArrow(work, "node long, component long")
     if heavy.limit(1).count():
         heavy_nodes = staged(own.join(heavy, "cluster").select("node"), "heavy-nodes")
-        found = found.unionByName(by_rounds(mates.join(heavy_nodes, "node", "left_semi").select("band", "value", "node"), staged(sets.join(heavy_nodes, "node", "left_semi").select("node", "set"), "heavy-sets"), least))
+        found = found.unionByName(by_rounds(mates.join(heavy_nodes, "node", "left_semi").select(F.lit(0).alias("band"), "value", "node"), staged(sets.join(heavy_nodes, "node", "left_semi").select("node", "set"), "heavy-sets"), least))
     found = staged(found.groupBy("node").agg(F.min("component").alias("component")), "found")
     # rows that repeat a doc_id join the classes of their sets
     again = staged(made.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"), "again")

@@ -136,3 +136,11 @@ def test_keep_one_judges_rows_of_one_id_by_their_own_texts(spark):
     rows = [(1, a, 5), (3, a, 6), (3, b, 7), (None, b, 8), (None, c, 9), (None, c, 9), (4, None, 1), (4, None, 1)]
     out = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, _row long")).collect()
     assert sorted(str((r.doc_id, r.text, r["_row"])) for r in out) == sorted(map(str, [(1, a, 5), (3, b, 7), (None, c, 9), (4, None, 1), (4, None, 1)]))
+
+
+def test_buckets_carry_values_and_nodes_alone(spark, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(neardup, "staged", lambda df, name, f=neardup.staged: kept.setdefault(name, f(df, name)) if name in ("reps", "mates") else f(df, name))
+    check(spark, made(40, 5))
+    assert kept["mates"].columns == ["value", "node", "hub"]
+    assert kept["reps"].columns == ["node", "n_shingles", "bands"]
