@@ -5,6 +5,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.plans import registry
 from corpusloom.sources import backups, documents
 from corpusloom.streaming import jobs, runs
 
@@ -108,3 +109,14 @@ def test_large_conversations_are_written_in_parts(spark, tmp_path, monkeypatch):
     assert sorted((r.conv_id, r.title) for r in again.collect()) == [("a", "t"), ("b", "u"), ("c", "v")]
     want = sorted((c, k, i if o is None else o, v) for c, k, o, v, i in ((*r, n - 95) for n, r in enumerate(rows)) if c != "lost")
     assert sorted((r.conv_id, r.chunk_id, r.ord, r.vector) for r in held.collect()) == want
+
+
+def test_stream_ingest_keeps_documents_without_chunks(spark, tmp_path):
+    import duckdb
+
+    texts = ["", "plain text", "changed before", None, "<p>", "  ", "changed", "\n\n", None, "", "a. b"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(registry.ORACLE_SQL["stream_ingest"]).fetchall()
+    assert sorted(tuple(r) for r in registry.QUERIES["stream_ingest"](spark, str(tmp_path)).collect()) == sorted(want)
