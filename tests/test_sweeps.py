@@ -91,3 +91,25 @@ def test_first_mismatches_and_citation_shares(spark):
     assert [r.query_id for r in evaluate.mismatches(a, b, 1).collect()] == [2]
     v = spark.createDataFrame([(1, 4, 1, 0), (2, 0, 0, 2)], "answer_id int, claims long, uncited_claims long, out_of_range_claims long")
     assert tuple(evaluate.citation_shares(v).first()) == (4, 0.25, 0.5)
+
+
+def test_corpora_told_by_a_column_are_scored_apart_in_one_pass(spark, monkeypatch):
+    from corpusloom.operators import bm25
+
+    monkeypatch.setattr(bm25, "HELD", 4)
+    monkeypatch.setattr(bm25, "PAIRS", 6)
+    words = ["alpha beta", "beta gamma gamma", "alpha", "delta", "", None, "alpha beta delta", "beta"]
+    rows = spark.createDataFrame([(128 + 32 * (i % 3), i, words[i * i % 8]) for i in range(60)], "max_tokens int, chunk_id long, content string").repartition(3)
+    queries = spark.createDataFrame([(7, "alpha"), (8, "beta gamma"), (9, "nothing known")], "query_id long, text string")
+    first = lambda df: {k: [r.chunk_id for r in sorted(v, key=lambda r: (-r.bm25, r.chunk_id))[:3]] for k, v in grouped(df).items()}
+
+    def grouped(df):
+        out = {}
+        for r in df.collect():
+            out.setdefault((r.max_tokens, r.query_id), []).append(r)
+        return out
+
+    want = {}
+    for n in (128, 160, 192):
+        want |= first(bm25.best(rows.where(F.col("max_tokens") == n), queries, 3, 6).withColumn("max_tokens", F.lit(n)))
+    assert first(bm25.best_by(rows, queries, "max_tokens", 3, 6)) == want
